@@ -318,13 +318,15 @@ def report_select(rf: float = 0.0, skip: tuple[str, ...] = ()) -> str:
 
 
 _REPORT = f"""WITH rep_in AS (
-    SELECT a.symbol, a.day, a.ret, b.ret AS ret_ticker, f.rf_daily FROM daily_ret a
+    SELECT a.symbol, a.day, a.ret * 0.005 AS ret, b.ret * 0.005 AS ret_ticker, f.rf_daily FROM daily_ret a
     JOIN daily_ret b ON a.day = b.day AND b.symbol = 'view' JOIN rf_daily f ON a.day = f.day),
     {REPORT_CTES.format(keys='symbol')}"""
 
 
 def report_days(spark, sf):
+    """Half a percent of the capital invested: the raw series moves by whole multiples a day."""
     days = joins.asof_risk_free(daily_returns(spark, sf), fx.risk_free(spark, sf))
+    days = days.withColumn("ret", F.col("ret") * 0.005)
     bench = days.where(F.col("symbol") == "view").select("day", F.col("ret").alias("ret_ticker"))
     return days.join(bench, "day")
 

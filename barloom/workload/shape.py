@@ -17,5 +17,5 @@ def out(df: DataFrame, keys, *columns: str, digits: int = 6) -> DataFrame:
 
 
 def r6(*columns: str) -> str:
-    """The SQL counterpart of ``out``."""
-    return ", ".join(f"round({c}, 6) AS {c}" for c in columns)
+    """The SQL counterpart of ``out``; adding 0 turns a rounded -0.0 into the 0.0 of Spark."""
+    return ", ".join(f"round({c}, 6) + 0 AS {c}" for c in columns)
