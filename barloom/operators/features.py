@@ -12,7 +12,7 @@ from barloom.functions.numeric import finite, ratio
 from barloom.functions.risk import drawdown
 from barloom.operators import indicators as ind
 from barloom.operators import recurrence as rec
-from barloom.operators.selection import drop_warmup, select_features
+from barloom.operators.selection import select_features
 from barloom.operators.series import BARS, Frame, Layout, Scan, blocked_scan, numbered, over_chunks
 
 RAW = ("open", "high", "low", "close", "volume")
@@ -20,7 +20,7 @@ WARMUP_ROWS = 60
 
 
 def raw_features(df: DataFrame, layout: Layout = BARS) -> DataFrame:
-    """All feature groups, not yet cleaned, over one chunking of the series.
+    """The feature groups, not yet cleaned and without the drawdown, over one chunking of the series.
 
     Features run across day boundaries. ``minute_of_day`` and ``min_from_open`` replace bar
     columns of the same name.
@@ -45,11 +45,9 @@ def raw_features(df: DataFrame, layout: Layout = BARS) -> DataFrame:
         return {name: c for stage in plain for name, c in stage(f).items()}
 
     stages = [together, risk, *smooth]
-    wide = over_chunks(df, stages, layout, before=rec.halo(step, 2) + max(ind.WINDOWS), step=step)
-    peaks = blocked_scan(wide, [Scan("_peak", "max", F.col("close"))], layout)
-    return peaks.withColumns(
-        {"drawdown": drawdown(F.col("close"), F.col("_peak")), **price_position(), **time_features()}
-    ).drop("_peak")
+    before = rec.halo(step, 2) + max(ind.WINDOWS)
+    wide = over_chunks(df, stages, layout, before=before, step=step, keep_index=True)
+    return wide.withColumns({**price_position(), **time_features()})
 
 
 def feature_names(df: DataFrame, bars: DataFrame) -> list[str]:
@@ -57,27 +55,36 @@ def feature_names(df: DataFrame, bars: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in bars.columns]
 
 
-def impute_fill(df: DataFrame, columns: Sequence[str], layout: Layout = BARS) -> DataFrame:
+def impute_fill(
+    df: DataFrame, columns: Sequence[str], layout: Layout = BARS, also: Sequence[Scan] = ()
+) -> DataFrame:
     """Infinities to NULL, then fill forward, then backward, then with 0.
 
     The backward fill hands later values to the warm-up rows; ``drop_warmup`` removes those.
+    ``also`` rides along in the same pass.
     """
     clean = df.withColumns({c: finite(F.col(c).cast("double")) for c in columns})
     fwd = [Scan(f"_f_{c}", "last", F.col(c)) for c in columns]
     bwd = [Scan(f"_b_{c}", "next", F.col(c)) for c in columns]
-    filled = blocked_scan(clean, [*fwd, *bwd], layout)
+    filled = blocked_scan(clean, [*fwd, *bwd, *also], layout)
     return filled.withColumns(
         {c: F.coalesce(f"_f_{c}", f"_b_{c}", F.lit(0.0)) for c in columns}
     ).drop(*[f"_f_{c}" for c in columns], *[f"_b_{c}" for c in columns])
 
 
 def feature_matrix(df: DataFrame, drop_first: int | None = WARMUP_ROWS, layout: Layout = BARS) -> DataFrame:
-    """Cleaned features of every bar, optionally without the warm-up rows."""
+    """Cleaned features of every bar, optionally without the warm-up rows.
+
+    Two passes over the bars: one chunked, one blocked for the fills and the running maximum.
+    """
     raw = raw_features(df, layout)
     skip = {*layout.keys, *layout.order, "day", "event_id"}
     floats = [c for c, t in raw.dtypes if t == "double" and c not in skip]
-    full = impute_fill(raw, floats, layout)
-    return drop_warmup(full, drop_first, layout) if drop_first else full
+    peak = Scan("_peak", "max", F.col("close"))
+    full = impute_fill(raw, floats, layout, [peak]).withColumn("drawdown", drawdown(F.col("close"), F.col("_peak")))
+    if drop_first:
+        full = full.where((F.col("_i") >= drop_first) | (F.col("_n") <= drop_first))
+    return full.drop("_peak", "_i", "_n")
 
 
 def features_for_scoring(df: DataFrame, required: Sequence[str], layout: Layout = BARS) -> DataFrame:

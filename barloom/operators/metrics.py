@@ -159,10 +159,12 @@ def benchmark_all(df: DataFrame, keys: Sequence[str], rf_annual: float = 0.0) ->
     return both.groupBy(*keys).agg(*[F.when(F.count(F.lit(1)) >= 2, c).alias(n) for n, c in cols.items()])
 
 
-def strategy_report(df: DataFrame, keys: Sequence[str], rf_annual: float = 0.0) -> DataFrame:
+def strategy_report(
+    df: DataFrame, keys: Sequence[str], rf_annual: float = 0.0, extra: dict[str, Column] | None = None
+) -> DataFrame:
     """One statistics row per group with its buy-and-hold twin, rounded as reported.
 
-    Expects one row per day with ret, ret_ticker and rf_daily.
+    Expects one row per day with ret, ret_ticker and rf_daily; ``extra`` adds aggregates.
     """
     with_both = with_equity(with_equity(df, keys), keys, "ret_ticker", "equity_ticker")
     ready = with_drawdown(with_drawdown(with_both, keys), keys, "equity_ticker", "drawdown_ticker")
@@ -195,6 +197,7 @@ def strategy_report(df: DataFrame, keys: Sequence[str], rf_annual: float = 0.0)
         rnd(pair["r_squared"], 4).alias("r_squared"),
         rnd(pair["information_ratio"], 4).alias("information_ratio"),
         rnd(pair["treynor_ratio"], 4).alias("treynor_ratio"),
+        *[c.alias(n) for n, c in (extra or {}).items()],
     )
 
 

@@ -21,6 +21,12 @@ def _day(layout: Layout):
     return W.partitionBy(*layout.keys, "day").orderBy(*layout.order)
 
 
+def previous(df: DataFrame, layout: Layout = BARS, **values: Column) -> DataFrame:
+    """``_prev``: a struct of the previous row's values, across blocks."""
+    row = F.struct(*[c.alias(n) for n, c in values.items()])
+    return blocked_scan(df, [Scan("_prev", "last", row, exclusive=True)], layout)
+
+
 def decision_mask(df: DataFrame, minutes: int | Column, layout: Layout = BARS) -> DataFrame:
     """``decision``: every k-th bar of the day, k = minutes over the spacing of its first two bars."""
     w = _day(layout)
@@ -54,60 +60,83 @@ def local_state(df: DataFrame, signal: Column, layout: Layout = BARS) -> DataFra
 def latch_position(df: DataFrame, layout: Layout = BARS) -> DataFrame:
     """``position`` 0/1 from ``signal`` and ``decision``; carries overnight.
 
-    The first day of a series is never traded.
+    The first day of a series is never traded. A day is reduced to the state it ends in; the
+    chain of these states over the days of a series tells each day where it starts.
     """
-    days = df.select(*layout.keys, "day").distinct()
-    first = F.min("day").over(W.partitionBy(*layout.keys))
-    marked = df.join(days.withColumn("_trade", F.col("day") > first), [*layout.keys, "day"])
-    signal = F.when(F.col("_trade"), F.col("signal")).otherwise(0)
-    states = local_state(marked, signal, layout).drop("_trade")
-    out = blocked_scan(states, [Scan("position", "last", F.col("_state"))], layout)
-    return out.withColumn("position", F.coalesce("position", F.lit(0))).drop("_state")
+    keys = [*layout.keys, "day"]
+    states = local_state(df, F.col("signal"), layout)
+    series = W.partitionBy(*layout.keys)
+    traded = F.col("day") > F.min("day").over(series)
+    earlier = series.orderBy("day").rowsBetween(W.unboundedPreceding, -1)
+    days = (
+        states.groupBy(*keys)
+        .agg(F.max_by("_state", layout.order_value()).alias("_end"))
+        .withColumn("_trade", traded)
+        .withColumn("_start", F.last(F.when(F.col("_trade"), F.col("_end")), ignorenulls=True).over(earlier))
+        .drop("_end")
+    )
+    position = F.when(F.col("_trade"), F.coalesce("_state", "_start", F.lit(0))).otherwise(0)
+    return states.join(days, keys).withColumn("position", position).drop("_state", "_start", "_trade")
 
 
 def runs(df: DataFrame, layout: Layout = BARS) -> DataFrame:
     """``run_id`` numbers the stretches of consecutive in-position bars; NULL while flat.
 
-    Also adds ``entry_price`` and ``entry_ts`` of the run. Takes ``position`` and carries the
-    previous position across blocks.
+    Also adds ``entry_price`` and ``entry_ts`` of the run. Inside a block, runs are counted as if
+    the block started flat; a block whose first run continues the previous block's last one
+    is corrected by one.
     """
-    order = layout.order[0]
-    prev = blocked_lag(df, {"_prev": F.col("position")}, layout)
-    enters = F.coalesce((F.col("position") == 1) & (F.coalesce("_prev", F.lit(0)) == 0), F.lit(False))
-    marked = prev.withColumn("_enter", enters)
-    scans = [
-        Scan("_run", "sum", F.col("_enter").cast("bigint")),
-        Scan("_px", "last", F.when(F.col("_enter"), F.col("close"))),
-        Scan("_ts", "last", F.when(F.col("_enter"), F.col(order))),
-    ]
+    w = layout.window()
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    entry = F.struct(F.col("close").alias("price"), F.col(layout.order[0]).alias("ts"))
+    enter = (F.col("position") == 1) & (F.coalesce(F.lag("position").over(w), F.lit(0)) == 0)
+    local = df.withColumn("_enter", enter).withColumns(
+        {
+            "_nth": F.sum(F.col("_enter").cast("bigint")).over(upto),
+            "_entry": F.last(F.when(F.col("_enter"), entry), ignorenulls=True).over(upto),
+        }
+    )
+    if layout.block is None:
+        numbered_runs = local.withColumns({"_run": F.col("_nth"), "_from": F.col("_entry")})
+    else:
+        order = layout.order_value()
+        series = W.partitionBy(*layout.keys).orderBy(layout.block)
+        earlier = series.rowsBetween(W.unboundedPreceding, -1)
+        own = F.col("_count") - F.col("_continues")
+        blocks = (
+            local.groupBy(*layout.block_keys)
+            .agg(
+                F.min_by("position", order).alias("_first"),
+                F.max_by("position", order).alias("_last"),
+                F.sum(F.col("_enter").cast("bigint")).alias("_count"),
+                F.max_by("_entry", order).alias("_latest"),
+            )
+            .withColumn(
+                "_continues",
+                ((F.col("_first") == 1) & (F.coalesce(F.lag("_last").over(series), F.lit(0)) == 1)).cast("bigint"),
+            )
+            .select(
+                *layout.block_keys,
+                "_continues",
+                F.coalesce(F.sum(own).over(earlier), F.lit(0)).alias("_base"),
+                F.last(F.when(own > 0, F.col("_latest")), ignorenulls=True).over(earlier).alias("_carried"),
+            )
+        )
+        here = F.col("_nth") - F.col("_continues")
+        numbered_runs = local.join(blocks, layout.block_keys).withColumns(
+            {
+                "_run": F.col("_base") + here,
+                "_from": F.when(here > 0, F.col("_entry")).otherwise(F.col("_carried")),
+            }
+        )
     held = F.col("position") == 1
-    return blocked_scan(marked, scans, layout).withColumns(
+    return numbered_runs.withColumns(
         {
             "run_id": F.when(held, F.col("_run")),
-            "entry_price": F.when(held, F.col("_px")),
-            "entry_ts": F.when(held, F.col("_ts")),
+            "entry_price": F.when(held, F.col("_from.price")),
+            "entry_ts": F.when(held, F.col("_from.ts")),
         }
-    ).drop("_prev", "_enter", "_run", "_px", "_ts")
-
-
-def blocked_lag(df: DataFrame, values: dict[str, Column], layout: Layout = BARS) -> DataFrame:
-    """Previous row's values across blocks: lag inside a block, last row of an earlier block before it."""
-    w = layout.window()
-    local = df.withColumns({n: F.lag(c).over(w) for n, c in values.items()})
-    if layout.block is None:
-        return local
-    order = layout.order_value()
-    ends = df.groupBy(*layout.block_keys).agg(
-        *[F.max_by(F.struct(c.alias("v")), order).alias(f"_end_{n}") for n, c in values.items()]
-    )
-    across = W.partitionBy(*layout.keys).orderBy(layout.block)
-    before = ends.select(*layout.block_keys, *[F.lag(f"_end_{n}").over(across).alias(f"_end_{n}") for n in values])
-    first = df.groupBy(*layout.block_keys).agg(F.min(order).alias("_first"))
-    joined = local.join(before.join(first, layout.block_keys), layout.block_keys, "left")
-    opens = order == F.col("_first")
-    return joined.withColumns(
-        {n: F.when(opens, F.col(f"_end_{n}.v")).otherwise(F.col(n)) for n in values}
-    ).drop("_first", *[f"_end_{n}" for n in values])
+    ).select(*df.columns, "run_id", "entry_price", "entry_ts")
 
 
 def barrier_exit(
@@ -117,25 +146,35 @@ def barrier_exit(
 
     Adds ``exit_reason`` at the bar where a run ends: 1 signal, 2 stop, 3 target. One trade per
     run: there is no second entry inside the same run. ``pnl`` replaces the price-based profit.
+    Run numbers grow, so "the latest run that was cut" is a running maximum.
     """
     gain = pnl if pnl is not None else pnl_pct("close", "entry_price")
-    reason = F.when(F.col("run_id").isNotNull(), _barrier(gain, stop_loss, take_profit)).otherwise(0)
-    hits = df.withColumn("_hit", reason)
-    # The latest run that was cut: a run is over once it is that run.
-    cut = blocked_scan(hits, [Scan("_cut", "max", F.when(F.col("_hit") > 0, F.col("run_id")))], layout)
-    stopped = F.col("run_id").isNotNull() & F.coalesce(F.col("_cut") == F.col("run_id"), F.lit(False))
-    held = cut.withColumn("_held", F.when(F.col("run_id").isNotNull() & ~stopped, 1).otherwise(0))
-    prev = blocked_lag(held, {"_was": F.struct(F.col("_held").alias("h"))}, layout)
-    was = F.coalesce(F.col("_was.h"), F.lit(0)) == 1
-    ends_now = was & (F.col("_held") == 0)
-    return prev.withColumns(
-        {
-            "position": F.col("_held"),
-            "exit_reason": F.when(ends_now & stopped, F.col("_hit"))
-            .when(ends_now, F.lit(EXIT_SIGNAL))
-            .otherwise(0),
-        }
-    ).drop("_hit", "_cut", "_held", "_was")
+    w = layout.window()
+    hit = F.when(F.col("run_id").isNotNull(), _barrier(gain, stop_loss, take_profit)).otherwise(0)
+    cut = F.max(F.when(F.col("_hit") > 0, F.col("run_id"))).over(w.rowsBetween(W.unboundedPreceding, 0))
+    local = df.withColumn("_hit", hit).withColumn("_cut", cut)
+    alive = lambda run, latest: F.col(run).isNotNull() & F.coalesce(latest != F.col(run), F.lit(True))
+    if layout.block is None:
+        joined = local.withColumns({"_cut_in": F.lit(None).cast("bigint"), "_held_in": F.lit(0)})
+    else:
+        series = W.partitionBy(*layout.keys).orderBy(layout.block)
+        blocks = (
+            local.groupBy(*layout.block_keys)
+            .agg(
+                F.max(F.when(F.col("_hit") > 0, F.col("run_id"))).alias("_cut"),
+                F.max_by(F.struct("run_id"), layout.order_value()).alias("_end"),
+            )
+            .withColumn("_run", F.col("_end.run_id"))
+            .withColumn("_cut_in", F.max("_cut").over(series.rowsBetween(W.unboundedPreceding, -1)))
+            .withColumn("_ends_held", alive("_run", F.greatest("_cut", "_cut_in")).cast("int"))
+            .select(*layout.block_keys, "_cut_in", F.lag("_ends_held").over(series).alias("_held_in"))
+        )
+        joined = local.join(blocks, layout.block_keys)
+    held = joined.withColumn("_held", alive("run_id", F.greatest("_cut", "_cut_in")).cast("int"))
+    was = F.coalesce(F.lag("_held").over(w), F.col("_held_in"), F.lit(0)) == 1
+    ends = held.withColumn("_ends", was & (F.col("_held") == 0))
+    reason = F.when(~F.col("_ends"), 0).when(F.col("run_id").isNotNull(), F.col("_hit")).otherwise(EXIT_SIGNAL)
+    return ends.withColumns({"position": F.col("_held"), "exit_reason": reason}).select(*df.columns, "exit_reason")
 
 
 def _barrier(gain: Column, stop_loss: float, take_profit: float) -> Column:
@@ -161,18 +200,20 @@ def trade_ledger(
     """
     slip = slippage_bps / 10_000.0
     share = size if isinstance(size, Column) else F.lit(float(size))
-    prev = blocked_lag(df, {"_was": F.struct(F.col("position").alias("pos"))}, layout)
-    was = F.coalesce(F.col("_was.pos"), F.lit(0))
+    before = previous(df, layout, pos=F.col("position"), entry=F.col("entry_price"))
+    was = F.coalesce(F.col("_prev.pos"), F.lit(0))
     buy, sell = (F.col("position") == 1) & (was == 0), (F.col("position") == 0) & (was == 1)
-    paid = F.col("close") * (1 + slip)
+    trades = before.withColumn("side", F.when(buy, "BUY").when(sell, "SELL")).where(F.col("side").isNotNull())
+    bought = F.col("side") == "BUY"
+    entry = F.col("close") if isinstance(size, Column) else F.when(bought, F.col("close")).otherwise(F.col("_prev.entry"))
+    paid = entry * (1 + slip)
     wanted = F.least(trunc(capital * 0.99 / (paid + commission)), trunc(ratio(capital * share, paid)))
-    trades = (
-        prev.withColumn("side", F.when(buy, "BUY").when(sell, "SELL"))
-        .where(F.col("side").isNotNull())
-        .withColumn("_want", F.when(F.col("side") == "BUY", wanted))
-    )
-    # A sale returns what the latest purchase bought.
-    sized = blocked_scan(trades, [Scan("shares", "last", F.col("_want"))], layout)
+    if isinstance(size, Column):
+        # The size varies, so a sale looks up what the latest purchase bought.
+        sized = trades.withColumn("_want", F.when(bought, wanted))
+        sized = blocked_scan(sized, [Scan("shares", "last", F.col("_want"))], layout)
+    else:
+        sized = trades.withColumn("shares", wanted)
     value = F.col("shares") * F.col("close")
     costs = F.col("slippage") + F.col("commission")
     extra = [c for c in ("exit_reason",) if c in df.columns]
@@ -214,10 +255,10 @@ def mark_to_market(
 def bar_returns(df: DataFrame, cost: float = 0.0, size: float | Column = 1.0, layout: Layout = BARS) -> DataFrame:
     """``bar_ret``: previous position times the price change, less cost per change of position."""
     share = size if isinstance(size, Column) else F.lit(float(size))
-    prev = blocked_lag(df, {"_p": F.struct(F.col("position").alias("pos"), F.col("close").alias("close"))}, layout)
-    was = F.coalesce(F.col("_p.pos"), F.lit(0))
-    change = F.coalesce(ratio("close", F.col("_p.close")) - 1, F.lit(0.0))
-    return prev.withColumn("bar_ret", was * share * change - cost * F.abs(F.col("position") - was)).drop("_p")
+    before = previous(df, layout, pos=F.col("position"), close=F.col("close"))
+    was = F.coalesce(F.col("_prev.pos"), F.lit(0))
+    change = F.coalesce(ratio("close", F.col("_prev.close")) - 1, F.lit(0.0))
+    return before.withColumn("bar_ret", was * share * change - cost * F.abs(F.col("position") - was)).drop("_prev")
 
 
 def strategy_returns(df: DataFrame, cost: float = 0.0, size: float | Column = 1.0, layout: Layout = BARS) -> DataFrame:
@@ -329,14 +370,12 @@ def latch_prediction(df: DataFrame, layout: Layout = BARS, prediction="predictio
 
 def _latch(df: DataFrame, wanted: Column, layout: Layout) -> DataFrame:
     want = df.withColumn("_want", wanted)
-    # Running state, and the state before this row: the latter ends one row earlier.
-    after = blocked_scan(want, [Scan("_state", "last", F.col("_want"))], layout)
-    state = F.coalesce(F.col("_state"), F.lit(0))
-    prev = blocked_lag(after, {"_was": F.struct(state.alias("s"))}, layout)
-    was = F.coalesce(F.col("_was.s"), F.lit(0))
-    return prev.withColumn("signal", (F.coalesce("_state", F.lit(0)) - was).cast("int")).drop(
-        "_want", "_state", "_was"
-    )
+    scans = [
+        Scan("_state", "last", F.col("_want")),
+        Scan("_was", "last", F.col("_want"), exclusive=True),
+    ]
+    change = F.coalesce("_state", F.lit(0)) - F.coalesce("_was", F.lit(0))
+    return blocked_scan(want, scans, layout).withColumn("signal", change.cast("int")).drop("_want", "_state", "_was")
 
 
 def portfolio_view(df: DataFrame, capital: float = 100_000.0, keys: Sequence[str] = ("symbol",)) -> DataFrame:

@@ -62,6 +62,8 @@ class Scan:
     out: str
     kind: str
     value: Column
+    exclusive: bool = False
+    """Leave out the current row. ``last`` of a struct is then the lag across blocks."""
 
 
 def _running(scan: Scan, w: WindowSpec, lo: int, hi: int) -> Column:
@@ -96,7 +98,7 @@ def _merge(kind: str, local: Column, carried: Column) -> Column:
 def blocked_scan(df: DataFrame, scans: Sequence[Scan], layout: Layout = BARS) -> DataFrame:
     """Add running columns. One shuffle on (keys, block); the carried part is one row per block."""
     w = layout.window()
-    local = df.withColumns({s.out: _running(s, w, W.unboundedPreceding, 0) for s in scans})
+    local = df.withColumns({s.out: _running(s, w, W.unboundedPreceding, -1 if s.exclusive else 0) for s in scans})
     if layout.block is None:
         return local
     order = layout.order_value()

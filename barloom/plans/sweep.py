@@ -28,7 +28,7 @@ from barloom.functions.risk import EXIT_STOP, EXIT_TARGET
 from barloom.operators import indicators as ind
 from barloom.operators import recurrence as rec
 from barloom.operators import sizing
-from barloom.operators.joins import asof_benchmark_return, asof_risk_free, join_prev_day
+from barloom.operators.joins import asof_risk_free, join_prev_day
 from barloom.operators.metrics import best_rows, strategy_report
 from barloom.operators.positions import drawdown_breaker
 from barloom.operators.series import DAY, over_chunks
@@ -218,21 +218,20 @@ def sized_days(days: DataFrame, grid: ParamGrid, daily: DataFrame, rates: DataFr
     halted = drawdown_breaker(full, param("max_drawdown_pct"), keys)
     stopped = (F.col("halted") == 1) & (F.col("ret") == 0.0)
     counts = {c: F.when(stopped, 0).otherwise(F.col(c)) for c in ("buys", "sells", "stop_losses", "take_profits")}
-    out = asof_benchmark_return(halted.withColumns(counts), daily)
-    if rates is None:
-        out = out.withColumn("rf_daily", F.lit(0.0))
-    else:
-        out = asof_risk_free(out, rates)
+    # Every traded day is in ``daily``, so benchmark and rate are looked up there, not from the sweep.
+    w = W.partitionBy("symbol").orderBy("day")
+    bench = daily.withColumn("ret_ticker", ratio("close", F.lag("close").over(w)) - 1)
+    bench = bench.withColumn("rf_daily", F.lit(0.0)) if rates is None else asof_risk_free(bench, rates)
+    out = halted.withColumns(counts).join(
+        bench.select("symbol", "day", "ret_ticker", "rf_daily"), ["symbol", "day"], "left"
+    )
     return out.drop("_kelly", "_enough", "drawdown", "ticker_dvol", *grid.params)
 
 
 def report(days: DataFrame, grid: ParamGrid, rf_annual: float = 0.0) -> DataFrame:
     """The sweep table: one row per configuration and symbol with parameters and statistics."""
-    keys = ["config_id", "symbol"]
-    trades = days.groupBy(*keys).agg(
-        *[F.sum(c).alias(c) for c in ("buys", "sells", "stop_losses", "take_profits")]
-    )
-    return grid.with_params(strategy_report(days, keys, rf_annual).join(trades, keys))
+    trades = {c: F.sum(c) for c in ("buys", "sells", "stop_losses", "take_profits")}
+    return grid.with_params(strategy_report(days, ["config_id", "symbol"], rf_annual, trades))
 
 
 def sweep(
