@@ -314,7 +314,8 @@ REPORT_COLUMNS = {
 
 
 def report_select(rf: float = 0.0, skip: tuple[str, ...] = ()) -> str:
-    return ", ".join(f"{c.format(rf=rf)} AS {n}" for n, c in REPORT_COLUMNS.items() if n not in skip)
+    zero = {n: "" if n == "n_days" else " + 0" for n in REPORT_COLUMNS}
+    return ", ".join(f"{c.format(rf=rf)}{zero[n]} AS {n}" for n, c in REPORT_COLUMNS.items() if n not in skip)
 
 
 _REPORT = f"""WITH rep_in AS (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,8 +34,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def ticks(spark: SparkSession, sf: str) -> DataFrame:
-    price = F.col("value")
+def ticks(spark: SparkSession, sf: str, calm: bool = False) -> DataFrame:
+    """Events as ticks. Raw values move by multiples a day; ``calm`` scales them to a share price
+    around 100 that moves by percents, for results that compound."""
+    price = 100 + F.col("value") / 100 if calm else F.col("value")
     return table(spark, sf, "events").select(
         "event_id",
         F.col("event_type").alias("symbol"),
@@ -48,12 +51,12 @@ def ticks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def bars(spark: SparkSession, sf: str, minutes: int = 60) -> DataFrame:
-    return resample_intraday(ticks(spark, sf), minutes)
+def bars(spark: SparkSession, sf: str, minutes: int = 60, calm: bool = False) -> DataFrame:
+    return resample_intraday(ticks(spark, sf, calm), minutes)
 
 
-def daily(spark: SparkSession, sf: str) -> DataFrame:
-    return daily_from_intraday(ticks(spark, sf))
+def daily(spark: SparkSession, sf: str, calm: bool = False) -> DataFrame:
+    return daily_from_intraday(ticks(spark, sf, calm))
 
 
 def daily_long(spark: SparkSession, sf: str) -> DataFrame:
@@ -75,9 +78,9 @@ def pair(spark: SparkSession, sf: str, minutes: int = 60) -> DataFrame:
     return join_pair(bars(spark, sf, minutes), "click", "view")
 
 
-def scored_ticks(spark: SparkSession, sf: str) -> DataFrame:
+def scored_ticks(spark: SparkSession, sf: str, calm: bool = False) -> DataFrame:
     p = ((F.col("event_id") * 7919) % 1000) / F.lit(1000.0)
-    return ticks(spark, sf).withColumn("probability", p)
+    return ticks(spark, sf, calm).withColumn("probability", p)
 
 
 def dividends(spark: SparkSession, sf: str) -> DataFrame:
@@ -193,7 +196,11 @@ CTES: dict[str, tuple[list[str], str]] = {
 }
 
 
-def sql(uses: str, body: str, recursive: bool = False) -> str:
+_RAW_TICKS = CTES["ticks"][1]
+_CALM_TICKS = re.sub(r"\bvalue AS", "100 + value / 100 AS", _RAW_TICKS)
+
+
+def sql(uses: str, body: str, recursive: bool = False, calm: bool = False) -> str:
     """``body`` under the CTEs named in ``uses`` and everything they need."""
     done: list[str] = []
 
@@ -205,7 +212,8 @@ def sql(uses: str, body: str, recursive: bool = False) -> str:
 
     for name in uses.split():
         need(name)
-    parts = [f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in done]
+    text = {n: CTES[n][1] for n in done} | ({"ticks": _CALM_TICKS} if calm else {})
+    parts = [f"{n} AS MATERIALIZED ({text[n]})" for n in done]
     body = body.strip()
     if body.upper().startswith("WITH "):
         return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(parts) + ",\n" + body[5:]

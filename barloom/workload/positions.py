@@ -33,7 +33,7 @@ def latched(spark, sf):
     return pos.latch_position(pos.every_kth(materialize(reversion_bars(spark, sf)), 2))
 
 
-def latch_ctes(src: str, k: int = 2, part: str = "symbol") -> str:
+def latch_ctes(src: str, k: int | str = 2, part: str = "symbol", skip_first_day: bool = True) -> str:
     """Position of every bar of ``src(part, day, ts, signal)``, decided at every k-th bar of a day.
 
     Written over decision bars only: a position is the latest order of an earlier decision bar,
@@ -44,7 +44,7 @@ def latch_ctes(src: str, k: int = 2, part: str = "symbol") -> str:
                   min(day) OVER (PARTITION BY {part}) AS day0 FROM {src}),
     l1 AS (SELECT *, bar // {k} AS slot, max(bar // {k}) OVER (PARTITION BY {part}, day) AS last_slot FROM l0),
     l2 AS (SELECT {part}, day, slot, ts AS slot_ts,
-                  CASE WHEN signal <> 0 AND slot < last_slot AND day > day0 THEN (signal = 1)::INTEGER END AS told
+                  CASE WHEN signal <> 0 AND slot < last_slot AND day {">" if skip_first_day else ">="} day0 THEN (signal = 1)::INTEGER END AS told
            FROM l1 WHERE bar % {k} = 0),
     l3 AS (SELECT *, coalesce(last_value(told IGNORE NULLS) OVER (
                PARTITION BY {part} ORDER BY slot_ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS position FROM l2),
@@ -182,11 +182,11 @@ def marked(spark, sf):
     sql(
         "bars_1h",
         f"""WITH {_STOPPED}, {LEDGER_CTES}, {MARK_CTES}
-        SELECT symbol, ts, round(cash, 4) + 0 AS cash, shares, round(value, 4) + 0 AS value FROM mk""",
+        SELECT symbol, ts, round(cash, 7) + 0 AS cash, shares, round(value, 7) + 0 AS value FROM mk""",
     ),
 )
 def mark_to_market(spark, sf):
-    return out(marked(spark, sf), BAR, "cash", "shares", "value", digits=4)
+    return out(marked(spark, sf), BAR, "cash", "shares", "value", digits=7)
 
 
 def marked_days(spark, sf):
@@ -322,8 +322,8 @@ def trade_stats(spark, sf):
         g AS (SELECT symbol, max(value) AS peak, arg_max(value, day) AS last_value,
                   arg_max((value - pk) / pk, day) AS current_drawdown,
                   count(*) FILTER (WHERE abs((value - pk) / pk) > 0.2) AS breaches FROM u GROUP BY 1)
-        SELECT symbol, round(peak, 4) + 0 AS peak, round(last_value, 4) + 0 AS last_value,
-               round(current_drawdown, 4) + 0 AS current_drawdown, breaches,
+        SELECT symbol, round(peak, 7) + 0 AS peak, round(last_value, 7) + 0 AS last_value,
+               round(current_drawdown, 7) + 0 AS current_drawdown, breaches,
                coalesce(stop_losses, 0) AS stop_losses, coalesce(take_profits, 0) AS take_profits
         FROM g LEFT JOIN ts USING (symbol)""",
     ),
@@ -332,7 +332,7 @@ def risk_summary(spark, sf):
     days = m.with_drawdown(marked_days(spark, sf), ["symbol"], "value")
     done = pos.risk_summary(days, pos.trade_stats(ledger(spark, sf)), 0.2)
     return out(
-        done, ["symbol"], "peak", "last_value", "current_drawdown", "breaches", "stop_losses", "take_profits", digits=4
+        done, ["symbol"], "peak", "last_value", "current_drawdown", "breaches", "stop_losses", "take_profits", digits=7
     )
 
 
@@ -345,10 +345,17 @@ def risk_summary(spark, sf):
         SELECT symbol, day, position, position_change, CASE WHEN position_change > 0 THEN 'BUY'
                WHEN position_change < 0 THEN 'SELL' ELSE 'WAIT' END AS direction, CAST(sign(position_change) AS INTEGER) AS signal,
                round(product(1 + coalesce(ret, 0)) OVER ({_DAYW} ROWS UNBOUNDED PRECEDING) - 1, 6) + 0 AS cumulative_return,
-               round(value - 100000, 4) + 0 AS pnl FROM v""",
+               round(value - 100000, 7) + 0 AS pnl FROM v""",
     ),
 )
 def portfolio_view(spark, sf):
     view = pos.portfolio_view(marked_days(spark, sf))
-    rows = out(view, DAY, "position", "position_change", "direction", "signal", "cumulative_return", "pnl")
-    return rows.withColumn("pnl", F.round("pnl", 4))
+    return view.select(
+        *DAY,
+        "position",
+        "position_change",
+        "direction",
+        "signal",
+        F.round("cumulative_return", 6).alias("cumulative_return"),
+        F.round("pnl", 7).alias("pnl"),
+    )

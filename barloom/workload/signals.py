@@ -34,11 +34,11 @@ def decide(long: str, leave: str) -> str:
     return f"CASE WHEN coalesce({leave}, FALSE) THEN -1 WHEN coalesce({long}, FALSE) THEN 1 ELSE 0 END AS signal"
 
 
-def momentum_bars(spark, sf):
+def momentum_bars(spark, sf, calm=False):
     """Hourly bars with everything the momentum family looks at."""
-    derived = intraday.derived_columns(fx.bars(spark, sf), fx.daily(spark, sf))
+    derived = intraday.derived_columns(fx.bars(spark, sf, calm=calm), fx.daily(spark, sf, calm))
     paid = fx.dividends(spark, sf).groupBy("symbol", "day").agg(F.max("dividend").alias("dividend"))
-    day = fx.daily(spark, sf).join(paid, ["symbol", "day"], "left")
+    day = fx.daily(spark, sf, calm).join(paid, ["symbol", "day"], "left")
     return derived, day
 
 
@@ -76,7 +76,7 @@ def _bands(ctes: str, upper: str, lower: str, src: str, uses: str = "bars_5m") -
     return sql(
         uses,
         f"""WITH {ctes}, bd AS (SELECT b.symbol, b.ts, b.close, {upper} AS up, {lower} AS lo,
-               sum(b.volume * (b.high + b.low + b.close) / 3) OVER d / nullif(sum(b.volume) OVER d, 0) AS vwap
+               sum(b.volume * ((b.high + b.low + b.close) / 3)) OVER d / nullif(sum(b.volume) OVER d, 0) AS vwap
             FROM {src} WINDOW d AS (PARTITION BY b.symbol, b.day ORDER BY b.ts),
             w AS (PARTITION BY b.symbol, b.day ORDER BY b.ts ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING))
         SELECT symbol, ts, {decide(_LONG, _EXIT)} FROM bd""",

@@ -1,0 +1,390 @@
+"""Parameter sweeps of the six strategies, their summaries and grids.
+
+The SQL side lays all configurations over all bars and walks every (configuration, symbol) with
+global windows; it knows nothing of the day-by-day reduction it checks.
+"""
+
+from __future__ import annotations
+
+import itertools
+
+from pyspark.sql import functions as F
+
+from barloom.operators import indicators as ind
+from barloom.operators import intraday, joins
+from barloom.operators import metrics as m
+from barloom.operators.joins import join_pair
+from barloom.functions.bars import bar_minute
+from barloom.plans import sweep as sw
+from barloom.plans.grids import ParamGrid, default_config, grid_sizes
+from barloom.session import materialize
+from barloom.workload import fixtures as fx
+from barloom.workload.aggregates import REPORT_COLUMNS, REPORT_CTES, report_select
+from barloom.workload.fixtures import query, sql
+from barloom.workload.positions import barrier_ctes, latch_ctes, run_ctes
+from barloom.workload.signals import MOM_CTES, decide, momentum_bars
+from barloom.workload.windows import VWAP_SQL, WD, full, rsi_wilder_ctes, walk, z_lagged, TR_SQL
+
+COST = 0.0005
+WARMUP_VOL = 0.01
+
+
+def priced_days(spark, sf):
+    """Daily bars with their volatility; before it is known, a flat prior."""
+    vol = intraday.daily_vol(fx.daily(spark, sf, True))
+    return vol.withColumn("ticker_dvol", F.coalesce("ticker_dvol", F.lit(WARMUP_VOL)))
+
+
+def run(spark, sf, bars, grid, signal, keep, daily=None):
+    daily = priced_days(spark, sf) if daily is None else daily
+    table = sw.sweep(bars, daily, grid, signal, keep, COST, fx.risk_free(spark, sf), 0.05)
+    return table
+
+
+# ------------------------------------------------------------------ SQL
+
+
+def grid_cte(grid: ParamGrid) -> str:
+    lit = lambda v: f"{v}::DOUBLE" if isinstance(v, float) else str(v)
+    rows = ", ".join(
+        f"({i}, {', '.join(lit(v) for v in combo)})" for i, combo in enumerate(itertools.product(*grid.params.values()))
+    )
+    return f"g AS (SELECT * FROM (VALUES {rows}) t(config_id, {', '.join(grid.params)}))"
+
+
+def days_cte(label: str = "symbol", where: str = "TRUE") -> str:
+    return f"""
+    dy AS (SELECT {label} AS symbol, day, close, ret AS ret_ticker, lag(close) OVER w AS prev_close,
+              coalesce(CASE WHEN count(ret) OVER v = 15 THEN stddev_samp(ret) OVER v END, {WARMUP_VOL}) AS vol
+           FROM daily_ret WHERE {where} WINDOW w AS (PARTITION BY symbol ORDER BY day),
+              v AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN 14 PRECEDING AND CURRENT ROW))"""
+
+
+PART = "config_id, symbol"
+
+
+def daily_ctes(grid: ParamGrid, signal: str, src: str = "sb", days: str | None = None) -> str:
+    """From the bars ``src`` to ``rep_in``: strategy rows per configuration, symbol and day."""
+    stops = "stop_loss_pct" in grid.params
+    freq = "trade_freq" if "trade_freq" in grid.params else "30"
+    target = "target_vol" if "target_vol" in grid.params else "0.02::DOUBLE"
+    limit = "max_drawdown_pct" if "max_drawdown_pct" in grid.params else "0.15::DOUBLE"
+    held = (
+        f"{run_ctes(PART)}, {barrier_ctes('stop_loss_pct', 'take_profit_pct', PART)}"
+        if stops
+        else f"""be AS (SELECT *, position AS held, 0 AS exit_reason,
+               coalesce(lag(position) OVER (PARTITION BY {PART} ORDER BY ts), 0) AS was FROM po)"""
+    )
+    return f"""
+    {days or days_cte()},
+    {grid_cte(grid)},
+    pb AS (SELECT s.*, s.close / coalesce(lag(s.close) OVER d, dy.prev_close) - 1 AS chg,
+               coalesce(nth_value(min_from_open, 2) OVER e - first_value(min_from_open) OVER e, 1) AS spacing
+           FROM {src} s JOIN dy ON s.symbol = dy.symbol AND s.day = dy.day WHERE dy.prev_close IS NOT NULL
+           WINDOW d AS (PARTITION BY s.symbol, s.day ORDER BY s.ts),
+               e AS (PARTITION BY s.symbol, s.day ORDER BY s.ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+    gb AS (SELECT *, CAST(coalesce(greatest(1, floor({freq} / nullif(spacing, 0)::DOUBLE)), 1) AS BIGINT) AS k FROM pb, g),
+    {signal},
+    {latch_ctes('sg2', 'k', PART, False)}, {held},
+    ur AS (SELECT config_id, symbol, day,
+               product(1 + was * chg - {COST}::DOUBLE * abs(held - was)) - 1 AS unit_ret,
+               CAST(sum((held = 1 AND was = 0)::INTEGER) AS BIGINT) AS buys, CAST(sum((held = 0 AND was = 1)::INTEGER) AS BIGINT) AS sells,
+               CAST(sum((exit_reason = 2)::INTEGER) AS BIGINT) AS stop_losses, CAST(sum((exit_reason = 3)::INTEGER) AS BIGINT) AS take_profits
+           FROM be GROUP BY 1, 2, 3),
+    sz2 AS (SELECT ur.*, {'target_vol, max_drawdown_pct, ' if limit == 'max_drawdown_pct' else ''}dy.ret_ticker, least({target} / dy.vol, 1) * unit_ret AS ret0, f.rf_daily
+            FROM ur JOIN dy USING (symbol, day) JOIN rf_daily f USING (day) JOIN g USING (config_id)),
+    q1 AS (SELECT *, product(1 + ret0) OVER (PARTITION BY {PART} ORDER BY day ROWS UNBOUNDED PRECEDING) AS eq0 FROM sz2),
+    q2 AS (SELECT *, coalesce(lag(eq0) OVER (PARTITION BY {PART} ORDER BY day), 1) AS prior FROM q1),
+    q3 AS (SELECT *, greatest(max(prior) OVER (PARTITION BY {PART} ORDER BY day ROWS UNBOUNDED PRECEDING), 1) AS peak0 FROM q2),
+    q4 AS (SELECT *, min(CASE WHEN abs((prior - peak0) / peak0) > {limit} THEN day END) OVER (PARTITION BY {PART}) AS stop_day FROM q3),
+    rep_in AS (SELECT config_id, symbol, day, ret_ticker, rf_daily, CASE WHEN day > stop_day THEN 0 ELSE ret0 END AS ret,
+               CASE WHEN day > stop_day OR (day = stop_day AND ret0 = 0) THEN 0 ELSE buys END AS buys,
+               CASE WHEN day > stop_day OR (day = stop_day AND ret0 = 0) THEN 0 ELSE sells END AS sells,
+               CASE WHEN day > stop_day OR (day = stop_day AND ret0 = 0) THEN 0 ELSE stop_losses END AS stop_losses,
+               CASE WHEN day > stop_day OR (day = stop_day AND ret0 = 0) THEN 0 ELSE take_profits END AS take_profits FROM q4)"""
+
+
+def sweep_ctes(grid: ParamGrid, ctes: str, signal: str, days: str | None = None) -> str:
+    params = ", ".join(f"any_value(g.{p}) AS {p}" for p in grid.params)
+    trades = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("buys", "sells", "stop_losses", "take_profits"))
+    return f"""{ctes}, {daily_ctes(grid, signal, days=days)}, {REPORT_CTES.format(keys=PART)},
+    st AS (SELECT r.config_id, r.symbol, {report_select(0.05)}, {trades}, {params}
+           FROM rep_dd r JOIN g ON r.config_id = g.config_id GROUP BY 1, 2)"""
+
+
+def sweep_sql(uses: str, grid: ParamGrid, ctes: str, signal: str, days=None, tail="SELECT * FROM st") -> str:
+    body = f"WITH {sweep_ctes(grid, ctes, signal, days)} {tail}"
+    return sql(f"{uses} daily_ret rf_daily", body, recursive=True, calm=True)
+
+
+def signed(long: str, leave: str) -> str:
+    return f"sg2 AS (SELECT *, {decide(long, leave)} FROM gb)"
+
+
+# ------------------------------------------------------------------ the six strategies
+
+GRID_MR = ParamGrid(
+    {
+        "zscore_lookback": [5, 10],
+        "n_std_upper": [1.0, 1.5],
+        "n_std_lower": [0.8, 1.2],
+        "exit_threshold": [0.0, 0.5],
+        "trade_freq": [5, 30],
+        "stop_loss_pct": [0.003],
+        "take_profit_pct": [0.006],
+        "target_vol": [0.002],
+        "max_drawdown_pct": [0.01],
+    }
+)
+_Z_SWEEP = "CASE zscore_lookback WHEN 5 THEN z5 ELSE z10 END"
+MR = (
+    "bars_5m",
+    GRID_MR,
+    f"sb AS (SELECT *, {z_lagged(5, part=WD)} AS z5, {z_lagged(10, part=WD)} AS z10 FROM bars_5m)",
+    f"""sg2 AS (SELECT *, {decide('z < -n_std_lower', 'z > n_std_upper OR (z >= exit_threshold AND z <= n_std_upper)')}
+        FROM (SELECT *, {_Z_SWEEP} AS z FROM gb))""",
+)
+
+
+def reversion_sweep_inputs(spark, sf, grid=GRID_MR, minutes=5):
+    return sw.mean_reversion_inputs(fx.bars(spark, sf, minutes, True), grid.params["zscore_lookback"])
+
+
+@query("sweep_mean_reversion", sweep_sql(*MR))
+def sweep_mean_reversion(spark, sf):
+    return run(spark, sf, *_reorder(reversion_sweep_inputs(spark, sf), GRID_MR))
+
+
+def _reorder(inputs, grid):
+    bars, signal, keep = inputs
+    return bars, grid, signal, keep
+
+
+GRID_MOM = ParamGrid({"band_mult": [0.5, 1.0], "trade_freq": [60, 120]})
+
+
+@query(
+    "sweep_momentum",
+    sweep_sql(
+        "bars_1h daily dividends",
+        GRID_MOM,
+        f"{MOM_CTES}, sb AS (SELECT * FROM mm WHERE known > 0)",
+        signed(
+            "close > hi * (1 + band_mult * sigma_open) AND close > vwap",
+            "coalesce(close < lo * (1 - band_mult * sigma_open), FALSE) OR coalesce(close < vwap, FALSE)",
+        ),
+    ),
+)
+def sweep_momentum(spark, sf):
+    bars, day = momentum_bars(spark, sf, True)
+    vols = priced_days(spark, sf).select("symbol", "day", "ticker_dvol")
+    return run(
+        spark, sf, *_reorder(sw.momentum_inputs(bars), GRID_MOM), daily=day.join(vols, ["symbol", "day"], "left")
+    )
+
+
+GRID_ATR = ParamGrid(
+    {
+        "atr_mult": [1.0, 2.0],
+        "atr_period": [5, 10],
+        "trade_freq": [5, 20],
+        "stop_loss_pct": [0.002, 0.004],
+        "take_profit_pct": [0.01],
+    }
+)
+_ATR = ", ".join(
+    walk("tr", "symbol, day", "true_range", p, f"({p - 1}.0::DOUBLE / {p})", 0, f"av{p}") for p in (5, 10)
+)
+
+
+@query(
+    "sweep_momentum_atr",
+    sweep_sql(
+        "bars_5m",
+        GRID_ATR,
+        f"""tr AS MATERIALIZED ({TR_SQL.format(src='bars_5m')}), {_ATR},
+        sb AS (SELECT b.*, av5.y AS a5, av10.y AS a10, max(high) OVER w AS hi, min(low) OVER w AS lo, {VWAP_SQL.replace('PARTITION BY symbol, day ORDER BY ts', 'PARTITION BY b.symbol, b.day ORDER BY b.ts')} AS vwap
+               FROM bars_5m b LEFT JOIN av5 ON b.symbol = av5.symbol AND b.ts = av5.ts LEFT JOIN av10 ON b.symbol = av10.symbol AND b.ts = av10.ts
+               WINDOW w AS (PARTITION BY b.symbol, b.day ORDER BY b.ts ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING))""",
+        f"""sg1 AS (SELECT *, hi + atr_mult * CASE atr_period WHEN 5 THEN a5 ELSE a10 END * 0.1::DOUBLE AS up,
+               lo - atr_mult * CASE atr_period WHEN 5 THEN a5 ELSE a10 END * 0.1::DOUBLE AS dn FROM gb),
+        sg2 AS (SELECT *, {decide('up IS NOT NULL AND dn IS NOT NULL AND close > up AND close > vwap',
+            'up IS NOT NULL AND dn IS NOT NULL AND (coalesce(close < dn, FALSE) OR coalesce(close < vwap, FALSE))')} FROM sg1)""",
+    ),
+)
+def sweep_momentum_atr(spark, sf):
+    bars = intraday.vwap(fx.bars(spark, sf, 5, True))
+    return run(spark, sf, *_reorder(sw.momentum_atr_inputs(bars, GRID_ATR.params["atr_period"]), GRID_ATR))
+
+
+GRID_RSI = ParamGrid(
+    {
+        "rsi_period": [5, 7],
+        "rsi_oversold": [40.0, 48.0],
+        "rsi_overbought": [60.0],
+        "sma_period": [10, 15],
+        "trade_freq": [5],
+        "stop_loss_pct": [0.003],
+        "take_profit_pct": [0.006],
+    }
+)
+
+
+@query(
+    "sweep_mean_reversion_rsi",
+    sweep_sql(
+        "bars_5m",
+        GRID_RSI,
+        f"""{rsi_wilder_ctes('bars_5m', 'symbol, day', 5, '5')}, {rsi_wilder_ctes('bars_5m', 'symbol, day', 7, '7')},
+        sb AS (SELECT b.*, rw5.rsi AS r5, rw7.rsi AS r7,
+                   {full('avg', 'close', 10, 1, 'PARTITION BY b.symbol, b.day ORDER BY b.ts')} AS s10,
+                   {full('avg', 'close', 15, 1, 'PARTITION BY b.symbol, b.day ORDER BY b.ts')} AS s15
+               FROM bars_5m b LEFT JOIN rw5 ON b.symbol = rw5.symbol AND b.ts = rw5.ts LEFT JOIN rw7 ON b.symbol = rw7.symbol AND b.ts = rw7.ts)""",
+        f"""sg1 AS (SELECT *, CASE rsi_period WHEN 5 THEN r5 ELSE r7 END AS r, CASE sma_period WHEN 10 THEN s10 ELSE s15 END AS s FROM gb),
+        sg2 AS (SELECT *, {decide('r < rsi_oversold AND close > s', 'coalesce(r > rsi_overbought, FALSE) OR coalesce(close < s, FALSE)')} FROM sg1)""",
+    ),
+)
+def sweep_mean_reversion_rsi(spark, sf):
+    bars = fx.bars(spark, sf, 5, True)
+    inputs = sw.rsi_inputs(bars, GRID_RSI.params["rsi_period"], GRID_RSI.params["sma_period"])
+    return run(spark, sf, *_reorder(inputs, GRID_RSI))
+
+
+GRID_PAIR = ParamGrid(
+    {
+        "zscore_lookback": [6, 9],
+        "entry_threshold": [0.8, 1.2],
+        "exit_threshold": [0.0, 0.4],
+        "use_dynamic_hedge": [True, False],
+        "trade_freq": [5],
+        "stop_loss_pct": [0.004],
+        "take_profit_pct": [0.008],
+    }
+)
+
+
+def _pair_z(n: int, kind: str) -> str:
+    w = f"({WD} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+    hedge = (
+        f"CASE WHEN count(close_b) OVER w{n} = {n} THEN CASE WHEN avg(close_b) OVER w{n} > 0 THEN avg(close_a) OVER w{n} / avg(close_b) OVER w{n} ELSE 1 END END"
+        if kind == "dyn"
+        else "1::DOUBLE"
+    )
+    return f"close_a - ({hedge}) * close_b AS s{kind}{n}"
+
+
+@query(
+    "sweep_stat_arb",
+    sweep_sql(
+        "bars_5m",
+        GRID_PAIR,
+        f"""pa AS (SELECT 'click/view' AS symbol, a.ts, a.day, a.min_from_open, a.close AS close_a, b.close AS close_b, a.close
+            FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY ts) AS n FROM bars_5m WHERE symbol = 'click') a
+            JOIN (SELECT *, row_number() OVER (PARTITION BY day ORDER BY ts) AS n FROM bars_5m WHERE symbol = 'view') b
+            ON a.day = b.day AND a.n = b.n),
+        ps AS (SELECT *, {', '.join(_pair_z(n, k) for n in (6, 9) for k in ('dyn', 'fix'))} FROM pa
+            WINDOW w6 AS ({WD} ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), w9 AS ({WD} ROWS BETWEEN 9 PRECEDING AND 1 PRECEDING)),
+        sb AS (SELECT *, {', '.join(f"{z_lagged(n, f's{k}{n}', WD)} AS z{k}{n}" for n in (6, 9) for k in ('dyn', 'fix'))} FROM ps)""",
+        f"""sg1 AS (SELECT *, CASE WHEN use_dynamic_hedge THEN CASE zscore_lookback WHEN 6 THEN zdyn6 ELSE zdyn9 END
+               ELSE CASE zscore_lookback WHEN 6 THEN zfix6 ELSE zfix9 END END AS z FROM gb),
+        sg2 AS (SELECT *, {decide('z < -entry_threshold', 'z > entry_threshold OR (z >= exit_threshold AND z <= entry_threshold)')} FROM sg1)""",
+        days=days_cte("'click/view'", "symbol = 'click'"),
+    ),
+)
+def sweep_stat_arb(spark, sf):
+    pair = join_pair(fx.bars(spark, sf, 5, True), "click", "view")
+    leg = priced_days(spark, sf).where(F.col("symbol") == "click").withColumn("symbol", F.lit("click/view"))
+    inputs = sw.pair_inputs(pair, GRID_PAIR.params["zscore_lookback"])
+    return run(spark, sf, *_reorder(inputs, GRID_PAIR), daily=leg)
+
+
+GRID_ML = ParamGrid({"buy_threshold": [0.55, 0.8], "sell_threshold": [0.2, 0.45], "trade_freq": [30, 60]})
+
+
+@query(
+    "sweep_supervised",
+    sweep_sql(
+        "scored",
+        GRID_ML,
+        "sb AS (SELECT *, CAST(hour(ts) * 60 + minute(ts) - 569 AS INTEGER) AS min_from_open FROM scored)",
+        """sg0 AS (SELECT *, CASE WHEN probability >= buy_threshold THEN 1 WHEN probability <= sell_threshold THEN 0 END AS want FROM gb),
+        sg1 AS (SELECT *, coalesce(last_value(want IGNORE NULLS) OVER (PARTITION BY config_id, symbol, day ORDER BY ts ROWS UNBOUNDED PRECEDING), 0) AS st FROM sg0),
+        sg2 AS (SELECT *, st - coalesce(lag(st) OVER (PARTITION BY config_id, symbol, day ORDER BY ts), 0) AS signal FROM sg1)""",
+    ),
+)
+def sweep_supervised(spark, sf):
+    ticks = fx.scored_ticks(spark, sf, True).withColumn("min_from_open", bar_minute())
+    return run(spark, sf, ticks, GRID_ML, sw.supervised_signal, ["probability"])
+
+
+# ------------------------------------------------------------------ reports over a sweep
+
+
+def reversion_days(spark, sf):
+    bars, signal, keep = reversion_sweep_inputs(spark, sf)
+    return sw.sweep_days(bars, priced_days(spark, sf), GRID_MR, signal, keep, COST, fx.risk_free(spark, sf))
+
+
+_BEST = """SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY sharpe_ratio DESC NULLS LAST, config_id) AS r FROM st"""
+
+
+@query(
+    "rerun_best",
+    sweep_sql(
+        *MR,
+        tail=f"""SELECT config_id, symbol, day, round(ret, 6) + 0 AS ret, buys, sells FROM rep_in
+        SEMI JOIN (SELECT config_id, symbol FROM ({_BEST}) WHERE r = 1) b USING (config_id, symbol)""",
+    ),
+)
+def rerun_best(spark, sf):
+    days = materialize(reversion_days(spark, sf))
+    best = sw.rerun_best(days, sw.report(days, GRID_MR, 0.05))
+    return best.select("config_id", "symbol", "day", F.round("ret", 6).alias("ret"), "buys", "sells")
+
+
+@query(
+    "sweep_best_summary",
+    sweep_sql(
+        *MR,
+        tail=f"""SELECT symbol, count(*) AS n_configs, min(sharpe_ratio) AS min_sharpe, max(sharpe_ratio) AS max_sharpe,
+            min(total_return_pct) AS min_return_pct, max(total_return_pct) AS max_return_pct,
+            max(CASE WHEN r = 1 THEN config_id END) AS best_config FROM ({_BEST}) GROUP BY symbol""",
+    ),
+)
+def sweep_best_summary(spark, sf):
+    """Range of results and the winning configuration per symbol."""
+    table = materialize(run(spark, sf, *_reorder(reversion_sweep_inputs(spark, sf), GRID_MR)))
+    best = sw.best_configs(table).select("symbol", F.col("config_id").alias("best_config"))
+    return m.sweep_summary(table).join(best, "symbol")
+
+
+@query(
+    "default_grid",
+    sql(
+        "ticks",
+        """SELECT s.symbol, CAST(l.i * 9 + u.i * 3 + n.i AS INTEGER) AS config_id, [10, 20, 30][l.i + 1] AS zscore_lookback,
+               [1.5, 2.0, 2.5][u.i + 1]::DOUBLE AS n_std_upper, [1.5, 2.0, 2.5][n.i + 1]::DOUBLE AS n_std_lower
+        FROM (SELECT DISTINCT symbol FROM ticks) s, range(3) l(i), range(3) u(i), range(3) n(i)""",
+    ),
+)
+def default_grid(spark, sf):
+    """Every symbol with every default configuration."""
+    from barloom.plans.grids import STRATEGY_GRIDS
+
+    lists = {k: v for k, v in STRATEGY_GRIDS["mean_reversion"].items() if k != "exit_threshold"}
+    return ParamGrid(lists).multiply(fx.ticks(spark, sf).select("symbol").distinct())
+
+
+@query(
+    "grid_size",
+    sql(
+        "ticks",
+        """SELECT symbol, strategy, CAST(n AS BIGINT) AS n_configs FROM (SELECT DISTINCT symbol FROM ticks),
+        (VALUES ('momentum', 4), ('momentum_atr', 12), ('mean_reversion', 54), ('mean_reversion_rsi', 54),
+                ('stat_arb', 36), ('supervised', 16)) t(strategy, n)""",
+    ),
+)
+def grid_size(spark, sf):
+    """Configurations per symbol and strategy."""
+    sizes = grid_sizes(spark)
+    return fx.ticks(spark, sf).select("symbol").distinct().join(F.broadcast(sizes), how="cross")

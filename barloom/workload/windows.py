@@ -40,7 +40,7 @@ def bar_sql(body: str, uses: str = "bars_1h", src: str = "bars_1h") -> str:
     return sql(uses, f"SELECT symbol, ts, {body} FROM {src}")
 
 
-VWAP_SQL = f"sum(volume * (high + low + close) / 3) OVER ({WD}) / nullif(sum(volume) OVER ({WD}), 0)"
+VWAP_SQL = f"sum(volume * ((high + low + close) / 3)) OVER ({WD}) / nullif(sum(volume) OVER ({WD}), 0)"
 MOVE_SQL = f"CASE WHEN first_value(open) OVER ({WD}) = 0 THEN 0 ELSE abs(close / nullif(first_value(open) OVER ({WD}), 0) - 1) END"
 
 
