@@ -16,7 +16,7 @@ COMMON_GRID = {
     "trade_freq": [30, 45, 60, 90],
     "stop_loss_pct": [0.01, 0.02, 0.03],
     "take_profit_pct": [0.04, 0.05, 0.06],
-    "max_drawdown_pct": [0.10, 0.15, 0.20],
+    "drawdown_limit": [0.10, 0.15, 0.20],
     "target_vol": [0.015, 0.02, 0.025],
 }
 STRATEGY_GRIDS = {
@@ -58,7 +58,7 @@ COMMON_DEFAULTS = {
     "max_leverage": 1.0,
     "stop_loss_pct": 0.02,
     "take_profit_pct": 0.04,
-    "max_drawdown_pct": 0.15,
+    "drawdown_limit": 0.15,
     "lookback_period": 20,
     "slippage_bps": 0.1,
     "var_confidence": 0.95,

@@ -215,7 +215,7 @@ def sized_days(days: DataFrame, grid: ParamGrid, daily: DataFrame, rates: DataFr
         COMMON_DEFAULTS["kelly_vol_blend_weight"],
     )
     full = full.withColumn("size_factor", size).withColumn("ret", F.col("size_factor") * unit)
-    halted = drawdown_breaker(full, param("max_drawdown_pct"), keys)
+    halted = drawdown_breaker(full, param("drawdown_limit"), keys)
     stopped = (F.col("halted") == 1) & (F.col("ret") == 0.0)
     counts = {c: F.when(stopped, 0).otherwise(F.col(c)) for c in ("buys", "sells", "stop_losses", "take_profits")}
     # Every traded day is in ``daily``, so benchmark and rate are looked up there, not from the sweep.

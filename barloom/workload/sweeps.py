@@ -68,7 +68,7 @@ def daily_ctes(grid: ParamGrid, signal: str, src: str = "sb", days: str | None =
     stops = "stop_loss_pct" in grid.params
     freq = "trade_freq" if "trade_freq" in grid.params else "30"
     target = "target_vol" if "target_vol" in grid.params else "0.02::DOUBLE"
-    limit = "max_drawdown_pct" if "max_drawdown_pct" in grid.params else "0.15::DOUBLE"
+    limit = "drawdown_limit" if "drawdown_limit" in grid.params else "0.15::DOUBLE"
     held = (
         f"{run_ctes(PART)}, {barrier_ctes('stop_loss_pct', 'take_profit_pct', PART)}"
         if stops
@@ -91,7 +91,7 @@ def daily_ctes(grid: ParamGrid, signal: str, src: str = "sb", days: str | None =
                CAST(sum((held = 1 AND was = 0)::INTEGER) AS BIGINT) AS buys, CAST(sum((held = 0 AND was = 1)::INTEGER) AS BIGINT) AS sells,
                CAST(sum((exit_reason = 2)::INTEGER) AS BIGINT) AS stop_losses, CAST(sum((exit_reason = 3)::INTEGER) AS BIGINT) AS take_profits
            FROM be GROUP BY 1, 2, 3),
-    sz2 AS (SELECT ur.*, {'target_vol, max_drawdown_pct, ' if limit == 'max_drawdown_pct' else ''}dy.ret_ticker, least({target} / dy.vol, 1) * unit_ret AS ret0, f.rf_daily
+    sz2 AS (SELECT ur.*, {'target_vol, drawdown_limit, ' if limit == "drawdown_limit" else ''}dy.ret_ticker, least({target} / dy.vol, 1) * unit_ret AS ret0, f.rf_daily
             FROM ur JOIN dy USING (symbol, day) JOIN rf_daily f USING (day) JOIN g USING (config_id)),
     q1 AS (SELECT *, product(1 + ret0) OVER (PARTITION BY {PART} ORDER BY day ROWS UNBOUNDED PRECEDING) AS eq0 FROM sz2),
     q2 AS (SELECT *, coalesce(lag(eq0) OVER (PARTITION BY {PART} ORDER BY day), 1) AS prior FROM q1),
@@ -133,7 +133,7 @@ GRID_MR = ParamGrid(
         "stop_loss_pct": [0.003],
         "take_profit_pct": [0.006],
         "target_vol": [0.002],
-        "max_drawdown_pct": [0.01],
+        "drawdown_limit": [0.01],
     }
 )
 _Z_SWEEP = "CASE zscore_lookback WHEN 5 THEN z5 ELSE z10 END"
