@@ -13,6 +13,7 @@ from barloom.functions.risk import drawdown
 from barloom.operators import indicators as ind
 from barloom.operators import recurrence as rec
 from barloom.operators.selection import select_features
+from barloom.session import materialize
 from barloom.operators.series import BARS, Frame, Layout, Scan, blocked_scan, numbered, over_chunks
 
 RAW = ("open", "high", "low", "close", "volume")
@@ -46,7 +47,7 @@ def raw_features(df: DataFrame, layout: Layout = BARS) -> DataFrame:
 
     stages = [together, risk, *smooth]
     before = rec.halo(step, 2) + max(ind.WINDOWS)
-    wide = over_chunks(df, stages, layout, before=before, step=step, keep_index=True)
+    wide = over_chunks(df, stages, layout, before=before, step=step, keep_index=True, count=("close", "volume"))
     return wide.withColumns({**price_position(), **time_features()})
 
 
@@ -72,13 +73,23 @@ def impute_fill(
     ).drop(*[f"_f_{c}" for c in columns], *[f"_b_{c}" for c in columns])
 
 
-def feature_matrix(df: DataFrame, drop_first: int | None = WARMUP_ROWS, layout: Layout = BARS) -> DataFrame:
+def feature_matrix(
+    df: DataFrame,
+    drop_first: int | None = WARMUP_ROWS,
+    layout: Layout = BARS,
+    only: Sequence[str] | None = None,
+) -> DataFrame:
     """Cleaned features of every bar, optionally without the warm-up rows.
 
-    Two passes over the bars: one chunked, one blocked for the fills and the running maximum.
+    Two passes over the bars: one chunked, one blocked for the fills and the running maximum. The
+    second reads its input twice, so the raw features, or those in ``only``, are written in between.
     """
     raw = raw_features(df, layout)
     skip = {*layout.keys, *layout.order, "day", "event_id"}
+    if only is not None:
+        kept = [c for c in raw.columns if c in skip or c in only or c in ("close", "_i", "_n")]
+        raw = raw.select(*kept)
+    raw = materialize(raw)
     floats = [c for c, t in raw.dtypes if t == "double" and c not in skip]
     peak = Scan("_peak", "max", F.col("close"))
     full = impute_fill(raw, floats, layout, [peak]).withColumn("drawdown", drawdown(F.col("close"), F.col("_peak")))
@@ -89,7 +100,7 @@ def feature_matrix(df: DataFrame, drop_first: int | None = WARMUP_ROWS, layout:
 
 def features_for_scoring(df: DataFrame, required: Sequence[str], layout: Layout = BARS) -> DataFrame:
     """Exactly the features a model asks for, on every bar; an unknown feature is an error."""
-    return select_features(feature_matrix(df, None, layout), required)
+    return select_features(feature_matrix(df, None, layout, required), required)
 
 
 def forward_label(

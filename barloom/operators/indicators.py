@@ -40,14 +40,14 @@ def lag_stage(f: Frame) -> dict[str, Column]:
 
 def std_stage(windows: Sequence[int]) -> Stage:
     return lambda f: {
-        f"vol_{n}": when_full(F.stddev_samp("close").over(f.last(n)), F.count("close").over(f.last(n)), n)
+        f"vol_{n}": when_full(F.stddev_samp("close").over(f.last(n)), f.seen("close", n), n)
         for n in windows
     }
 
 
 def sma_stage(windows: Sequence[int], source: str = "close", prefix: str = "ma_") -> Stage:
     return lambda f: {
-        f"{prefix}{n}": when_full(F.avg(source).over(f.last(n)), F.count(source).over(f.last(n)), n)
+        f"{prefix}{n}": when_full(F.avg(source).over(f.last(n)), f.seen(source, n), n)
         for n in windows
     }
 
@@ -66,7 +66,7 @@ def zscore_stage(windows: Sequence[int]) -> Stage:
         out = {}
         for n in windows:
             z = ratio(F.col("close") - F.avg("close").over(f.last(n)), F.stddev_samp("close").over(f.last(n)))
-            out[f"zscore_{n}"] = when_full(z, F.count("close").over(f.last(n)), n)
+            out[f"zscore_{n}"] = when_full(z, f.seen("close", n), n)
         return out
 
     return stage
@@ -80,7 +80,7 @@ def zscore_lagged_stage(lookbacks: Sequence[int], source: str = "close", prefix:
         for n in lookbacks:
             w = f.last(n, skip=1)
             z = ratio(F.col(source) - F.avg(source).over(w), F.stddev_pop(source).over(w))
-            out[f"{prefix}{n}"] = when_full(z, F.count(source).over(w), n)
+            out[f"{prefix}{n}"] = when_full(z, f.seen(source, n, 1), n)
         return out
 
     return stage
@@ -89,7 +89,7 @@ def zscore_lagged_stage(lookbacks: Sequence[int], source: str = "close", prefix:
 def sma_lagged_stage(periods: Sequence[int], source: str = "close", prefix: str = "sma_") -> Stage:
     return lambda f: {
         f"{prefix}{n}": when_full(
-            F.avg(source).over(f.last(n, skip=1)), F.count(source).over(f.last(n, skip=1)), n
+            F.avg(source).over(f.last(n, skip=1)), f.seen(source, n, 1), n
         )
         for n in periods
     }
@@ -102,7 +102,7 @@ def momentum_stage(lags: Sequence[int] = (1, 5, 10)) -> Stage:
 def volume_stage(with_vwap: bool) -> Stage:
     def stage(f: Frame) -> dict[str, Column]:
         w = f.last(RISK_WINDOW)
-        avg = when_full(F.avg("volume").over(w), F.count("volume").over(w), RISK_WINDOW)
+        avg = when_full(F.avg("volume").over(w), f.seen("volume", RISK_WINDOW), RISK_WINDOW)
         out = {"volume_ma_20": avg, "volume_ratio": ratio("volume", avg)}
         if with_vwap:
             out["vwap_deviation"] = ratio(F.col("close") - F.col("vwap"), "vwap")

@@ -66,12 +66,13 @@ class Scan:
     """Leave out the current row. ``last`` of a struct is then the lag across blocks."""
 
 
-def _running(scan: Scan, w: WindowSpec, lo: int, hi: int) -> Column:
-    if scan.kind == "next":
-        frame = w.rowsBetween(-hi if hi else 0, W.unboundedFollowing)
-        return F.first(scan.value, ignorenulls=True).over(frame)
-    frame = w.rowsBetween(lo, hi)
-    if scan.kind == "last":
+def _running(scan: Scan, part: Sequence[str], order: Sequence[str], exclusive: bool) -> Column:
+    """A growing frame in either direction. Back fill runs forward over the reversed order, because
+    a frame that ends at the last row would be walked again for every row."""
+    back = scan.kind == "next"
+    by = [F.desc(o) for o in order] if back else list(order)
+    frame = W.partitionBy(*part).orderBy(*by).rowsBetween(W.unboundedPreceding, -1 if exclusive else 0)
+    if scan.kind in ("last", "next"):
         return F.last(scan.value, ignorenulls=True).over(frame)
     return getattr(F, scan.kind)(scan.value).over(frame)
 
@@ -95,19 +96,27 @@ def _merge(kind: str, local: Column, carried: Column) -> Column:
     return F.coalesce(local, carried)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition into the session's number of shuffle partitions.
+
+    A plain shuffle would be merged into few tasks when its input is small, although the steps
+    after it multiply rows or are heavy; a shuffle with a fixed number is left alone. Windows and
+    aggregates on a superset of ``keys`` reuse it.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def blocked_scan(df: DataFrame, scans: Sequence[Scan], layout: Layout = BARS) -> DataFrame:
     """Add running columns. One shuffle on (keys, block); the carried part is one row per block."""
-    w = layout.window()
-    local = df.withColumns({s.out: _running(s, w, W.unboundedPreceding, -1 if s.exclusive else 0) for s in scans})
+    local = df.withColumns({s.out: _running(s, layout.block_keys, layout.order, s.exclusive) for s in scans})
     if layout.block is None:
         return local
     order = layout.order_value()
     totals = df.groupBy(*layout.block_keys).agg(*[_total(s, order).alias(s.out) for s in scans])
-    across = W.partitionBy(*layout.keys).orderBy(layout.block)
     carried = totals.select(
         *layout.block_keys,
         *[
-            _running(Scan(s.out, s.kind, F.col(s.out)), across, W.unboundedPreceding, -1).alias(f"_in_{s.out}")
+            _running(Scan(s.out, s.kind, F.col(s.out)), layout.keys, [layout.block], True).alias(f"_in_{s.out}")
             for s in scans
         ],
     )
@@ -148,6 +157,8 @@ class Frame:
     rows: WindowSpec
     sub: WindowSpec
     step: int
+    counted: frozenset[str] = frozenset()
+    """Columns whose running count is at hand as ``_n_<column>``."""
 
     @property
     def i(self) -> Column:
@@ -162,6 +173,14 @@ class Frame:
         """The n rows that end ``skip`` rows before the current one."""
         return self.rows.rowsBetween(-(n - 1) - skip, -skip)
 
+    def seen(self, column: str, n: int, skip: int = 0) -> Column:
+        """Known values among the ``last(n, skip)`` rows; a difference of running counts if possible."""
+        if column not in self.counted:
+            return F.count(column).over(self.last(n, skip))
+        upto = F.lag(f"_n_{column}", skip).over(self.rows) if skip else F.col(f"_n_{column}")
+        older = F.lag(f"_n_{column}", n + skip).over(self.rows)
+        return F.coalesce(upto, F.lit(0)) - F.coalesce(older, F.lit(0))
+
     def before(self) -> WindowSpec:
         return self.rows.rowsBetween(W.unboundedPreceding, -1)
 
@@ -177,15 +196,17 @@ def over_chunks(
     after: int = 0,
     step: int | None = None,
     keep_index: bool = False,
+    count: Sequence[str] = (),
 ) -> DataFrame:
     """Add columns computed from at most ``before`` earlier and ``after`` later rows of a series.
 
     Stages run one after another and may use the columns of earlier stages; columns that start
     with an underscore are dropped at the end. All windows of a call share one partitioning and
-    one sort order, (keys, chunk, sub-block, position), so the call costs one sort.
+    one sort order, (keys, chunk, sub-block, position), so the call costs one sort. For columns in
+    ``count``, stages get the number of known values in a frame without walking the frame.
     """
     step = step or layout.rows
-    inner = numbered(df, layout)
+    inner = numbered(spread(df, *layout.keys) if layout.block is None else df, layout)
     part = [*layout.keys]
     if layout.block is not None:
         size = max(layout.rows, 1)
@@ -193,12 +214,17 @@ def over_chunks(
         final = F.least(F.floor((F.col("_i") + before) / size), F.floor((F.col("_n") - 1) / size))
         inner = inner.withColumn("_c", F.explode(F.sequence(first, final)))
         part.append("_c")
+        inner = spread(inner, *part)
     inner = inner.withColumn("_s", F.floor(F.col("_i") / step))
     frame = Frame(
         rows=W.partitionBy(*part).orderBy("_s", "_i"),
         sub=W.partitionBy(*part, "_s").orderBy("_i").rowsBetween(W.unboundedPreceding, 0),
         step=step,
+        counted=frozenset(count),
     )
+    upto = frame.rows.rowsBetween(W.unboundedPreceding, 0)
+    if count:
+        inner = inner.withColumns({f"_n_{c}": F.count(c).over(upto) for c in count})
     for stage in stages:
         inner = inner.withColumns(stage(frame))
     if layout.block is not None:

@@ -31,7 +31,7 @@ from barloom.operators import sizing
 from barloom.operators.joins import asof_risk_free, join_prev_day
 from barloom.operators.metrics import best_rows, strategy_report
 from barloom.operators.positions import drawdown_breaker
-from barloom.operators.series import DAY, over_chunks
+from barloom.operators.series import DAY, over_chunks, spread
 from barloom.plans.grids import COMMON_DEFAULTS, ParamGrid, pick
 
 _GROUP = ["symbol", "day", "config_id"]
@@ -44,7 +44,8 @@ def prepare(bars: DataFrame, daily: DataFrame, keep: Sequence[str]) -> DataFrame
     """Tradable bars: those after the first day, with their price change and place in the day."""
     w = W.partitionBy("symbol", "day").orderBy("ts")
     whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    base = join_prev_day(bars, daily.select("symbol", "day", "open", "close", *_dividend(daily)))
+    days = daily.select("symbol", "day", "open", "close", *_dividend(daily))
+    base = join_prev_day(spread(bars, "symbol", "day"), days)
     first = F.first("min_from_open").over(whole)
     spacing = F.coalesce(F.nth_value("min_from_open", 2).over(whole) - first, F.lit(1))
     before = F.coalesce(F.lag("close").over(w), F.col("prev_close"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import risk
 from barloom.operators import selection as sel
-from barloom.operators.features import feature_matrix
+from barloom.operators.features import features_for_scoring
 from barloom.operators.joins import join_by_day
 from barloom.operators.series import BARS
 from barloom.workload import fixtures as fx
@@ -142,10 +142,7 @@ def trading_minutes(spark, sf):
     ),
 )
 def select_features(spark, sf):
-    from barloom.operators.features import features_for_scoring
-
-    matrix = feature_matrix(fx.bars(spark, sf), None)
-    return out(sel.select_features(matrix, ["momentum_5", "hour_of_day"]), BAR, "momentum_5", "hour_of_day")
+    return out(features_for_scoring(fx.bars(spark, sf), ["momentum_5", "hour_of_day"]), BAR, "momentum_5", "hour_of_day")
 
 
 _RISK = """
