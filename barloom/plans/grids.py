@@ -137,13 +137,13 @@ def validate_config(config: Mapping[str, Any], strategy: str) -> None:
         raise ValueError(f"missing required parameters for {strategy}: {missing}")
 
 
-def grid_sizes(spark: SparkSession, common: bool = False) -> DataFrame:
-    """Number of configurations per strategy."""
+def grid_sizes(symbols: DataFrame, common: bool = False) -> DataFrame:
+    """Number of configurations per symbol and strategy."""
     rows = None
     for name in STRATEGY_GRIDS:
-        ids = strategy_grid(name, common).frame(spark).select(F.lit(name).alias("strategy"))
+        ids = strategy_grid(name, common).multiply(symbols).select("symbol", F.lit(name).alias("strategy"))
         rows = ids if rows is None else rows.unionByName(ids)
-    return rows.groupBy("strategy").agg(F.count(F.lit(1)).alias("n_configs"))
+    return rows.groupBy("symbol", "strategy").agg(F.count(F.lit(1)).alias("n_configs"))
 
 
 def pick(prefix: str, param: Column | str, values: Sequence[Any]) -> Column:

@@ -25,14 +25,16 @@ def local_session(cores: int | str = "*", app: str = "barloom") -> SparkSession:
 
 
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
-    if not sc.master.startswith("local"):
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        sc.setCheckpointDir(shared)
+    elif sc.master.startswith("local"):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="barloom-ckpt-"))
+    else:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="barloom-ckpt-"))
 
 
 def materialize(df: DataFrame) -> DataFrame:

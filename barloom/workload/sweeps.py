@@ -386,5 +386,4 @@ def default_grid(spark, sf):
 )
 def grid_size(spark, sf):
     """Configurations per symbol and strategy."""
-    sizes = grid_sizes(spark)
-    return fx.ticks(spark, sf).select("symbol").distinct().join(F.broadcast(sizes), how="cross")
+    return grid_sizes(fx.ticks(spark, sf).select("symbol").distinct())
