@@ -66,7 +66,8 @@ def impute_fill(
     """
     clean = df.withColumns({c: finite(F.col(c).cast("double")) for c in columns})
     fwd = [Scan(f"_f_{c}", "last", F.col(c)) for c in columns]
-    bwd = [Scan(f"_b_{c}", "next", F.col(c)) for c in columns]
+    # What a forward fill leaves open lies before the first known value, so that one fills it.
+    bwd = [Scan(f"_b_{c}", "head", F.col(c)) for c in columns]
     filled = blocked_scan(clean, [*fwd, *bwd, *also], layout)
     return filled.withColumns(
         {c: F.coalesce(f"_f_{c}", f"_b_{c}", F.lit(0.0)) for c in columns}

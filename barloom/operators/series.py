@@ -57,7 +57,8 @@ DAILY = Layout(order=("day",), block=None)
 
 @dataclass(frozen=True)
 class Scan:
-    """One running operator: ``kind`` is sum, max, min, last (forward fill) or next (back fill)."""
+    """One running operator: ``kind`` is sum, max, min, last (forward fill), next (back fill) or
+    head (the first known value of the whole series, on every row)."""
 
     out: str
     kind: str
@@ -69,6 +70,9 @@ class Scan:
 def _running(scan: Scan, part: Sequence[str], order: Sequence[str], exclusive: bool) -> Column:
     """A growing frame in either direction. Back fill runs forward over the reversed order, because
     a frame that ends at the last row would be walked again for every row."""
+    if scan.kind == "head":
+        whole = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        return F.first(scan.value, ignorenulls=True).over(whole)
     back = scan.kind == "next"
     by = [F.desc(o) for o in order] if back else list(order)
     frame = W.partitionBy(*part).orderBy(*by).rowsBetween(W.unboundedPreceding, -1 if exclusive else 0)
@@ -81,7 +85,7 @@ def _total(scan: Scan, order: Column) -> Column:
     seen = F.when(scan.value.isNotNull(), order)
     if scan.kind == "last":
         return F.max_by(scan.value, seen)
-    if scan.kind == "next":
+    if scan.kind in ("next", "head"):
         return F.min_by(scan.value, seen)
     return getattr(F, scan.kind)(scan.value)
 
@@ -108,7 +112,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 def blocked_scan(df: DataFrame, scans: Sequence[Scan], layout: Layout = BARS) -> DataFrame:
     """Add running columns. One shuffle on (keys, block); the carried part is one row per block."""
-    local = df.withColumns({s.out: _running(s, layout.block_keys, layout.order, s.exclusive) for s in scans})
+    rows = [s for s in scans if s.kind != "head" or layout.block is None]
+    local = df.withColumns({s.out: _running(s, layout.block_keys, layout.order, s.exclusive) for s in rows})
     if layout.block is None:
         return local
     order = layout.order_value()
@@ -122,7 +127,10 @@ def blocked_scan(df: DataFrame, scans: Sequence[Scan], layout: Layout = BARS) ->
     )
     joined = local.join(carried, layout.block_keys, "left")
     return joined.withColumns(
-        {s.out: _merge(s.kind, F.col(s.out), F.col(f"_in_{s.out}")) for s in scans}
+        {
+            s.out: _merge(s.kind, F.col(s.out), F.col(f"_in_{s.out}")) if s.kind != "head" else F.col(f"_in_{s.out}")
+            for s in scans
+        }
     ).drop(*[f"_in_{s.out}" for s in scans])
 
 
