@@ -19,6 +19,13 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op3_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    from barloom.llm.substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @query
 def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
     from barloom.llm.packing import pack_documents
