@@ -19,6 +19,13 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op2_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    from barloom.llm.jaccard import jaccard_groups
+
+    return jaccard_groups(table(spark, sf, "documents"))
+
+
 @query
 def op3_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     from barloom.llm.substrings import remove_repeats
