@@ -47,3 +47,10 @@ def op7_token_files(spark: SparkSession, sf: str) -> DataFrame:
     folder = scratch_folder(spark, "token-files")
     write_token_files(table(spark, sf, "documents"), folder)
     return token_digest(spark.read.parquet(folder))
+
+
+@query
+def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    from barloom.llm.lines import dedup_lines
+
+    return dedup_lines(table(spark, sf, "documents"))
