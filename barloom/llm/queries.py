@@ -54,3 +54,17 @@ def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     from barloom.llm.lines import dedup_lines
 
     return dedup_lines(table(spark, sf, "documents"))
+
+
+@query
+def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
+    from barloom.llm.quality import quality
+
+    return quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    from barloom.llm.decontaminate import contaminations
+
+    return contaminations(table(spark, sf, "documents"), table(spark, sf, "benchmark"))

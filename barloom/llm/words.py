@@ -20,6 +20,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Lower case, and ASCII characters other than letters and digits as spaces.
+_FOLDED = _LOWER.copy()
+_FOLDED[[i for i in range(128) if not chr(i).isalnum()]] = 0x20
 
 
 @dataclass
@@ -43,16 +46,17 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def split(texts: pa.Array, lower: bool = False) -> Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of every text; a null has none."""
+def split(texts: pa.Array, lower: bool = False, fold: bool = False) -> Words:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of every text; a null has none. ``lower``: A-Z in lower case; ``fold``: also
+    without ASCII punctuation, which then separates words."""
     texts = texts.cast(pa.large_string())
     n = len(texts)
     at = np.frombuffer(texts.buffers()[1], np.int64, n + 1, texts.offset * 8)
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, np.uint8)[at[0] : at[-1]] if raw is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
     at = at - at[0]
-    if lower:
-        data = _LOWER[data]
+    if lower or fold:
+        data = (_FOLDED if fold else _LOWER)[data]
     word = ~_SPACE[data]
     begin = word.copy()
     begin[1:] &= ~word[:-1]
