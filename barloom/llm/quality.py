@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ from barloom.llm.words import slices
 
 #: Labelled documents that the classifier is fitted on, at most: those with the smallest hashes of their ids.
 TRAIN_ROWS = 6_000
-#: Hashed features; lengths of the byte sequences that are features.
+#: Hashed features, the first 64 of them left to forms of repetition; lengths of the byte sequences.
 FEATURES, LENGTHS = 1 << 17, (2, 3, 4)
 #: Passes of the dual coordinate descent, its upper bound of a multiplier, and parts for calibration.
 PASSES, BOUND, PARTS = 8, 1.0, 3
@@ -22,8 +23,16 @@ PASSES, BOUND, PARTS = 8, 1.0, 3
 _CODE = np.random.default_rng(77).integers(0, 1 << 63, (max(LENGTHS), 256), dtype=np.uint64) | np.uint64(1)
 
 
+def _repeats(text: bytes) -> list[int]:
+    """Word sequences of the form x x, whatever x is: indicators of how many there are and of their share."""
+    words = text.split()
+    n = sum(map(eq, words, words[1:]))
+    share = 10 * n // max(1, len(words) - 1)
+    return [*range(n.bit_length()), *range(32, 32 + share)]
+
+
 def features(text: bytes) -> np.ndarray:
-    """Numbers of the byte sequences that occur in a text, whatever their count; an empty text has none."""
+    """Numbers of the byte sequences and forms of repetition in a text, whatever their count; an empty text has none."""
     data = np.frombuffer(text, np.uint8)
     found = []
     for n in LENGTHS:
@@ -31,10 +40,11 @@ def features(text: bytes) -> np.ndarray:
             code = np.full(len(data) - n + 1, n, np.uint64)
             for j in range(n):
                 code = code * np.uint64(0x9E3779B97F4A7C15) + _CODE[j][data[j : len(data) - n + 1 + j]]
-            found.append(code >> np.uint64(64 - 17))
+            found.append(np.maximum(code >> np.uint64(64 - 17), np.uint64(64)))
     mark = np.zeros(FEATURES, bool)
     for code in found:
         mark[code.astype(np.int64)] = True
+    mark[_repeats(text)] = True
     return np.flatnonzero(mark).astype(np.int32)
 
 

@@ -68,3 +68,10 @@ def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     from barloom.llm.decontaminate import contaminations
 
     return contaminations(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op8_pii(spark: SparkSession, sf: str) -> DataFrame:
+    from barloom.llm.pseudonyms import pseudonymised
+
+    return pseudonymised(table(spark, sf, "documents"), "a key of the operator's own")
