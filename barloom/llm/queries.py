@@ -75,3 +75,10 @@ def op8_pii(spark: SparkSession, sf: str) -> DataFrame:
     from barloom.llm.pseudonyms import pseudonymised
 
     return pseudonymised(table(spark, sf, "documents"), "a key of the operator's own")
+
+
+@query
+def op10_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    from barloom.llm.hosts import url_verdicts
+
+    return url_verdicts(table(spark, sf, "pages"))
