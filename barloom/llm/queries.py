@@ -82,3 +82,10 @@ def op10_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     from barloom.llm.hosts import url_verdicts
 
     return url_verdicts(table(spark, sf, "pages"))
+
+
+@query
+def op1_near_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    from barloom.llm.cover_tree import near_vectors
+
+    return near_vectors(table(spark, sf, "embeddings"))
