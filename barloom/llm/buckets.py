@@ -154,7 +154,19 @@ def groups(
     ``limit`` the most bits in which sketches of linked nodes of two sizes may differ. So every pair of a bucket is
     either connected or compared.
     """
-    edges = written(verify(found.where("kind = 0").select("a", "b").distinct()), "edges")
+    # each node is first compared with the one it shares most buckets with; most other pairs are then connected already
+    pairs = written(found.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("n")), "pairs")
+    likely = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
+    edges = written(verify(likely), "edges")
+    comps = written(components(edges), "components")
+    rest = pairs.select("a", "b").join(likely, ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        rest = rest.join(comps.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in")), end, "left")
+    rest = rest.where("coalesce(a_in, a) <> coalesce(b_in, b)").select("a", "b")
+    more = written(verify(rest), "edges")
+    if not more.isEmpty():
+        edges = edges.unionByName(more)
+        comps = written(components(edges), "components")
     big = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"))
     comps = written(components(edges), "components")
     if big.isEmpty():
@@ -167,6 +179,4 @@ def groups(
     rows = own.join(sketches(own.select("node").distinct()), "node")
     dealt = rows.select("key", "node", "comp", "size", "sketch").repartition("key").sortWithinPartitions("key")
     more = written(verify(dealt.mapInArrow(_cross(limit), "a long, b long").distinct()), "edges")
-    if more.isEmpty():
-        return comps
-    return components(edges.unionByName(more))
+    return comps if more.isEmpty() else components(edges.unionByName(more))
