@@ -24,6 +24,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def aside(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns in one, where their names cannot clash with any that operators add."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*rest, F.lit(0).alias("_")).alias("rest"))
+
+
+def whole(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Undo ``aside``: the given columns, in their order."""
+    return df.select(*(F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in columns))
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes so that every input bit reaches every output bit."""
     x = x.astype(np.uint64, copy=True)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.buckets import SMALL, bucketed, groups
-from barloom.llm.common import written
+from barloom.llm.common import aside, whole, written
 from barloom.llm.words import slices, split
 
 #: Bits in which the fingerprints of two similar lines may differ; four blocks of 16 bits then have one in common.
@@ -143,23 +143,13 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lines = text.split("\n") if text is not None else []
                 away = set(drop or ())
                 n.append(len(lines)), gone.append(len(away))
-                out.append(None if text is None else "\n".join(x for i, x in enumerate(lines) if i not in away) if away else text)
-            rest = [part[c] for c in part.schema.names if c not in ("text", "drop")]
-            names = [c for c in part.schema.names if c not in ("text", "drop")]
-            yield pa.RecordBatch.from_arrays(
-                [*rest, pa.array(out, pa.string()), pa.array(n, pa.int32()), pa.array(gone, pa.int32())], names=[*names, "text", "n_lines", "n_removed"]
-            )
+                out.append("\n".join(x for i, x in enumerate(lines) if i not in away) if away else text)
+            columns = [part["doc_id"], pa.array(out, pa.string()), pa.array(n, pa.int32()), pa.array(gone, pa.int32()), part["rest"]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "n_lines", "n_removed", "rest"])
 
 
-def dedup_lines(docs: DataFrame, percent: int = 90, least: int = 20) -> DataFrame:
-    """doc_id, text, n_lines, n_removed: every document with only the first occurrence of similar lines.
-
-    Lines are the parts between line feeds, compared in lower case with white space evened out. Of each connected
-    group of equal or similar lines (see ``line_groups``) the occurrence with the smallest (doc_id, line number)
-    stays. Shorter lines stay everywhere. A document that loses all its lines stays with an empty text; a null text
-    stays null. Rows that repeat a doc_id and text are one document and keep the same lines. Other columns are not
-    looked at.
-    """
+def _deduped(docs: DataFrame, percent: int, least: int) -> DataFrame:
+    """doc_id, text, n_lines, n_removed, rest from doc_id, text, rest."""
     lines, comps = line_groups(docs, percent, least)
     of = lines.select("line", "doc_id", "no")
     # one row per different line before groups are formed
@@ -170,5 +160,24 @@ def dedup_lines(docs: DataFrame, percent: int = 90, least: int = 20) -> DataFram
     away = named.join(kept, "group").select("line", "kept")
     drop = of.join(away, "line").where(F.struct("doc_id", "no") != F.col("kept"))
     drop = drop.groupBy("doc_id").agg(F.collect_set("no").alias("drop"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.join(drop, "doc_id", "left").mapInArrow(_without, "doc_id long, text string, n_lines int, n_removed int")
+    rows = docs.join(drop, "doc_id", "left").select("doc_id", "text", "drop", "rest")
+    kind = rows.schema["rest"].dataType.simpleString()
+    return rows.mapInArrow(_without, f"doc_id long, text string, n_lines int, n_removed int, rest {kind}")
+
+
+def dedup_lines(docs: DataFrame, percent: int = 90, least: int = 20) -> DataFrame:
+    """doc_id, text, n_lines, n_removed: every document with only the first occurrence of similar lines.
+
+    Lines are the parts between line feeds, compared in lower case with white space evened out. Of each connected
+    group of equal or similar lines (see ``line_groups``) the occurrence with the smallest (doc_id, line number)
+    stays. Shorter lines stay everywhere. A document that loses all its lines stays with an empty text; a null text
+    stays null. Rows that repeat a doc_id and text are one document and keep the same lines. Other columns are not
+    looked at.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).alias("rest"))
+    return _deduped(rows, percent, least).drop("rest")
+
+
+def without_repeated_lines(docs: DataFrame, percent: int = 90, least: int = 20) -> DataFrame:
+    """``docs``, all rows and columns, with the texts of ``dedup_lines``. doc_id is a long."""
+    return whole(_deduped(aside(docs), percent, least), docs.columns)

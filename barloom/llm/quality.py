@@ -151,22 +151,35 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndar
     return np.frombuffer(got["model"], np.float64) if got else fit([], np.zeros(0, bool))
 
 
+def _scores(texts: pa.Array, model: np.ndarray) -> np.ndarray:
+    weights, slope, offset = model[:-2], model[-2], model[-1]
+    return _sigmoid(slope * np.array([margin(features((t or "").encode()), weights) for t in texts.to_pylist()]) + offset)
+
+
 def scored(docs: DataFrame, model: np.ndarray) -> DataFrame:
-    """``docs`` with a score from 0 to 1 of every whole text; null and empty texts score what the bias alone says."""
+    """doc_id, score: from 0 to 1 for every whole text; null and empty texts score what the bias alone says."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, (slope, offset) = held.value[:-2], held.value[-2:]
         for batch in batches:
             for part in slices(batch):
-                m = [margin(features((t or "").encode()), weights) for t in part["text"].to_pylist()]
-                score = _sigmoid(slope * np.array(m) + offset)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*part.schema.names, "quality_score"])
+                score = pa.array(_scores(part["text"], held.value))
+                yield pa.RecordBatch.from_arrays([part["doc_id"], score], names=["doc_id", "score"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "doc_id long, score double")
+
 
-    from pyspark.sql.types import StructType
+def good_rows(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, all columns, that score ``least`` or more; the model sees no held-out label."""
+    held = docs.sparkSession.sparkContext.broadcast(train(docs, labels.where(~held_out())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                yield part.filter(pa.array(_scores(part["text"], held.value) >= least))
 
-    schema = StructType(list(docs.schema.fields)).add("quality_score", "double")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out(doc_id="doc_id"):
@@ -180,10 +193,9 @@ def quality(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame
     is not held out. Only the text is an input of the score.
     """
     model = train(docs, labels.where(~held_out()))
-    out = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
-    return out.select(
+    return scored(docs, model).select(
         "doc_id",
         F.coalesce(held_out(), F.lit(False)).alias("held_out"),
-        F.col("quality_score").alias("score"),
-        (F.col("quality_score") >= least).cast("int").alias("predicted"),
+        "score",
+        (F.col("score") >= least).cast("int").alias("predicted"),
     )
