@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import mixed, written
 from barloom.llm.fm_index import FmIndex
-from barloom.llm.words import Words, grams, powers, signed, slices, split
+from barloom.llm.words import SPACE, Words, grams, powers, signed, slices, split
 
-#: Words of an anchor, words of stored passages in one shard, and different passages around an anchor before they are
-#: cut into single windows.
-ANCHOR, SHARD_WORDS, SPLIT_OVER = 5, 400_000, 256
+#: Words of an anchor, words of stored passages in one shard, different passages around an anchor before they are cut
+#: into single windows, and windows of a passage; where an anchor is repeated for longer, several passages follow.
+ANCHOR, SHARD_WORDS, SPLIT_OVER, LONGEST = 5, 400_000, 4_000, 128
 
 
 def _runs(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,7 +46,11 @@ def _runs(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     starts = np.flatnonzero(fresh & inside)
     ends = np.flatnonzero(np.append(fresh, True) | np.append(~inside, True))
     stop = ends[np.searchsorted(ends, starts, side="right")]
-    return starts, stop - starts, low[starts]
+    size, anchor = stop - starts, low[starts]
+    parts = -(-size // LONGEST)
+    part = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+    starts, size, anchor = (np.repeat(x, parts) for x in (starts, size, anchor))
+    return starts + part * LONGEST, np.minimum(size - part * LONGEST, LONGEST), anchor
 
 
 def _holds_twice(words: Words, start: np.ndarray, windows: np.ndarray, anchor: np.ndarray, window: int) -> np.ndarray:
@@ -190,23 +194,27 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
             words = split(part["text"])
-            spans = part["spans"].to_pylist()
-            total, gone, texts, digests = [], [], [], []
-            for k in range(part.num_rows):
-                lo, hi = words.first[k], words.first[k + 1]
-                drop = np.zeros(hi - lo + 1, np.int32)
-                for s in spans[k] or ():
-                    drop[s["a"]] += 1
-                    drop[s["b"]] -= 1
-                keep = np.flatnonzero(np.cumsum(drop[:-1]) == 0) + lo
-                data = words.data
-                kept = b" ".join([data[a:b].tobytes() for a, b in zip(words.start[keep].tolist(), words.end[keep].tolist())])
-                total.append(hi - lo)
-                gone.append(hi - lo - len(keep))
-                texts.append(kept.decode())
-                digests.append(hashlib.sha256(kept).hexdigest())
+            change = np.zeros(len(words.hash) + 1, np.int64)
+            for first, own in zip(words.first.tolist(), part["spans"].to_pylist()):
+                for s in own or ():
+                    change[first + s["a"]] += 1
+                    change[first + s["b"]] -= 1
+            keep = np.cumsum(change[:-1]) == 0
+            # bytes of kept words, each with the one after it, which is white space or begins the next row
+            edge = words.edge
+            row_end = np.repeat(edge[1:], np.diff(words.first))
+            mark = np.zeros(len(words.data) + 1, np.int64)
+            np.add.at(mark, words.start[keep], 1)
+            np.add.at(mark, np.minimum(words.end + 1, row_end)[keep], -1)
+            inside = np.cumsum(mark[:-1]) > 0
+            data = np.where(SPACE[words.data], np.uint8(0x20), words.data)[inside]
+            at = np.concatenate([[0], np.cumsum(inside)])[edge]
+            raw = data.tobytes()
+            kept = [raw[lo:hi].rstrip(b" ") for lo, hi in zip(at[:-1].tolist(), at[1:].tolist())]
+            total = np.diff(words.first)
+            gone = total - np.diff(np.concatenate([[0], np.cumsum(keep)])[words.first])
             yield pa.RecordBatch.from_arrays(
-                [part["row"], pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts), pa.array(digests)],
+                [part["row"], pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])],
                 names=["row", "n_words", "n_removed", "kept", "kept_sha256"],
             )
 

@@ -16,8 +16,8 @@ SLICE = 1 << 21
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64) | np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Lower case, and ASCII characters other than letters and digits as spaces.
@@ -27,9 +27,11 @@ _FOLDED[[i for i in range(128) if not chr(i).isalnum()]] = 0x20
 
 @dataclass
 class Words:
-    """Words of some rows: hash, first and last byte; ``first[i]:first[i+1]`` are the words of row i."""
+    """Words of some rows: hash, first byte and the one after the last; ``first[i]:first[i+1]`` are the words of row i
+    and ``edge[i]:edge[i+1]`` its bytes."""
 
     data: np.ndarray
+    edge: np.ndarray
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
@@ -57,7 +59,7 @@ def split(texts: pa.Array, lower: bool = False, fold: bool = False) -> Words:
     at = at - at[0]
     if lower or fold:
         data = (_FOLDED if fold else _LOWER)[data]
-    word = ~_SPACE[data]
+    word = ~SPACE[data]
     begin = word.copy()
     begin[1:] &= ~word[:-1]
     edges = at[:-1][at[:-1] < len(data)]
@@ -69,7 +71,7 @@ def split(texts: pa.Array, lower: bool = False, fold: bool = False) -> Words:
     stop[edges] = word[edges]
     end = np.flatnonzero(stop) + 1
     first = np.searchsorted(start, at)
-    return Words(data, start, end, first, _hash(data, word, start, end))
+    return Words(data, at, start, end, first, _hash(data, word, start, end))
 
 
 def _hash(data: np.ndarray, word: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

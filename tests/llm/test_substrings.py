@@ -45,10 +45,11 @@ def random_docs(n, seed):
     return docs
 
 
-@pytest.mark.parametrize("split_over", [0, 3, 256])
+@pytest.mark.parametrize("split_over", [0, 3, 4000])
 def test_like_counting_all_windows(spark, monkeypatch, split_over):
     monkeypatch.setattr(substrings, "SPLIT_OVER", split_over)
     monkeypatch.setattr(substrings, "SHARD_WORDS", 300)
+    monkeypatch.setattr(substrings, "LONGEST", 5 + split_over)
     docs = random_docs(60, split_over)
     rows = [(d, t, "x", d) for d, t in docs.items()]
     df = spark.createDataFrame(rows, "doc_id long, text string, row string, start long").repartition(4)
