@@ -16,10 +16,10 @@ SMALL = 8
 #: Rows of one bucket that a task holds at most; the rest of a larger bucket follows in parts.
 HELD = 1_000_000
 
-Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
+Near = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
-def _pairs_of(key: np.ndarray, node: np.ndarray, mark: np.ndarray, small: int, near: Near | None, open_first):
+def _pairs_of(key: np.ndarray, node: np.ndarray, mark: np.ndarray, span: np.ndarray, small: int, near: Near | None, open_first):
     """Pairs within runs of equal keys, and the rows of runs that are too large for all pairs."""
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
@@ -27,13 +27,13 @@ def _pairs_of(key: np.ndarray, node: np.ndarray, mark: np.ndarray, small: int, n
     size = np.diff(np.append(first, len(key)))
     of = np.repeat(np.arange(len(first)), size)
     large = size > small
-    lead, lead_mark = node[first][of], mark[first][of]
+    lead, lead_mark, lead_span = node[first][of], mark[first][of], span[first][of]
     if open_first is not None and len(key) and open_first[0] == key[0]:
-        lead[of == 0], lead_mark[of == 0] = open_first[1], open_first[2]
+        lead[of == 0], lead_mark[of == 0], lead_span[of == 0] = open_first[1:]
         large[0] = True
     big = large[of]
     take = big & (lead != node)
-    a, b, ma, mb = [lead[take]], [node[take]], [lead_mark[take]], [mark[take]]
+    a, b, ma, mb, sa, sb = ([x[take]] for x in (lead, node, lead_mark, mark, lead_span, span))
     rest = np.flatnonzero(~big)
     for shift in range(1, small):
         rest = rest[rest + shift < len(key)]
@@ -42,38 +42,43 @@ def _pairs_of(key: np.ndarray, node: np.ndarray, mark: np.ndarray, small: int, n
             break
         a.append(node[rest]), b.append(node[rest + shift])
         ma.append(mark[rest]), mb.append(mark[rest + shift])
-    a, b, ma, mb = (np.concatenate(x) for x in (a, b, ma, mb))
+        sa.append(span[rest]), sb.append(span[rest + shift])
+    a, b, ma, mb, sa, sb = (np.concatenate(x) for x in (a, b, ma, mb, sa, sb))
     if near is not None:
-        ok = near(ma, mb)
+        ok = near(ma, mb, sa, sb)
         a, b = a[ok], b[ok]
     low, high = np.minimum(a, b), np.maximum(a, b)
-    return low, high, key[big], node[big], mark[big]
+    return low, high, key[big], node[big], mark[big], span[big]
 
 
 def _scan(small: int, near: Near | None):
-    """Walk rows sorted by key and node; kind 0: a pair, kind 1: (key, node, mark) of a large bucket."""
+    """Walk rows sorted by key and node; kind 0: a pair, kind 1: (key, node, mark, span) of a large bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
+        held = [np.zeros(0, np.int64)] * 4
         open_first = None
 
-        def out(key, node, mark):
-            low, high, bk, bn, bm = _pairs_of(key, node, mark, small, near, open_first)
-            kind = np.repeat(np.array([0, 1], np.int8), [len(low), len(bk)])
-            cols = [kind, np.concatenate([low, bk]), np.concatenate([high, bn]), np.concatenate([np.zeros(len(low), np.int64), bm])]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["kind", "a", "b", "mark"])
+        def out(key, node, mark, span):
+            low, high, bk, bn, bm, bs = _pairs_of(key, node, mark, span, small, near, open_first)
+            kind, blank = np.repeat(np.array([0, 1], np.int8), [len(low), len(bk)]), np.zeros(len(low), np.int64)
+            cols = [kind, *(np.concatenate(x) for x in ((low, bk), (high, bn), (blank, bm), (blank, bs)))]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["kind", "a", "b", "mark", "span"])
+
+        def columns(batch):
+            own = [batch[c].to_numpy() for c in batch.schema.names]
+            return own + [np.zeros(batch.num_rows, np.int64)] * (4 - len(own))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [np.concatenate([h, batch[c].to_numpy()]) for h, c in zip(held, ("key", "node", "mark"))]
+            rows = [np.concatenate([h, c]) for h, c in zip(held, columns(batch))]
             keep = np.ones(len(rows[0]), bool)
             keep[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
             rows = [r[keep] for r in rows]
             cut = int(np.searchsorted(rows[0], rows[0][-1]))
             if len(rows[0]) - cut > HELD:
                 key = rows[0][-1]
-                lead = (key, rows[1][cut], rows[2][cut]) if open_first is None or open_first[0] != key else open_first
+                lead = (key, *(r[cut] for r in rows[1:])) if open_first is None or open_first[0] != key else open_first
                 if open_first is None or open_first[0] != key:
                     yield out(*(r[:cut] for r in rows))
                     open_first = lead
@@ -92,9 +97,10 @@ def _scan(small: int, near: Near | None):
 
 
 def bucketed(rows: DataFrame, small: int = SMALL, near: Near | None = None) -> DataFrame:
-    """kind, a, b, mark for rows (key, node, mark), all long: see ``_scan``. ``near`` drops pairs by their marks."""
+    """kind, a, b, mark, span for rows (key, node, mark, span), all long: see ``_scan``. ``near`` drops pairs by marks
+    and spans, which nodes bring along for that (rows may lack both)."""
     dealt = rows.repartition("key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(_scan(small, near), "kind byte, a long, b long, mark long")
+    return dealt.mapInArrow(_scan(small, near), "kind byte, a long, b long, mark long, span long")
 
 
 def _cross(limit: Callable[[np.ndarray, np.ndarray], np.ndarray]):

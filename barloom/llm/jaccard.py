@@ -84,7 +84,7 @@ class Bands:
 
 
 def _sketch_rows(k: int, percent: int, common):
-    """(key, node, mark) for the sketch words of each set that are needed to meet every partner.
+    """(key, node) for the sketch words of each set that are needed to meet every partner.
 
     Of two sets of n words that agree in at least n - d, the first d + 1 in any order of word values have one in common. Words
     with many uncommon shingles come first, so passages that many documents share do not fill the buckets. A task
@@ -123,8 +123,7 @@ def _sketch_rows(k: int, percent: int, common):
                         keys.append(word[take])
                         nodes.append(np.full(len(take), node, np.uint64))
                 if keys:
-                    key, own = signed(np.concatenate(keys)), signed(np.concatenate(nodes))
-                    yield pa.RecordBatch.from_arrays([key, own, pa.array(np.zeros(len(key), np.int64))], names=["key", "node", "mark"])
+                    yield pa.RecordBatch.from_arrays([signed(np.concatenate(keys)), signed(np.concatenate(nodes))], names=["key", "node"])
 
     return run
 
@@ -202,7 +201,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     sets = written(texts.mapInArrow(_sets(k), "doc_id long, n long, node long"), "sets")
     full = texts.where("text is not null")
     common = docs.sparkSession.sparkContext.broadcast(_common_shingles(full, k, sets.count()))
-    rows = full.mapInArrow(_sketch_rows(k, percent, common), "key long, node long, mark long")
+    rows = full.mapInArrow(_sketch_rows(k, percent, common), "key long, node long")
     found = written(bucketed(rows), "candidates")
     asked = found.where("kind = 0").select(F.explode(F.array("a", "b")).alias("node")).distinct()
     one = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))

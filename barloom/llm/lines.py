@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.buckets import SMALL, bucketed, groups
-from barloom.llm.common import aside, whole, written
+from barloom.llm.common import aside, mixed, whole, written
 from barloom.llm.words import slices, split
 
 #: Bits in which the fingerprints of two similar lines may differ; four blocks of 16 bits then have one in common.
@@ -26,23 +26,25 @@ def normalised(line: str) -> str:
 
 
 def simhash(lines: list[str]) -> np.ndarray:
-    """64-bit SimHash of the words of each line; a line without words has 0."""
-    words = split(pa.array(lines, pa.string()))
+    """64-bit SimHash of the different words of each line; without words 0. A word that a line repeats counts once, else
+    lines full of one common word would all look alike."""
     out = np.zeros(len(lines), np.uint64)
     for lo in range(0, len(lines), 2048):
-        first = words.first[lo : lo + 2049]
-        if first[0] == first[-1]:
+        words = split(pa.array(lines[lo : lo + 2048], pa.string()))
+        if not len(words.hash):
             continue
-        bits = np.unpackbits(words.hash[first[0] : first[-1]].view(np.uint8).reshape(-1, 8), axis=1)
-        size = np.diff(first)
-        some = np.flatnonzero(size)
-        votes = np.add.reduceat(bits, first[:-1][some] - first[0], axis=0, dtype=np.int32)
-        out[lo + some] = np.packbits(2 * votes > size[some][:, None], axis=1).view(np.uint64).ravel()
+        kinds = np.unique((words.row.astype(np.uint64) << np.uint64(52)) | (words.hash >> np.uint64(12)))
+        row = (kinds >> np.uint64(52)).astype(np.int64)
+        bits = np.unpackbits(mixed(kinds & np.uint64((1 << 52) - 1)).view(np.uint8).reshape(-1, 8), axis=1)
+        first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        votes = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+        size = np.diff(np.append(first, len(row)))
+        out[lo + row[first]] = np.packbits(2 * votes > size[:, None], axis=1).view(np.uint64).ravel()
     return out
 
 
 def _lines(least: int):
-    """line (hash), mark (SimHash), doc_id, no: the lines of each text that are long enough to count."""
+    """line (hash), mark (SimHash), span (length), doc_id, no: the lines of each text that are long enough to count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -51,27 +53,36 @@ def _lines(least: int):
                 for doc, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist()):
                     for no, line in enumerate((text or "").split("\n")):
                         if len(line) >= least and len(line := normalised(line)) >= least:
-                            rows.append((xxhash.xxh3_64_intdigest(line), doc, no))
+                            rows.append((xxhash.xxh3_64_intdigest(line), len(line), doc, no))
                             texts[rows[-1][0]] = line
                 marks = dict(zip(texts, simhash(list(texts.values())).tolist()))
-                line, doc, no = zip(*rows) if rows else ((), (), ())
+                line, span, doc, no = zip(*rows) if rows else ((),) * 4
                 as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [as_long(line), as_long([marks[x] for x in line]), pa.array(doc, pa.int64()), pa.array(no, pa.int32())],
-                    names=["line", "mark", "doc_id", "no"],
+                    [as_long(line), as_long([marks[x] for x in line]), pa.array(span, pa.int64()), pa.array(doc, pa.int64()), pa.array(no, pa.int32())],
+                    names=["line", "mark", "span", "doc_id", "no"],
                 )
 
     return run
 
 
-def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)) <= RADIUS
+def _similar_lengths(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """An edit distance is never less than the difference in length."""
+    return np.abs(a - b) <= np.maximum(a, b) * (100 - percent) // 100
+
+
+def _near(percent: int):
+    def near(a: np.ndarray, b: np.ndarray, len_a: np.ndarray, len_b: np.ndarray) -> np.ndarray:
+        close = np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)) <= RADIUS
+        return close & _similar_lengths(len_a, len_b, percent)
+
+    return near
 
 
 def _blocks(lines: DataFrame) -> DataFrame:
-    """(key, node, mark) by the four 16-bit blocks; the key's lowest bits name the block."""
+    """(key, node, mark, span) by the four 16-bit blocks; the key's lowest bits name the block."""
     keys = F.array(*[F.shiftleft(F.xxhash64(F.lit(i), F.expr(f"shiftrightunsigned(mark, {16 * i}) & 65535L")), 2).bitwiseOR(F.lit(i).cast("long")) for i in range(4)])
-    return lines.select(F.explode(keys).alias("key"), F.col("line").alias("node"), "mark")
+    return lines.select(F.explode(keys).alias("key"), F.col("line").alias("node"), "mark", "span")
 
 
 def _finer(big: DataFrame) -> DataFrame:
@@ -79,7 +90,7 @@ def _finer(big: DataFrame) -> DataFrame:
     turned = "((shiftrightunsigned(mark, cast(16 * (key & 3) as int)) | shiftleft(mark, cast(64 - 16 * (key & 3) as int))))"
     turned = f"if(key & 3 = 0, mark, {turned})"
     keys = F.array(*[F.expr(f"xxhash64(key, {j}, shiftrightunsigned({turned}, {16 + 12 * j}) & 4095L)") for j in range(4)])
-    return big.select(F.explode(keys).alias("key"), "node", "mark")
+    return big.select(F.explode(keys).alias("key"), "node", "mark", "span")
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,20 +108,20 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def line_groups(docs: DataFrame, percent: int = 90, least: int = 20) -> tuple[DataFrame, DataFrame]:
-    """All lines of at least ``least`` normalised characters as (line, mark, doc_id, no), and the (node, component)
+    """All lines of at least ``least`` normalised characters as (line, mark, span, doc_id, no), and the (node, component)
     of the lines that are similar to others but not equal.
 
     Two lines are similar if their fingerprints differ in at most ``RADIUS`` bits and their edit distance is at most
     100 - ``percent`` percent of the longer one. Edits that change more of the fingerprint are not found.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    lines = written(texts.mapInArrow(_lines(least), "line long, mark long, doc_id long, no int"), "lines")
-    kinds = lines.groupBy("line").agg(F.first("mark").alias("mark"))
-    found = written(bucketed(_blocks(kinds), BLOCK_SMALL, _near), "candidates")
-    big = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), "mark")
+    lines = written(texts.mapInArrow(_lines(least), "line long, mark long, span long, doc_id long, no int"), "lines")
+    kinds = lines.groupBy("line").agg(F.first("mark").alias("mark"), F.first("span").alias("span"))
+    found = written(bucketed(_blocks(kinds), BLOCK_SMALL, _near(percent)), "candidates")
+    big = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), "mark", "span")
     pairs = found.where("kind = 0")
     if not big.isEmpty():
-        finer = written(bucketed(_finer(big), SMALL, _near), "candidates")
+        finer = written(bucketed(_finer(big), SMALL, _near(percent)), "candidates")
         found = pairs.unionByName(finer)
     else:
         found = pairs
@@ -129,10 +140,13 @@ def line_groups(docs: DataFrame, percent: int = 90, least: int = 20) -> tuple[Da
         return pairs.join(one, "a").join(two, "b").where(near).select("a", "b")
 
     def sketches(nodes: DataFrame) -> DataFrame:
-        marks = lines.join(nodes.withColumnRenamed("node", "line"), "line").groupBy("line").agg(F.first("mark").alias("mark"))
-        return marks.select(F.col("line").alias("node"), F.lit(0).cast("long").alias("size"), F.expr("to_binary(lpad(hex(mark), 16, '0'), 'hex')").alias("sketch"))
+        marks = lines.join(nodes.withColumnRenamed("node", "line"), "line").groupBy("line").agg(F.first("mark").alias("mark"), F.first("span").alias("size"))
+        return marks.select(F.col("line").alias("node"), "size", F.expr("to_binary(lpad(hex(mark), 16, '0'), 'hex')").alias("sketch"))
+
+    def limit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.where(_similar_lengths(a, b, percent), RADIUS, -1)
 
-    return lines, groups(found, verify, sketches, lambda a, b: np.full(np.broadcast_shapes(a.shape, b.shape), RADIUS))
+    return lines, groups(found, verify, sketches, limit)
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

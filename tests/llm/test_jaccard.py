@@ -97,10 +97,10 @@ def test_large_buckets_in_parts(monkeypatch, held):
     for k in set(key.tolist()):
         own = node[key == k].tolist()
         if len(own) <= 3:
-            assert all((0, a, b, 0) in out for a, b in combinations(own, 2))
+            assert all((0, a, b, 0, 0) in out for a, b in combinations(own, 2))
         else:
-            assert {(1, k, n, 0) for n in own} <= set(out)
-            assert {(0, own[0], n, 0) for n in own[1:]} <= set(out)
+            assert {(1, k, n, 0, 0) for n in own} <= set(out)
+            assert {(0, own[0], n, 0, 0) for n in own[1:]} <= set(out)
 
 
 def test_components_of_a_chain_and_a_star(spark):

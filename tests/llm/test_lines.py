@@ -5,6 +5,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.llm import buckets, lines
 
@@ -85,10 +86,11 @@ def test_finer_blocks_find_all_within_the_radius(spark):
                 y ^= 1 << b
             marks.add(y)
     signed = [m - (1 << 64) if m >> 63 else m for m in sorted(marks)]
-    df = spark.createDataFrame([(i, m) for i, m in enumerate(signed)], "line long, mark long")
-    first = buckets.bucketed(lines._blocks(df), 1, lines._near).where("kind = 1")
-    big = first.selectExpr("a as key", "b as node", "mark")
-    got = {(r.a, r.b) for r in buckets.bucketed(lines._finer(big), 1000, lines._near).where("kind = 0").collect()}
+    df = spark.createDataFrame([(i, m) for i, m in enumerate(signed)], "line long, mark long").withColumn("span", F.lit(9).cast("long"))
+    near = lines._near(90)
+    first = buckets.bucketed(lines._blocks(df), 1, near).where("kind = 1")
+    big = first.selectExpr("a as key", "b as node", "mark", "span")
+    got = {(r.a, r.b) for r in buckets.bucketed(lines._finer(big), 1000, near).where("kind = 0").collect()}
     own = sorted(marks)
     assert got == {(i, j) for i, j in combinations(range(len(own)), 2) if bin(own[i] ^ own[j]).count("1") <= 3}
 
