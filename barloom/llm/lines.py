@@ -29,8 +29,8 @@ def simhash(lines: list[str]) -> np.ndarray:
     """64-bit SimHash of the different words of each line; without words 0. A word that a line repeats counts once, else
     lines full of one common word would all look alike."""
     out = np.zeros(len(lines), np.uint64)
-    for lo in range(0, len(lines), 2048):
-        words = split(pa.array(lines[lo : lo + 2048], pa.string()))
+    for lo in range(0, len(lines), 256):
+        words = split(pa.array(lines[lo : lo + 256], pa.string()))
         if not len(words.hash):
             continue
         kinds = np.unique((words.row.astype(np.uint64) << np.uint64(52)) | (words.hash >> np.uint64(12)))
@@ -62,6 +62,7 @@ def _lines(least: int):
                     [as_long(line), as_long([marks[x] for x in line]), pa.array(span, pa.int64()), pa.array(doc, pa.int64()), pa.array(no, pa.int32())],
                     names=["line", "mark", "span", "doc_id", "no"],
                 )
+            pa.default_memory_pool().release_unused()
 
     return run
 
