@@ -48,6 +48,7 @@ def raw_features(df: DataFrame, layout: Layout = BARS) -> DataFrame:
     stages = [together, risk, *smooth]
     before = rec.halo(step, 2) + max(ind.WINDOWS)
     wide = over_chunks(df, stages, layout, before=before, step=step, keep_index=True, count=("close", "volume"))
+    wide = ind.held_ratio(wide, [f"rsi_{p}" for p in ind.RSI_PERIODS], layout)
     return wide.withColumns({**price_position(), **time_features()})
 
 

@@ -224,23 +224,55 @@ def _rsi_parts(periods: Sequence[int]):
         for side, value in (("g", _gain()), ("l", _loss())):
             recs.append(Recurrence(f"_{side}{p}", rec.wilder_coef(p), f"_b{side}"))
             inputs[f"_b{side}"] = value
-    result = lambda f: {
-        f"rsi_{p}": F.when(f.i >= p, 100 - 100 / (1 + ratio(f"_g{p}", f"_l{p}"))) for p in periods
-    }
+
+    def result(f: Frame) -> dict[str, Column]:
+        out = {"fell__": F.when(F.col("_d") < 0, 1)}
+        for p in periods:
+            up, down = F.col(f"_g{p}"), F.col(f"_l{p}")
+            value = F.when((down == 0) & (up > 0), F.lit(_ALL_GAIN)).otherwise(100 - 100 / (1 + ratio(up, down)))
+            out[f"rsi_{p}"] = F.when((f.i == p) | (f.i > p) & _moved(), value)
+        return out
+
     return [_change, lambda f: inputs], recs, result
 
 
+# Stands for gains without a loss in reach until it is known if there was one before.
+_ALL_GAIN = -1.0
+
+
+def _moved() -> Column:
+    return F.coalesce(F.col("_d") != 0, F.lit(False))
+
+
+def held_ratio(df: DataFrame, columns: Sequence[str], layout: Layout = BARS) -> DataFrame:
+    """Carry the last value of RSI columns over rows without a price change, and say what gains without a loss mean.
+
+    Both averages decay alike while the price stands still, so their ratio does not move however long that takes.
+    Losses that have decayed away leave an RSI of 100; where there never was one it has no value.
+    """
+    fell = "fell__" in df.columns
+    scans = [Scan(f"{c}__", "last", F.col(c)) for c in columns]
+    out = blocked_scan(df, [*scans, *([Scan("ever__", "max", F.col("fell__"))] if fell else [])], layout)
+    for c in columns:
+        value = F.col(f"{c}__")
+        if fell:
+            value = F.when(value == _ALL_GAIN, F.when(F.col("ever__") == 1, F.lit(100.0))).otherwise(value)
+        out = out.withColumn(c, value)
+    return out.drop("fell__", "ever__", *[f"{c}__" for c in columns])
+
+
 def rsi_ewm(df: DataFrame, periods: Sequence[int] = RSI_PERIODS, layout: Layout = BARS) -> DataFrame:
     """RSI from bias-corrected exponential averages. The correction is the same for gains and
     losses, so it cancels in their ratio and plain decayed sums suffice."""
     first, recs, result = _rsi_parts(periods)
     step = rec.common_step(*[r.c for r in recs])
     stages = [*first, *rec.stages(recs), result]
-    return over_chunks(df, stages, layout, before=rec.halo(step) + 1, step=step)
+    rows = over_chunks(df, stages, layout, before=rec.halo(step) + 1, step=step)
+    return held_ratio(rows, [f"rsi_{p}" for p in periods], layout)
 
 
 def rsi_wilder_stages(period: int, out: str) -> tuple[list[Stage], list[Recurrence]]:
-    """Wilder's RSI; 100 while there has been no loss."""
+    """Wilder's RSI where the price moves; 100 while there has been no loss. ``held_ratio`` fills the other rows."""
     c = rec.wilder_coef(period)
     recs = [Recurrence(f"_wg{period}", c, f"_bg{period}", start=period), Recurrence(f"_wl{period}", c, f"_bl{period}", start=period)]
 
@@ -255,7 +287,8 @@ def rsi_wilder_stages(period: int, out: str) -> tuple[list[Stage], list[Recurren
 
     def result(f: Frame) -> dict[str, Column]:
         up, down = F.col(f"_wg{period}"), F.col(f"_wl{period}")
-        return {out: F.when(down == 0, F.lit(100.0)).otherwise(100 - 100 / (1 + ratio(up, down)))}
+        value = F.when(down == 0, F.lit(100.0)).otherwise(100 - 100 / (1 + ratio(up, down)))
+        return {out: F.when((f.i == period) | (f.i > period) & _moved(), value)}
 
     return [_change, sides, inputs, *rec.stages(recs), result], recs
 
@@ -263,7 +296,7 @@ def rsi_wilder_stages(period: int, out: str) -> tuple[list[Stage], list[Recurren
 def rsi_wilder(df: DataFrame, period: int = 14, out: str = "rsi", layout: Layout = BARS) -> DataFrame:
     stages, recs = rsi_wilder_stages(period, out)
     step = rec.common_step(recs[0].c)
-    return over_chunks(df, stages, layout, before=rec.halo(step) + period + 1, step=step)
+    return held_ratio(over_chunks(df, stages, layout, before=rec.halo(step) + period + 1, step=step), [out], layout)
 
 
 def _macd_parts(configs: dict[str, tuple[int, int, int]]):

@@ -3,7 +3,11 @@
 Inside a sub-block of ``step`` rows the solution is a running sum of b * c**-k. What comes from
 older sub-blocks has decayed below double precision except for the direct predecessor, whose last
 local value is the only carry. Exponential averages, Wilder smoothing, RSI, ATR and MACD are all
-instances.
+instances. Coefficients that decay much faster than the slowest of a call get sub-blocks of their
+own, so any of them can share a call.
+
+A ratio of two such sums stays where it was while both only decay; callers whose result is a ratio
+carry it over such rows themselves (see ``indicators.held_ratio``).
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
+from pyspark.sql.window import WindowSpec
 
 from barloom.operators.series import Frame
 
@@ -27,12 +32,18 @@ def memory(c: float) -> int:
 
 
 def common_step(*coefs: float) -> int:
-    """One sub-block length that serves several recurrences at once."""
-    step = max(memory(c) for c in coefs)
-    for c in coefs:
-        if c > 0 and step * -math.log10(c) > _MAX_GROWTH:
-            raise ValueError(f"coefficients {coefs} are too far apart for one scan; run them separately")
-    return step
+    """Sub-block length of a call with several recurrences: that of the slowest."""
+    return max(memory(c) for c in coefs)
+
+
+def _sub_blocks(frame: Frame, c: float) -> tuple[int, Column, WindowSpec]:
+    """Sub-block length, position in it and window up to the row for one coefficient. Powers over the length of the
+    call must stay within double precision, else the coefficient's own memory is the length."""
+    if frame.step * -math.log10(c) <= _MAX_GROWTH:
+        return frame.step, frame.k, frame.sub
+    own = memory(c)
+    sub = W.partitionBy(*frame.part, F.floor(frame.i / own)).orderBy("_i").rowsBetween(W.unboundedPreceding, 0)
+    return own, frame.i % own + 1, sub
 
 
 def halo(step: int, levels: int = 1) -> int:
@@ -65,8 +76,9 @@ def local_sums(frame: Frame, recs: list[Recurrence]) -> dict[str, Column]:
         if r.c <= 0:
             out[f"_loc_{r.out}"] = F.col(r.b)
             continue
-        grown = F.col(r.b) * F.pow(F.lit(r.c), -frame.k)
-        out[f"_loc_{r.out}"] = F.pow(F.lit(r.c), frame.k) * F.sum(grown).over(frame.sub)
+        _, k, sub = _sub_blocks(frame, r.c)
+        grown = F.col(r.b) * F.pow(F.lit(r.c), -k)
+        out[f"_loc_{r.out}"] = F.pow(F.lit(r.c), k) * F.sum(grown).over(sub)
     return out
 
 
@@ -78,10 +90,9 @@ def carried(frame: Frame, recs: list[Recurrence]) -> dict[str, Column]:
         if r.c <= 0:
             out[r.out] = F.when(frame.i >= r.start, loc)
             continue
-        end = F.last(F.when(frame.k == frame.step, loc), ignorenulls=True).over(
-            frame.rows.rowsBetween(W.unboundedPreceding, -1)
-        )
-        out[r.out] = F.when(frame.i >= r.start, loc + F.pow(F.lit(r.c), frame.k) * F.coalesce(end, F.lit(0.0)))
+        size, k, _ = _sub_blocks(frame, r.c)
+        end = F.last(F.when(k == size, loc), ignorenulls=True).over(frame.rows.rowsBetween(W.unboundedPreceding, -1))
+        out[r.out] = F.when(frame.i >= r.start, loc + F.pow(F.lit(r.c), k) * F.coalesce(end, F.lit(0.0)))
     return out
 
 

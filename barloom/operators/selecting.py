@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from barloom.operators.ranks import rank_auc
 
 CORE = ("open", "high", "low", "close", "volume")
-MIN_VARIANCE, MAX_FEATURES, MIN_AUC = 0.01, 100, 0.52
+MIN_VARIANCE, TOP_FEATURES, MIN_AUC = 0.01, 100, 0.52
 
 
 def variances(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -22,7 +22,7 @@ def variance_filter(df: DataFrame, columns: Sequence[str], threshold: float = MI
     return variances(df, columns).where(F.col("variance") > threshold)
 
 
-def topk_by_variance(df: DataFrame, columns: Sequence[str], k: int = MAX_FEATURES) -> DataFrame:
+def topk_by_variance(df: DataFrame, columns: Sequence[str], k: int = TOP_FEATURES) -> DataFrame:
     """The k features of the highest sample variance; k is the feature, the table has one row per column."""
     return variances(df, columns).orderBy(F.desc("variance_samp"), "feature").limit(k)
 
@@ -38,13 +38,15 @@ def feature_report(
     columns: Sequence[str],
     label: str = "label",
     min_variance: float = MIN_VARIANCE,
-    max_features: int = MAX_FEATURES,
+    max_features: int | None = None,
     threshold: float = MIN_AUC,
 ) -> DataFrame:
-    """Score and selection flags per feature. OHLCV columns are kept whatever their score."""
+    """Score and selection flags per feature. OHLCV columns are kept whatever their score. All features that vary are
+    scored; ``max_features`` keeps those of the highest variance only, if that is wanted."""
     var = variances(df, columns)
-    varied = F.col("variance") > min_variance
-    rank = var.where(varied).orderBy(F.desc("variance_samp"), "feature").limit(max_features)
+    rank = var.where(F.col("variance") > min_variance)
+    if max_features is not None:
+        rank = rank.orderBy(F.desc("variance_samp"), "feature").limit(max_features)
     scored = feature_auc(df, columns, label).join(rank.select("feature", F.lit(1).alias("_in")), "feature")
     above = F.coalesce(F.col("score") > threshold, F.lit(False))
     return (

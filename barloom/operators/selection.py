@@ -24,8 +24,10 @@ def between_days(df: DataFrame, start: str | None = None, end: str | None = None
 
 def market_hours(df: DataFrame, start: str = "09:30", end: str = "15:59") -> DataFrame:
     """Keep bars whose time of day lies in [start, end], to the microsecond."""
-    clock = F.date_format("ts", "HH:mm:ss.SSSSSS")
-    return df.where((clock >= f"{start}:00.000000") & (clock <= f"{end}:00.000000"))
+    seconds = lambda hhmm: int(hhmm[:2]) * 3600 + int(hhmm[3:]) * 60
+    # EXTRACT(SECOND) has the fraction; no time zone is involved
+    clock = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.extract(F.lit("SECOND"), "ts")
+    return df.where((clock >= seconds(start)) & (clock <= seconds(end)))
 
 
 def last_days(df: DataFrame, n: int, keys: Sequence[str] = ("symbol",)) -> DataFrame:

@@ -165,6 +165,8 @@ class Frame:
     rows: WindowSpec
     sub: WindowSpec
     step: int
+    part: tuple[str, ...] = ()
+    """Columns that all windows are partitioned by."""
     counted: frozenset[str] = frozenset()
     """Columns whose running count is at hand as ``_n_<column>``."""
 
@@ -228,6 +230,7 @@ def over_chunks(
         rows=W.partitionBy(*part).orderBy("_s", "_i"),
         sub=W.partitionBy(*part, "_s").orderBy("_i").rowsBetween(W.unboundedPreceding, 0),
         step=step,
+        part=tuple(part),
         counted=frozenset(count),
     )
     upto = frame.rows.rowsBetween(W.unboundedPreceding, 0)

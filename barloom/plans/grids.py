@@ -59,9 +59,6 @@ COMMON_DEFAULTS = {
     "stop_loss_pct": 0.02,
     "take_profit_pct": 0.04,
     "drawdown_limit": 0.15,
-    "lookback_period": 20,
-    "slippage_bps": 0.1,
-    "var_confidence": 0.95,
 }
 STRATEGY_DEFAULTS = {
     "momentum": {"band_mult": 1.0},
@@ -120,10 +117,20 @@ class ParamGrid:
         return df.withColumns(self.decode(F.col("config_id")))
 
 
+def check_names(params: Mapping[str, Any], strategy: str | None = None) -> None:
+    """Every name must be one that the strategy (or, without one, any strategy) or all of them know."""
+    own = STRATEGY_DEFAULTS if strategy is None else {strategy: STRATEGY_DEFAULTS[strategy]}
+    known = {*COMMON_DEFAULTS, *(name for defaults in own.values() for name in defaults)}
+    unknown = sorted(set(params) - known)
+    if unknown:
+        raise ValueError(f"unknown parameters: {unknown}")
+
+
 def strategy_grid(strategy: str, common: bool = True, **overrides: Sequence[Any]) -> ParamGrid:
     """Default grid of a strategy with some lists replaced."""
     if strategy not in STRATEGY_GRIDS:
         raise ValueError(f"unknown strategy {strategy!r}")
+    check_names(overrides, strategy)
     return ParamGrid({**STRATEGY_GRIDS[strategy], **(COMMON_GRID if common else {}), **overrides})
 
 

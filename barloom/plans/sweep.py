@@ -294,6 +294,7 @@ def rsi_inputs(bars: DataFrame, periods: Sequence[int], averages: Sequence[int])
         stages += part
         coefs += [r.c for r in recs]
     ready = over_chunks(bars, [*stages, ind.sma_lagged_stage(averages)], DAY, step=rec.common_step(*coefs))
+    ready = ind.held_ratio(ready, [f"rsi_{p}" for p in periods], DAY)
     signal = sig.rsi_trend(
         "rsi_oversold",
         "rsi_overbought",

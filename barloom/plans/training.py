@@ -142,5 +142,5 @@ def signal_from_model(
     bars: DataFrame, model: TrainedModel, buy: float = 0.55, sell: float = 0.45, layout: Layout = BARS
 ) -> DataFrame:
     """Bars to signals: features, scaling, probabilities, latch."""
-    scored = materialize(model.score(feature_matrix(bars, None, layout)))
+    scored = materialize(model.score(feature_matrix(bars, None, layout, model.features)))
     return latch_probability(scored, buy, sell, layout)

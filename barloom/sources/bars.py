@@ -39,11 +39,31 @@ def conform(df: DataFrame, schema: T.StructType, keep: Sequence[str] = ("symbol"
     return low.select(*[k for k in keep if k in low.columns], *[cast(f).alias(f.name) for f in schema])
 
 
+def _path() -> Column:
+    """The file of a row, as readers take it; Spark hands it out percent-encoded."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def scan_bars(spark: SparkSession, root: str, schema: T.StructType = DAILY_BARS, fmt: str = "parquet") -> DataFrame:
-    """All symbols and versions below ``root``. CSV columns are found by header, never inferred."""
-    if fmt == "csv":
+    """All symbols and versions below ``root``. CSV columns are found by the header of their own file.
+
+    Files may differ in their columns and their order: a first job finds the header of each file, and files with the
+    same one are read together. It reads the text once more; large snapshots belong in Parquet.
+    """
+    if fmt != "csv":
+        return conform(spark.read.format(fmt).load(root), schema)
+    first = spark.read.text(root, recursiveFileLookup=True).select("value", _path().alias("path"), F.col("_metadata.file_block_start").alias("at"))
+    heads = first.where("at = 0").groupBy("path").agg(F.first("value").alias("head")).groupBy("head").agg(F.collect_list("path").alias("paths"))
+    parts = [
+        conform(spark.read.option("header", True).option("enforceSchema", False).option("basePath", root).csv(r.paths), schema)
+        for r in heads.orderBy("head").collect()
+    ]
+    if not parts:
         return conform(spark.read.option("header", True).csv(root), schema)
-    return conform(spark.read.format(fmt).load(root), schema)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def sink_bars(df: DataFrame, root: str, version: str, fmt: str = "parquet") -> None:
@@ -61,9 +81,13 @@ def file_version(path: Column) -> Column:
 
 
 def latest_version(df: DataFrame, keys: Sequence[str] = ("symbol",), version: str = "version") -> DataFrame:
-    """Rows of the newest version of every key. Only the few (key, version) pairs are ranked."""
-    newest = df.groupBy(*keys).agg(F.max(version).alias(version))
-    return df.join(newest, [*keys, version], "left_semi")
+    """Rows of the newest version of every key. Only the few (key, version) pairs are ranked. A NULL version is older
+    than any other; where a key has no other, its rows stay."""
+    newest = df.groupBy(*keys).agg(F.max(version).alias("_newest")).select(*[F.col(k).alias(f"_{k}") for k in keys], "_newest")
+    same = F.lit(True)
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_{k}"))
+    return df.join(newest, same & F.col(version).eqNullSafe(F.col("_newest")), "left_semi")
 
 
 def snapshot_inventory(df: DataFrame, time: str = "day") -> DataFrame:

@@ -78,16 +78,12 @@ def asof_risk_free(spark, sf):
 def asof_benchmark_return(spark, sf):
     """Every series on every day on which any series has a price."""
     prices = fx.daily_long(spark, sf)
-    every = prices.select("day").distinct().withColumn(
-        "symbol", F.explode(F.array(*[F.lit(s) for s in _PRIORITIES]))
-    )
+    # one row that lists the symbols of the table
+    symbols = prices.agg(F.collect_set("symbol").alias("symbols"))
+    every = prices.select("day").distinct().join(F.broadcast(symbols)).select("day", F.explode("symbols").alias("symbol"))
     return out(joins.asof_benchmark_return(every, prices), DAY, "ret_ticker")
 
 
-# The order priorities of the driver tables.
-_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-
-
 @query(
     "align_returns",
     sql(

@@ -134,15 +134,13 @@ def vendor_json_dividends(spark, sf):
     return vendor.dividends_from_pages(pages)
 
 
-# The event types of the driver tables.
-_TYPES = ["click", "error", "purchase", "signup", "view"]
-
-
 @query("wide_to_long", sql("daily", "SELECT symbol, day, open, high, low, close, volume FROM daily"))
 def wide_to_long(spark, sf):
     days = fx.daily(spark, sf)
+    # a wide file has a column per symbol, so the names are read before it can be built
+    types = sorted(r.symbol for r in days.select("symbol").distinct().collect())
     cells = [
-        F.max(F.when(F.col("symbol") == s, F.col(f))).alias(f"{s}|{f.title()}") for s in _TYPES for f in OHLCV
+        F.max(F.when(F.col("symbol") == s, F.col(f))).alias(f"{s}|{f.title()}") for s in types for f in OHLCV
     ]
     return src.wide_to_long(days.groupBy("day").agg(*cells)).select(*DAY, *OHLCV)
 

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from barloom.operators import positions as pos
 from barloom.operators.features import forward_label, impute_fill, temporal_split
 from barloom.operators.selection import drop_warmup, slice_rows
 from barloom.operators.series import BARS, Layout, Scan, blocked_scan
+from barloom.sources import calendar
 
 TINY = Layout(rows=7)
 START = dt.datetime(2024, 3, 1)
@@ -197,3 +199,75 @@ def test_barriers_match_a_loop(bars, rows):
         out.append((now, why))
         was = now
     same(got, pd.DataFrame(out, columns=["position", "exit_reason"]), "position", "exit_reason")
+
+
+def _held_prices():
+    """Moves, then long flat stretches, one of them after gains only."""
+    rng = np.random.default_rng(8)
+    moves = lambda n: (100 + rng.normal(0, 1, n).cumsum()).tolist()
+    a = moves(40)
+    a += [a[-1]] * 2600 + moves(30)
+    a += [a[-1]] * 900 + [a[-1] + i for i in range(1, 4)] + [a[-1] + 3] * 700
+    b = [50.0] * 30 + [51.0] * 1500 + [52.0, 51.5] + [51.5] * 20
+    return {"a": a, "b": b}
+
+
+def _rsi_loops(close, period):
+    d = np.diff(close)
+    gain, loss = np.where(d > 0, d, 0.0), np.where(d < 0, -d, 0.0)
+    wilder, ewm = [None] * len(close), [None] * len(close)
+    up, down = gain[:period].mean(), loss[:period].mean()
+    g = f = 0.0
+    fell = False
+    for i in range(1, len(close)):
+        c = (period - 1) / period
+        g, f = c * g + gain[i - 1], c * f + loss[i - 1]
+        fell = fell or loss[i - 1] > 0
+        if i > period:
+            up, down = c * up + gain[i - 1] / period, c * down + loss[i - 1] / period
+        if i >= period:
+            wilder[i] = 100.0 if down == 0 else 100 - 100 / (1 + up / down)
+            ewm[i] = None if not fell else 100.0 if f == 0 else 100 - 100 / (1 + g / f)
+    return wilder, ewm
+
+
+def test_rsi_after_flat_stretches(spark):
+    series = _held_prices()
+    start = pd.Timestamp("2024-01-01 00:00")
+    rows = [(s, start + pd.Timedelta(minutes=i), c) for s, v in series.items() for i, c in enumerate(v)]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["symbol", "ts", "close"])).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    df = df.withColumn("day", F.to_date("ts"))
+    got = ind.rsi_ewm(ind.rsi_wilder(df, 14, "w"), (14,)).orderBy("ts").toPandas()
+    for s, close in series.items():
+        own = got[got.symbol == s]
+        wilder, ewm = _rsi_loops(close, 14)
+        assert np.allclose(own["w"].astype(float), np.array(wilder, float), atol=1e-6, equal_nan=True)
+        assert np.allclose(own["rsi_14"].astype(float), np.array(ewm, float), atol=1e-6, equal_nan=True)
+
+
+def test_unlike_coefficients_share_a_call(spark):
+    close = _held_prices()["a"][:900]
+    start = pd.Timestamp("2024-01-01")
+    rows = [("a", start + pd.Timedelta(minutes=i), c) for i, c in enumerate(close)]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["symbol", "ts", "close"])).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    got = ind.ema(df.withColumn("day", F.to_date("ts")), (2, 5, 200)).orderBy("ts").toPandas()
+    for span in (2, 5, 200):
+        assert np.allclose(got[f"ema_{span}"], pd.Series(close).ewm(span=span, adjust=False).mean(), atol=1e-9)
+
+
+@pytest.mark.parametrize(
+    "year,off,early",
+    [
+        (2019, "01-01 01-21 02-18 04-19 05-27 07-04 09-02 11-28 12-25", "07-03 11-29 12-24"),
+        (2020, "01-01 01-20 02-17 04-10 05-25 07-03 09-07 11-26 12-25", "11-27 12-24"),
+        (2021, "01-01 01-18 02-15 04-02 05-31 07-05 09-06 11-25 12-24", "11-26"),
+        (2022, "01-17 02-21 04-15 05-30 06-20 07-04 09-05 11-24 12-26", "11-25"),
+        (2023, "01-02 01-16 02-20 04-07 05-29 06-19 07-04 09-04 11-23 12-25", "07-03 11-24"),
+        (2025, "01-01 01-09 01-20 02-17 04-18 05-26 06-19 07-04 09-01 11-27 12-25", "07-03 11-28 12-24"),
+        (2026, "01-01 01-19 02-16 04-03 05-25 06-19 07-03 09-07 11-26 12-25", "11-27 12-24"),
+    ],
+)
+def test_market_calendar(spark, year, off, early):
+    days = lambda df: " ".join(sorted(f"{r.day:%m-%d}" for r in df.collect()))
+    assert days(calendar.holidays(spark, years=(year, year))) == off
+    assert days(calendar.early_closes(spark, years=(year, year))) == early
