@@ -32,7 +32,7 @@ from barloom.operators.joins import asof_risk_free, join_prev_day
 from barloom.operators.metrics import best_rows, strategy_report
 from barloom.operators.positions import drawdown_breaker
 from barloom.operators.series import DAY, over_chunks, spread
-from barloom.plans.grids import COMMON_DEFAULTS, ParamGrid, pick
+from barloom.plans.grids import COMMON_DEFAULTS, ParamGrid, check_names, pick
 
 _GROUP = ["symbol", "day", "config_id"]
 
@@ -40,6 +40,11 @@ _GROUP = ["symbol", "day", "config_id"]
 Signal = Column | Callable[[DataFrame], DataFrame]
 
 
+def param(grid: ParamGrid, name: str) -> Column:
+    """A parameter of the configuration, or its default where the grid does not vary it."""
+    return F.col(name) if name in grid.params else F.lit(COMMON_DEFAULTS[name])
+
+
 def prepare(bars: DataFrame, daily: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Tradable bars: those after the first day, with their price change and place in the day."""
     w = W.partitionBy("symbol", "day").orderBy("ts")
@@ -87,7 +92,7 @@ def _chain(days: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 def unit_returns(base: DataFrame, grid: ParamGrid, signal: Signal, cost: float, stops: bool) -> DataFrame:
     """One row per (configuration, symbol, day): unit return, trades and exits."""
-    freq = F.col("trade_freq") if "trade_freq" in grid.params else F.lit(COMMON_DEFAULTS["trade_freq"])
+    freq = param(grid, "trade_freq")
     w = W.partitionBy(*_GROUP).orderBy("bar")
     upto = w.rowsBetween(W.unboundedPreceding, 0)
 
@@ -129,7 +134,8 @@ def unit_returns(base: DataFrame, grid: ParamGrid, signal: Signal, cost: float,
     starts = days.groupBy("symbol", "day").agg(
         F.sort_array(F.collect_list(F.struct("config_id", "start", "entry"))).alias("_starts")
     )
-    rows = base.join(starts, ["symbol", "day"]).withColumn("_at", F.explode("_starts")).drop("_starts")
+    # Spark takes an array for one element: without the hint, arrays as long as the grid would look small enough to broadcast
+    rows = base.join(starts.hint("merge"), ["symbol", "day"]).withColumn("_at", F.explode("_starts")).drop("_starts")
     rows = rows.select(*base.columns, "_at.config_id", "_at.start", "_at.entry")
     rows = _local(grid.with_params(rows), signal, freq)
     rows = rows.withColumn("_pos", F.coalesce("_state", "start"))
@@ -142,7 +148,8 @@ def unit_returns(base: DataFrame, grid: ParamGrid, signal: Signal, cost: float,
         }
     )
     pnl = ratio(F.col("close") - F.col("_px"), "_px")
-    why = F.when(pnl <= -F.col("stop_loss_pct"), EXIT_STOP).when(pnl >= F.col("take_profit_pct"), EXIT_TARGET)
+    stop, target = param(grid, "stop_loss_pct"), param(grid, "take_profit_pct")
+    why = F.when(pnl <= -stop, EXIT_STOP).when(pnl >= target, EXIT_TARGET)
     rows = rows.withColumn("_why", F.when(F.col("_pos") == 1, why))
     rows = rows.withColumn("_cut", F.max(F.when(F.col("_why").isNotNull(), F.col("_run"))).over(upto))
     alive = (F.col("_pos") == 1) & ~F.coalesce(F.col("_cut") == F.col("_run"), F.lit(False))
@@ -196,27 +203,35 @@ def sized_days(days: DataFrame, grid: ParamGrid, daily: DataFrame, rates: DataFr
     """Strategy rows per day: sized return after the drawdown halt, benchmark and risk-free rate."""
     keys = ("config_id", "symbol")
     full = grid.with_params(days)
-    param = lambda n: F.col(n) if n in grid.params else F.lit(COMMON_DEFAULTS[n])
     if "ticker_dvol" in daily.columns:
         full = full.join(daily.select("symbol", "day", "ticker_dvol"), ["symbol", "day"], "left")
     else:
         full = full.withColumn("ticker_dvol", F.lit(None).cast("double"))
     unit = F.col("unit_ret")
-    raw = sizing.kelly_raw(unit, keys, COMMON_DEFAULTS["kelly_lookback"], COMMON_DEFAULTS["kelly_min_trades"], skip=1)
-    enough = sizing.enough_history(unit, keys, COMMON_DEFAULTS["kelly_min_trades"], skip=1)
-    full = full.withColumns({"_kelly": raw, "_enough": enough})
+    # one pair of columns for each history that some configuration looks at
+    values = lambda name: list(dict.fromkeys(grid.params.get(name, [COMMON_DEFAULTS[name]])))
+    raw, enough = F.when(F.lit(False), F.lit(0.0)), F.when(F.lit(False), F.lit(False))
+    made = {}
+    for least in values("kelly_min_trades"):
+        own = param(grid, "kelly_min_trades") == least
+        made[f"_enough{least}"] = sizing.enough_history(unit, keys, least, skip=1)
+        enough = enough.when(own, F.col(f"_enough{least}"))
+        for days_back in values("kelly_lookback"):
+            made[f"_kelly{days_back}_{least}"] = sizing.kelly_raw(unit, keys, days_back, least, skip=1)
+            raw = raw.when(own & (param(grid, "kelly_lookback") == days_back), F.col(f"_kelly{days_back}_{least}"))
+    full = full.withColumns(made)
     size = sizing.size_factor(
-        param("sizing_type"),
+        param(grid, "sizing_type"),
         F.col("ticker_dvol"),
-        param("target_vol"),
-        F.col("_kelly"),
-        F.col("_enough"),
-        param("kelly_fraction"),
-        COMMON_DEFAULTS["max_leverage"],
-        COMMON_DEFAULTS["kelly_vol_blend_weight"],
+        param(grid, "target_vol"),
+        raw,
+        enough,
+        param(grid, "kelly_fraction"),
+        param(grid, "max_leverage"),
+        param(grid, "kelly_vol_blend_weight"),
     )
     full = full.withColumn("size_factor", size).withColumn("ret", F.col("size_factor") * unit)
-    halted = drawdown_breaker(full, param("drawdown_limit"), keys)
+    halted = drawdown_breaker(full, param(grid, "drawdown_limit"), keys)
     stopped = (F.col("halted") == 1) & (F.col("ret") == 0.0)
     counts = {c: F.when(stopped, 0).otherwise(F.col(c)) for c in ("buys", "sells", "stop_losses", "take_profits")}
     # Every traded day is in ``daily``, so benchmark and rate are looked up there, not from the sweep.
@@ -226,7 +241,7 @@ def sized_days(days: DataFrame, grid: ParamGrid, daily: DataFrame, rates: DataFr
     out = halted.withColumns(counts).join(
         bench.select("symbol", "day", "ret_ticker", "rf_daily"), ["symbol", "day"], "left"
     )
-    return out.drop("_kelly", "_enough", "drawdown", "ticker_dvol", *grid.params)
+    return out.drop(*made, "drawdown", "ticker_dvol", *grid.params)
 
 
 def report(days: DataFrame, grid: ParamGrid, rf_annual: float = 0.0) -> DataFrame:
@@ -244,20 +259,21 @@ def sweep(
     cost: float = 0.0,
     rates: DataFrame | None = None,
     rf_annual: float = 0.0,
+    barriers: bool = True,
 ) -> DataFrame:
     """Statistics of every configuration.
 
-    ``signal`` is a Column over bar columns and parameters, or a function that adds ``_sig``.
+    ``signal`` is a Column over bar columns and parameters, or a function that adds ``_sig``. Stop and target are
+    those of the grid or the defaults; only ``barriers=False`` switches them off. Names that no strategy knows are
+    an error.
     """
-    return report(sweep_days(bars, daily, grid, signal, keep, cost, rates), grid, rf_annual)
+    return report(sweep_days(bars, daily, grid, signal, keep, cost, rates, barriers), grid, rf_annual)
 
 
-def sweep_days(bars, daily, grid, signal, keep, cost=0.0, rates=None) -> DataFrame:
-    stops = "stop_loss_pct" in grid.params or "take_profit_pct" in grid.params
-    if stops and not {"stop_loss_pct", "take_profit_pct"} <= set(grid.params):
-        raise ValueError("give both stop_loss_pct and take_profit_pct, or neither")
+def sweep_days(bars, daily, grid, signal, keep, cost=0.0, rates=None, barriers=True) -> DataFrame:
+    check_names(grid.params)
     base = prepare(bars, daily, keep)
-    return sized_days(unit_returns(base, grid, signal, cost, stops), grid, daily, rates)
+    return sized_days(unit_returns(base, grid, signal, cost, barriers), grid, daily, rates)
 
 
 # ---------------------------------------------------------------- the six strategies

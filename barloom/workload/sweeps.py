@@ -65,16 +65,13 @@ PART = "config_id, symbol"
 
 def daily_ctes(grid: ParamGrid, signal: str, src: str = "sb", days: str | None = None) -> str:
     """From the bars ``src`` to ``rep_in``: strategy rows per configuration, symbol and day."""
-    stops = "stop_loss_pct" in grid.params
+    # the strategies always run with barriers: those of the grid, or 2 and 4 percent
+    stop = "stop_loss_pct" if "stop_loss_pct" in grid.params else "0.02::DOUBLE"
+    gain = "take_profit_pct" if "take_profit_pct" in grid.params else "0.04::DOUBLE"
     freq = "trade_freq" if "trade_freq" in grid.params else "30"
     target = "target_vol" if "target_vol" in grid.params else "0.02::DOUBLE"
     limit = "drawdown_limit" if "drawdown_limit" in grid.params else "0.15::DOUBLE"
-    held = (
-        f"{run_ctes(PART)}, {barrier_ctes('stop_loss_pct', 'take_profit_pct', PART)}"
-        if stops
-        else f"""be AS (SELECT *, position AS held, 0 AS exit_reason,
-               coalesce(lag(position) OVER (PARTITION BY {PART} ORDER BY ts), 0) AS was FROM po)"""
-    )
+    held = f"{run_ctes(PART)}, {barrier_ctes(stop, gain, PART)}"
     return f"""
     {days or days_cte()},
     {grid_cte(grid)},
