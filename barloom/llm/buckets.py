@@ -125,7 +125,7 @@ def _cross(limit: Callable[[np.ndarray, np.ndarray], np.ndarray]):
             key = table["key"].to_numpy()
             cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             node, comp, size = (table[c].to_numpy() for c in ("node", "comp", "size"))
-            sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(len(key), -1)
+            sketch = table["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(key), -1)
             for lo, hi in zip(cuts, np.append(cuts[1:], len(key))):
                 for a, b in pairs(node[lo:hi], comp[lo:hi], size[lo:hi], sketch[lo:hi]):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
@@ -156,7 +156,7 @@ def groups(
     """(node, component) of all nodes with links, from written ``bucketed`` rows.
 
     ``verify`` keeps the true links among pairs (a, b). Nodes of a large bucket that its smallest node does not
-    connect are then compared across components: ``sketches`` gives (node, size, sketch) of the nodes asked for, and
+    connect are then compared across components: ``sketches`` gives (node, size, sketch: a list of longs) of the nodes asked for, and
     ``limit`` the most bits in which sketches of linked nodes of two sizes may differ. So every pair of a bucket is
     either connected or compared.
     """

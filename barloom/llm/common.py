@@ -35,6 +35,24 @@ def whole(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*(F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in columns))
 
 
+def bit_filter(ids: DataFrame, bits: int = 1 << 23) -> np.ndarray:
+    """A filter of fixed size over a column of longs: one bit of ``bits`` for each. What it holds is bounded by
+    ``bits``, not by the ids; the more there are, the more others it lets through."""
+    (name,) = ids.columns
+    at = ids.select(F.pmod(F.col(name), F.lit(bits)).alias("at")).distinct()
+    words = at.groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("mask"))
+    out = np.zeros(bits // 64, np.int64)
+    for r in words.collect():
+        out[r.word] = r.mask
+    return out.view(np.uint64)
+
+
+def passes(held: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which ids the filter lets through: all it was made of, and few others."""
+    at = (ids % (len(held) * 64)).astype(np.uint64)
+    return (held[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes so that every input bit reaches every output bit."""
     x = x.astype(np.uint64, copy=True)

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.buckets import bucketed, groups
-from barloom.llm.common import mixed, written
+from barloom.llm.common import bit_filter, mixed, passes, written
 from barloom.llm.words import shingle_sets, signed, slices, split
 
 #: Documents whose shingles tell which are common, and the most common ones that are remembered. Both only order words
 #: of a sketch; results do not depend on them.
 SAMPLED, REMEMBERED = 4_000, 100_000
+#: Bits of the parity sketches that candidates must pass before their shingles are moved.
+SKETCH_BITS = 2048
 #: Partners that one task verifies against a document before others share the work.
 TOGETHER = 500
 
@@ -37,15 +39,22 @@ def _sets(k: int):
     return run
 
 
-def _shingles(k: int):
+def _shingles(k: int, wanted, bits: int):
+    """(node, n, shingles, sketch) of the documents that a filter of their ids lets through. Each shingle flips one of
+    ``bits`` bits of the parity sketch, so two sketches differ in no more bits than the sets in shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(batch["doc_id"].is_valid())
+            batch = batch.filter(pa.array(passes(wanted.value, batch["doc_id"].to_numpy())))
             for part in slices(batch):
-                sets = [(int(_set_id(s)), s.tobytes()) for s in shingle_sets(split(part["text"], lower=True), k)]
-                own = [x for x, node in zip(sets, part["node"].to_numpy().view(np.uint64).tolist()) if x[0] == node]
-                nodes = signed(np.array([x[0] for x in own], np.uint64))
-                raw = pa.array([x[1] for x in own], pa.binary())
-                yield pa.RecordBatch.from_arrays([nodes, raw], names=["node", "shingles"])
+                nodes, size, raw, flips = [], [], [], []
+                for s in shingle_sets(split(part["text"], lower=True), k):
+                    odd = np.bincount((s >> np.uint64(13)) % np.uint64(bits), minlength=bits) & 1
+                    nodes.append(_set_id(s)), size.append(len(s)), raw.append(s.tobytes())
+                    flips.append(np.packbits(odd.astype(bool)).view(np.int64))
+                columns = [signed(np.array(nodes, np.uint64)), pa.array(size, pa.int64()), pa.array(raw, pa.binary()), pa.array(flips, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "shingles", "sketch"])
 
     return run
 
@@ -164,31 +173,20 @@ def _check(percent: int):
 
 
 def _verified(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
-    pairs = written(pairs, "pairs")
+    """The pairs (a, b) that link: first by sizes and parity sketches, then by the shingles themselves."""
+    for end in ("a", "b"):
+        pairs = pairs.join(shingles.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"s_{end}")), end)
+    apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    most = F.floor((F.col("n_a") + F.col("n_b")) * (100 - percent) / (100 + percent))
+    pairs = written(pairs.where(apart <= most).select("a", "b"), "pairs")
     leads = pairs.groupBy(F.col("a").alias("lead")).agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts"))
-    own = shingles.withColumnRenamed("node", "lead").join(leads, "lead")
-    heads = own.select("lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("lead").alias("node"), "shingles")
-    rest = pairs.join(leads, pairs["a"] == leads["lead"]).select("lead", F.pmod("b", "parts").cast("int").alias("salt"), F.col("b").alias("node"))
-    rest = rest.join(shingles, "node").select("lead", "salt", F.lit(1).alias("kind"), "node", "shingles")
-    dealt = heads.unionByName(rest).repartition("lead", "salt").sortWithinPartitions("lead", "salt", "kind")
+    heads = leads.select("lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("lead").alias("node"))
+    rest = pairs.join(leads, pairs["a"] == leads["lead"]).select("lead", F.pmod("b", "parts").cast("int").alias("salt"), F.lit(1).alias("kind"), F.col("b").alias("node"))
+    rows = heads.unionByName(rest).join(shingles.select("node", "shingles"), "node")
+    dealt = rows.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "kind")
     return dealt.mapInArrow(_check(percent), "a long, b long")
 
 
-def _parity(bits: int):
-    """(node, size, sketch): every shingle flips one of ``bits`` bits."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size, raw = [], []
-            for x in batch["shingles"].to_pylist():
-                s = np.frombuffer(x, np.uint64)
-                flips = np.bincount((s >> np.uint64(13)) % np.uint64(bits), minlength=bits) & 1
-                size.append(len(s)), raw.append(np.packbits(flips.astype(bool)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(size, pa.int64()), pa.array(raw, pa.binary())], names=["node", "size", "sketch"])
-
-    return run
-
-
 def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id: groups of documents linked by 100 * intersection >= percent * union.
 
@@ -205,12 +203,15 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     found = written(bucketed(rows), "candidates")
     asked = found.where("kind = 0").select(F.explode(F.array("a", "b")).alias("node")).distinct()
     one = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    shingles = written(full.join(one.join(asked, "node"), "doc_id").mapInArrow(_shingles(k), "node long, shingles binary"), "shingles")
+    # texts stay where they are: a filter of fixed size tells which documents stand for a candidate
+    wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(one.join(asked, "node").select("doc_id")))
+    kept = full.mapInArrow(_shingles(k, wanted, SKETCH_BITS), "node long, n long, shingles binary, sketch array<long>")
+    shingles = written(kept, "shingles")
     bands = Bands(percent)
     comps = groups(
         found,
         lambda pairs: _verified(pairs, shingles, percent),
-        lambda nodes: shingles.join(nodes, "node").mapInArrow(_parity(2048), "node long, size long, sketch binary"),
+        lambda nodes: shingles.select("node", F.col("n").alias("size"), "sketch").join(nodes, "node").dropDuplicates(["node"]),
         bands.apart,
     )
     # a set's group is named by the smallest document of any set in it

@@ -142,7 +142,7 @@ def line_groups(docs: DataFrame, percent: int = 90, least: int = 20) -> tuple[Da
 
     def sketches(nodes: DataFrame) -> DataFrame:
         marks = lines.join(nodes.withColumnRenamed("node", "line"), "line").groupBy("line").agg(F.first("mark").alias("mark"), F.first("span").alias("size"))
-        return marks.select(F.col("line").alias("node"), "size", F.expr("to_binary(lpad(hex(mark), 16, '0'), 'hex')").alias("sketch"))
+        return marks.select(F.col("line").alias("node"), "size", F.array("mark").alias("sketch"))
 
     def limit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.where(_similar_lengths(a, b, percent), RADIUS, -1)
