@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.buckets import SMALL, bucketed, groups
-from barloom.llm.common import aside, mixed, whole, written
+from barloom.llm.common import aside, bit_filter, mixed, passes, whole, written
 from barloom.llm.words import slices, split
 
 #: Bits in which the fingerprints of two similar lines may differ; four blocks of 16 bits then have one in common.
@@ -94,18 +94,20 @@ def _finer(big: DataFrame) -> DataFrame:
     return big.select(F.explode(keys).alias("key"), "node", "mark", "span")
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The normalised lines that are asked for, by their places in a text."""
-    for batch in batches:
-        for part in slices(batch):
-            ids, out = [], []
-            for text, asked in zip(part["text"].to_pylist(), part["asked"].to_pylist()):
-                lines = (text or "").split("\n")
-                for x in asked:
-                    line = normalised(lines[x["no"]]) if x["no"] < len(lines) else ""
-                    if xxhash.xxh3_64_intdigest(line) == x["line"] % (1 << 64):
-                        ids.append(x["line"]), out.append(line)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=["node", "line_text"])
+def _texts(docs_wanted, lines_wanted, least: int):
+    """(node, line_text) of the lines that a filter lets through, in the documents that another one does."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(batch["doc_id"].is_valid())
+            batch = batch.filter(pa.array(passes(docs_wanted.value, batch["doc_id"].to_numpy())))
+            for part in slices(batch):
+                texts = [n for t in part["text"].to_pylist() for x in t.split("\n") if len(x) >= least and len(n := normalised(x)) >= least]
+                ids = np.array([xxhash.xxh3_64_intdigest(x) for x in texts], np.uint64).view(np.int64)
+                own = np.flatnonzero(passes(lines_wanted.value, ids))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array([texts[i] for i in own.tolist()], pa.string())], names=["node", "line_text"])
+
+    return run
 
 
 def line_groups(docs: DataFrame, percent: int = 90, least: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -129,9 +131,10 @@ def line_groups(docs: DataFrame, percent: int = 90, least: int = 20) -> tuple[Da
 
     nodes = found.select(F.explode(F.array("a", "b")).alias("line"), "kind", "b")
     nodes = nodes.where("kind = 0 or line = b").select("line").distinct()
-    place = lines.join(nodes, "line").groupBy("line").agg(F.min(F.struct("doc_id", "no")).alias("at"))
-    asked = place.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("line", F.col("at.no").alias("no"))).alias("asked"))
-    wording = written(texts.join(asked, "doc_id").mapInArrow(_texts, "node long, line_text string").distinct(), "line-texts")
+    place = lines.join(nodes, "line").groupBy("line").agg(F.min("doc_id").alias("doc_id"))
+    # texts stay where they are: filters of fixed size tell which documents and lines are asked for
+    held = [docs.sparkSession.sparkContext.broadcast(bit_filter(x)) for x in (place.select("doc_id"), nodes)]
+    wording = written(texts.mapInArrow(_texts(*held, least), "node long, line_text string").distinct(), "line-texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         one = wording.select(F.col("node").alias("a"), F.col("line_text").alias("x"))
