@@ -150,3 +150,69 @@ def test_registered_query_agrees_with_sql(spark, name):
 def test_flagship(spark):
     got = entry.entry(spark)
     assert got.count() == 5 and "sharpe_ratio" in got.columns
+
+
+def test_unknown_parameters_are_an_error(spark):
+    with pytest.raises(ValueError, match="max_drawdown_pct"):
+        strategy_grid("momentum", max_drawdown_pct=[0.1])
+    with pytest.raises(ValueError, match="no_such"):
+        sw.sweep_days(None, None, ParamGrid({"band_mult": [1.0], "no_such": [1]}), None, [])
+
+
+def test_csv_columns_are_found_in_each_file(spark, tmp_path):
+    one, two = tmp_path / "symbol=A B" / "version=v1", tmp_path / "symbol=C" / "version=v1"
+    one.mkdir(parents=True), two.mkdir(parents=True)
+    (one / "x.csv").write_text(",caldt,volume,open,high,low,close\n0,2024-01-02,5,1,4,0.5,2\n1,2024-01-03,6,2,3,1,2\n")
+    (two / "y.csv").write_text("volume,open,high,low,close,caldt\n7,10,40,5,20,2024-01-02\n")
+    from barloom.sources import bars
+
+    rows = bars.scan_bars(spark, str(tmp_path), fmt="csv").orderBy("symbol", "day").collect()
+    assert [(r.symbol, str(r.day), r.open, r.close, r.volume) for r in rows] == [
+        ("A B", "2024-01-02", 1.0, 2.0, 5.0),
+        ("A B", "2024-01-03", 2.0, 2.0, 6.0),
+        ("C", "2024-01-02", 10.0, 20.0, 7.0),
+    ]
+
+
+def test_keys_without_any_version_stay(spark):
+    from barloom.sources.bars import latest_version
+
+    df = spark.createDataFrame([("a", None, 1), ("b", None, 2), ("b", "v1", 3), ("b", "v2", 4)], "symbol string, version string, x int")
+    assert sorted(r.x for r in latest_version(df).collect()) == [1, 4]
+
+
+def test_all_varied_features_are_scored(spark):
+    from barloom.operators.selecting import feature_report
+
+    rows = [(i % 2, *[float((i * (k + 3)) % 11) for k in range(4)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "label int, f0 double, f1 double, f2 double, f3 double")
+    names = ["f0", "f1", "f2", "f3"]
+    assert feature_report(df, names).where("score is not null").count() == 4
+    assert feature_report(df, names, max_features=2).where("score is not null").count() == 2
+
+
+def test_kelly_history_follows_the_configuration(spark):
+    grid = ParamGrid({"sizing_type": ["kelly"], "kelly_lookback": [3, 8], "kelly_min_trades": [2, 5]})
+    rng = np.random.default_rng(1)
+    start = pd.Timestamp("2024-01-01")
+    unit = rng.normal(0, 0.01, 15)
+    rows = [(c, "a", (start + pd.Timedelta(days=i)).date(), float(u), 0, 0, 0, 0) for c in range(4) for i, u in enumerate(unit)]
+    days = spark.createDataFrame(rows, "config_id int, symbol string, day date, unit_ret double, buys long, sells long, stop_losses long, take_profits long")
+    daily = days.where("config_id = 0").select("symbol", "day", F.lit(1.0).alias("close"))
+    got = {}
+    for r in sw.sized_days(days, grid, daily, None).orderBy("day").collect():
+        got.setdefault(r.config_id, []).append(r.size_factor)
+    for c, (lookback, least) in enumerate([(3, 2), (3, 5), (8, 2), (8, 5)]):
+        for i in range(15):
+            past = unit[max(0, i - lookback) : i]
+            win, loss = past[past > 0], -past[past < 0]
+            if i < least:
+                want = 0.5
+            elif not len(win):
+                want = 0.0
+            elif not len(loss):
+                want = 0.5
+            else:
+                p = len(win) / len(past)
+                want = min(max((p - (1 - p) / (win.mean() / loss.mean())) * 0.5, 0), 1)
+            assert got[c][i] == pytest.approx(want, abs=1e-9)
