@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from barloom.llm import buckets, jaccard
-from barloom.llm.common import components
+from barloom.llm.common import bit_filter, components, passes
 
 
 def shingles(text, k=5):
@@ -108,3 +108,13 @@ def test_components_of_a_chain_and_a_star(spark):
     df = spark.createDataFrame(edges, "a long, b long").repartition(4)
     got = {r.node: r.component for r in components(df).collect()}
     assert got == {**{i: 0 for i in range(301)}, **{1000 + i: 1000 for i in range(200)}}
+
+
+def test_filter_lets_all_its_ids_through(spark):
+    rng = np.random.default_rng(4)
+    ids = rng.integers(-(1 << 62), 1 << 62, 500)
+    df = spark.createDataFrame([(int(x),) for x in ids] * 2, "id long")
+    held = bit_filter(df, 1 << 16)
+    assert held.nbytes == 1 << 13 and passes(held, ids).all()
+    assert passes(held, rng.integers(-(1 << 62), 1 << 62, 20_000)).mean() < 0.02
+    assert not passes(bit_filter(df.where("id is null"), 1 << 16), ids).any()
