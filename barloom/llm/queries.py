@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from barloom.llm import sql
 from barloom.llm.common import table
 from barloom.session import scratch_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_near_vectors": sql.NEAR_VECTORS,
+    "op2_ngram_jaccard": sql.JACCARD,
+    "op3_substring_dedup": sql.SUBSTRINGS,
+}
 
 
 def query(fn: Query) -> Query:
