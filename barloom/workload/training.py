@@ -246,7 +246,7 @@ def model_store(spark, sf):
 
 @query("signal_from_model")
 def signal_from_model(spark, sf):
-    from barloom.operators.positions import latch_probability
-
-    scored = materialize(_trained(spark, sf).score(matrix(spark, sf)))
-    return latch_probability(scored, 0.55, 0.45).select("symbol", "ts", "probability", "signal")
+    """A model trained on the feature matrix of the bars, then bars to signals in one call."""
+    bars = materialize(fx.bars(spark, sf))
+    model, _ = tr.train_pipeline(bars, tr.TrainingConfig(trees=10))
+    return tr.signal_from_model(bars, model, 0.55, 0.45).select("symbol", "ts", "probability", "signal")
