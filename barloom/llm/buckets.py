@@ -15,6 +15,8 @@ from barloom.llm.common import components, written
 SMALL = 8
 #: Rows of one bucket that a task holds at most; the rest of a larger bucket follows in parts.
 HELD = 1_000_000
+#: Nodes of a large bucket in one of its blocks; blocks are compared two at a time. Partners compared at once.
+BLOCK, PARTNERS = 2_000, 1_024
 
 Near = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
@@ -103,20 +105,34 @@ def bucketed(rows: DataFrame, small: int = SMALL, near: Near | None = None) -> D
     return dealt.mapInArrow(_scan(small, near), "kind byte, a long, b long, mark long, span long")
 
 
+def _cells(rows: DataFrame) -> DataFrame:
+    """Rows (key, node, comp, size, sketch) of buckets, dealt into cells: two blocks of a bucket, or one with itself.
+
+    Nodes are dealt over blocks by a hash, as many blocks as the bucket's size asks for, so a cell holds about two
+    blocks however large the bucket is. Every pair of a bucket meets in the cell of its blocks.
+    """
+    parts = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    mine = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int").alias("block")
+    each = rows.join(parts, "key").select("*", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cell = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    return each.select(cell.alias("key"), "node", "comp", "size", "sketch", "block", (F.col("block") == F.col("other")).cast("int").alias("alone"))
+
+
 def _cross(limit: Callable[[np.ndarray, np.ndarray], np.ndarray]):
-    """Pairs of different components in a bucket whose sketches differ in no more bits than allowed."""
+    """Pairs of different components in a cell whose sketches differ in no more bits than allowed. A cell of two
+    blocks gives the pairs across them."""
 
-    def pairs(node, comp, size, sketch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        by = np.argsort(size, kind="stable")
-        node, comp, size, sketch = node[by], comp[by], size[by], sketch[by]
+    def pairs(node, comp, size, block, alone, sketch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for lo in range(0, len(node), 64):
             a = slice(lo, lo + 64)
-            # sizes ascend, so partners of a block end where even its largest member allows no bit more
-            far = np.bitwise_count(sketch[a, None, :] ^ sketch[None, lo:, :]).sum(2, dtype=np.int32)
-            ok = (far <= limit(size[a, None], size[None, lo:])) & (comp[a, None] != comp[None, lo:])
-            i, j = np.nonzero(ok)
-            keep = i < j
-            yield node[a][i[keep]], node[lo:][j[keep]]
+            for at in range(lo, len(node), PARTNERS):
+                b = slice(at, at + PARTNERS)
+                far = np.bitwise_count(sketch[a, None, :] ^ sketch[None, b, :]).sum(2, dtype=np.int32)
+                ok = (far <= limit(size[a, None], size[None, b])) & (comp[a, None] != comp[None, b])
+                ok &= (block[a, None] != block[None, b]) | (alone[a, None] == 1)
+                i, j = np.nonzero(ok)
+                keep = lo + i < at + j
+                yield node[a][i[keep]], node[b][j[keep]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -124,10 +140,10 @@ def _cross(limit: Callable[[np.ndarray, np.ndarray], np.ndarray]):
         def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
             key = table["key"].to_numpy()
             cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            node, comp, size = (table[c].to_numpy() for c in ("node", "comp", "size"))
-            sketch = table["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(key), -1)
+            columns = [table[c].to_numpy() for c in ("node", "comp", "size", "block", "alone")]
+            columns.append(table["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(key), -1))
             for lo, hi in zip(cuts, np.append(cuts[1:], len(key))):
-                for a, b in pairs(node[lo:hi], comp[lo:hi], size[lo:hi], sketch[lo:hi]):
+                for a, b in pairs(*(c[lo:hi] for c in columns)):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
         for batch in batches:
@@ -156,7 +172,7 @@ def groups(
     """(node, component) of all nodes with links, from written ``bucketed`` rows.
 
     ``verify`` keeps the true links among pairs (a, b). Nodes of a large bucket that its smallest node does not
-    connect are then compared across components: ``sketches`` gives (node, size, sketch: a list of longs) of the nodes asked for, and
+    connect are then compared across components, two blocks of bounded size at a time: ``sketches`` gives (node, size, sketch: a list of longs) of the nodes asked for, and
     ``limit`` the most bits in which sketches of linked nodes of two sizes may differ. So every pair of a bucket is
     either connected or compared.
     """
@@ -183,6 +199,6 @@ def groups(
     if own.isEmpty():
         return comps
     rows = own.join(sketches(own.select("node").distinct()), "node")
-    dealt = rows.select("key", "node", "comp", "size", "sketch").repartition("key").sortWithinPartitions("key")
+    dealt = _cells(rows.select("key", "node", "comp", "size", "sketch")).repartition("key").sortWithinPartitions("key")
     more = written(verify(dealt.mapInArrow(_cross(limit), "a long, b long").distinct()), "edges")
     return comps if more.isEmpty() else components(edges.unionByName(more))
