@@ -207,16 +207,17 @@ def classifier_metrics(spark, sf):
     return out(done, (), "tp", "fp", "tn", "fn", "accuracy", "precision", "recall", "f1", "roc_auc")
 
 
-def _trained(spark, sf, kind="random_forest", trees=10):
-    config = tr.TrainingConfig(model=kind, trees=trees)
-    return tr.train(materialize(matrix(spark, sf)), config)
+def _trained(spark, sf, kind="random_forest"):
+    """A model with the usual number of trees, and the whole feature matrix it was trained on."""
+    config = tr.TrainingConfig(model=kind)
+    rows = materialize(tr.labelled_matrix(materialize(fx.bars(spark, sf)), config))
+    return tr.train(rows, config), rows
 
 
 def _model_metrics(kind: str):
     @query(f"train_{kind}")
     def run(spark, sf):
-        rows = materialize(matrix(spark, sf))
-        return tr.evaluate(tr.train(rows, tr.TrainingConfig(model=kind, trees=10)), rows)
+        return tr.evaluate(*_trained(spark, sf, kind))
 
 
 for _kind in tr.MODELS:
@@ -227,26 +228,28 @@ for _kind in tr.MODELS:
 def train_pipeline(spark, sf):
     """Bars to features, labels, split, selection, scaling, model, metrics and a saved artefact."""
     bars = materialize(fx.bars(spark, sf))
-    _, metrics = tr.train_pipeline(bars, tr.TrainingConfig(trees=10), scratch_folder(spark, "model"))
+    _, metrics = tr.train_pipeline(bars, path=scratch_folder(spark, "model"))
     return metrics
 
 
 @query("score_batch")
 def score_batch(spark, sf):
-    return _trained(spark, sf).score(matrix(spark, sf)).select("symbol", "ts", "probability", "prediction")
+    model, rows = _trained(spark, sf)
+    return model.score(rows).select("symbol", "ts", "probability", "prediction")
 
 
 @query("model_store")
 def model_store(spark, sf):
     """Scores of the saved and reloaded model."""
     path = scratch_folder(spark, "model")
-    _trained(spark, sf).save(path)
-    return tr.TrainedModel.load(spark, path).score(matrix(spark, sf)).select("symbol", "ts", "probability")
+    model, rows = _trained(spark, sf)
+    model.save(path)
+    return tr.TrainedModel.load(spark, path).score(rows).select("symbol", "ts", "probability")
 
 
 @query("signal_from_model")
 def signal_from_model(spark, sf):
     """A model trained on the feature matrix of the bars, then bars to signals in one call."""
     bars = materialize(fx.bars(spark, sf))
-    model, _ = tr.train_pipeline(bars, tr.TrainingConfig(trees=10))
+    model, _ = tr.train_pipeline(bars)
     return tr.signal_from_model(bars, model, 0.55, 0.45).select("symbol", "ts", "probability", "signal")
