@@ -214,20 +214,21 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.diff(words.first)
             gone = total - np.diff(np.concatenate([[0], np.cumsum(keep)])[words.first])
             yield pa.RecordBatch.from_arrays(
-                [part["row"], pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])],
-                names=["row", "n_words", "n_removed", "kept", "kept_sha256"],
+                [part["doc_id"], pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])],
+                names=["doc_id", "n_words", "n_removed", "kept", "kept_sha256"],
             )
 
 
 def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (words left, joined by one space), kept_sha256: one row per document.
+    """doc_id, n_words, n_removed, kept (words left, joined by one space), kept_sha256: one row per row of ``docs``.
 
-    Every occurrence of a repeated window goes, the first one included. doc_id must be distinct. Null and empty texts
-    have no words and stay; other columns are not looked at.
+    Every occurrence of a repeated window goes, the first one included. Every row is a document of its own by a row
+    number that is written before the search, also where doc_id is null or repeated. Null and empty texts have no
+    words and stay; other columns are not looked at.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("row"), "text")
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = written(numbered, "rows")
     spans = repeated_spans(rows, window)
-    cut = rows.join(spans, "row", "left").mapInArrow(
-        _cut, "row long, n_words long, n_removed long, kept string, kept_sha256 string"
+    return rows.join(spans, "row", "left").mapInArrow(
+        _cut, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
     )
-    return cut.withColumnRenamed("row", "doc_id")

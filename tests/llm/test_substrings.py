@@ -81,3 +81,12 @@ def test_index_counts_patterns():
                 count = sum(wt * sum(t[j : j + k] == s[i : i + k] for j in range(len(t) - k + 1)) for t, wt in zip(text, (1, 1, 3, 1)))
                 assert index.weight[high[0]] - index.weight[low[0]] == count
     assert pd.Series([len(f) for f in index.repeats()]).tolist() == [27, 0, 4, 87]
+
+
+def test_null_and_repeated_ids_are_documents_of_their_own(spark):
+    say = lambda a, n: " ".join(f"w{i}" for i in range(a, a + n))
+    texts = [(None, say(0, 20)), (7, say(500, 5) + " " + say(0, 20)), (3, say(100, 30)), (3, say(200, 30)), (4, say(110, 20)), (None, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    want = brute(dict(enumerate(t for _, t in texts)), 8)
+    got = sorted((r.doc_id or -1, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(df, 8).collect())
+    assert got == sorted((d or -1, *want[i]) for i, (d, _) in enumerate(texts))
