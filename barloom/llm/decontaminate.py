@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from barloom.llm.words import grams, slices, split
+from barloom.llm.words import Words, grams, slices, split
 
 #: Items that are searched together; a larger benchmark is searched in blocks of so many.
 ITEMS = 500
@@ -38,7 +38,8 @@ def fingerprints(hashes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.
 
 @dataclass
 class Items:
-    """Benchmark items of at least five words, and the multi-index of their fingerprints."""
+    """Benchmark items of at least five words, and the multi-index of their fingerprints; shorter items, if asked for,
+    as (hash of all words, item_id) by their number of words."""
 
     ids: np.ndarray
     words: np.ndarray
@@ -47,9 +48,10 @@ class Items:
     every: np.ndarray
     cuts: np.ndarray
     rows: np.ndarray
+    brief: dict[int, tuple[np.ndarray, np.ndarray]]
 
     @classmethod
-    def of(cls, ids: list[int], texts: list[str | None]) -> Items:
+    def of(cls, ids: list[int], texts: list[str | None], brief: bool = False) -> Items:
         w = split(pa.array(texts, pa.string()), fold=True)
         hashes, _ = grams(w, SHINGLE)
         size = np.diff(w.first)
@@ -64,7 +66,13 @@ class Items:
         rows = np.repeat(np.arange(len(use), dtype=np.int32), 4 * len(_NEAR))
         cuts = np.concatenate([[0], np.cumsum(np.bincount(keys, minlength=4 << 16))]).astype(np.int64)
         every = np.unique(np.concatenate(own)) if own else np.zeros(0, np.uint64)
-        return cls(np.array(ids, np.int64)[use], size[use], own, prints, every, cuts, rows[np.argsort(keys, kind="stable")])
+        few = {}
+        for n in range(1, SHINGLE) if brief else ():
+            if len(which := np.flatnonzero(size == n)):
+                at = grams(w, n)[0][w.first[:-1][which]]
+                by = np.argsort(at, kind="stable")
+                few[n] = at[by], np.array(ids, np.int64)[which[by]]
+        return cls(np.array(ids, np.int64)[use], size[use], own, prints, every, cuts, rows[np.argsort(keys, kind="stable")], few)
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number of a fingerprint, item) for all items within the radius."""
@@ -91,6 +99,45 @@ def _similarity(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
 def _find(texts: pa.Array, items: Items, percent: int) -> list[tuple[int, int, int, int, float]]:
     """(row, item_id, first word, words, similarity) of the best window of each item in each row."""
     w = split(texts, fold=True)
+    return sorted(_brief(w, items) + _long(w, items, percent))
+
+
+def _brief(w: Words, items: Items) -> list[tuple[int, int, int, int, float]]:
+    """The first place of each item of fewer than five words, word for word."""
+    out = []
+    for n, (known, ids) in items.brief.items():
+        hashes, inside = grams(w, n)
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        hit = np.flatnonzero(inside & (known[at] == hashes))
+        if not len(hit):
+            continue
+        row = w.row[hit]
+        _, first = np.unique(np.stack([row.astype(np.uint64), hashes[hit]]), axis=1, return_index=True)
+        for k in first.tolist():
+            r, h = int(row[k]), hashes[hit[k]]
+            same = ids[np.searchsorted(known, h) : np.searchsorted(known, h, side="right")]
+            out += [(r, i, int(hit[k] - w.first[r]), n, 1.0) for i in np.unique(same).tolist()]
+    return out
+
+
+def _within(w: Words, hashes: np.ndarray, count: np.ndarray, items: Items, percent: int) -> Iterator[tuple[int, int, int, float]]:
+    """(row, item, words, similarity) of items that have more words than a row: the row is the window."""
+    size = np.diff(w.first)
+    kinds = np.unique(items.words)
+    # a row of k shingles shares at most k with an item of more
+    most = (size - SHINGLE + 1) * 100 // percent + SHINGLE - 1
+    some = np.searchsorted(kinds, size, side="right") < np.searchsorted(kinds, most, side="right")
+    for r in np.flatnonzero((size >= SHINGLE) & some).tolist():
+        a, k = int(w.first[r]), int(size[r]) - SHINGLE + 1
+        if 100 * (count[a + k] - count[a]) < percent * k:
+            continue
+        for i in np.flatnonzero((items.words > size[r]) & (items.words <= most[r])).tolist():
+            shared, total = _similarity(hashes[a : a + k], items.shingles[i])
+            if 100 * shared >= percent * total:
+                yield r, i, int(size[r]), shared / total
+
+
+def _long(w: Words, items: Items, percent: int) -> list[tuple[int, int, int, int, float]]:
     hashes, inside = grams(w, SHINGLE)
     at = np.minimum(np.searchsorted(items.every, hashes), max(0, len(items.every) - 1))
     hit = inside & (items.every[at] == hashes) if len(items.every) else np.zeros(len(hashes), bool)
@@ -98,6 +145,9 @@ def _find(texts: pa.Array, items: Items, percent: int) -> list[tuple[int, int, i
         return []
     count = np.concatenate([[0], np.cumsum(hit)])
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
+    for r, i, n, v in _within(w, hashes, count, items, percent):
+        key = r, int(items.ids[i])
+        best[key] = max(best.get(key, (v, 0, n)), (v, 0, n))
     row = w.row
     starts, sizes = [], []
     for n in np.unique(items.words).tolist():
@@ -109,12 +159,10 @@ def _find(texts: pa.Array, items: Items, percent: int) -> list[tuple[int, int, i
         first = first[row[first] == row[first + n - 1]]
         starts.append(first), sizes.append(np.full(len(first), n))
     start, size = np.concatenate(starts), np.concatenate(sizes)
-    if not len(start):
-        return []
     # windows of one neighbourhood share the running sums of their bits
     order = np.argsort(start, kind="stable")
     start, size = start[order], size[order]
-    for part in np.split(np.arange(len(start)), np.flatnonzero(np.diff(start) > 4096) + 1):
+    for part in np.split(np.arange(len(start)), np.flatnonzero(np.diff(start) > 4096) + 1) if len(start) else ():
         lo, hi = int(start[part[0]]), int((start[part] + size[part]).max())
         prints = fingerprints(hashes[lo:hi], start[part] - lo, size[part] - SHINGLE + 1)
         which, item = items.near(prints)
@@ -128,32 +176,33 @@ def _find(texts: pa.Array, items: Items, percent: int) -> list[tuple[int, int, i
     return [(r, i, -s - int(w.first[r]), n, v) for (r, i), (v, s, n) in sorted(best.items())]
 
 
-def _item_blocks(benchmark: DataFrame):
+def _item_blocks(benchmark: DataFrame, brief: bool):
     """The items in blocks of bounded size, in order of their ids."""
     rows = benchmark.select("item_id", "text").where("item_id is not null and text is not null").orderBy("item_id", "text")
     ids, texts = [], []
     for r in rows.toLocalIterator():
         ids.append(r.item_id), texts.append(r.text)
         if len(ids) == ITEMS:
-            yield Items.of(ids, texts)
+            yield Items.of(ids, texts, brief)
             ids, texts = [], []
     if ids:
-        yield Items.of(ids, texts)
+        yield Items.of(ids, texts, brief)
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
+def contaminations(docs: DataFrame, benchmark: DataFrame, percent: int = 80, brief: bool = False) -> DataFrame:
     """doc_id, item_id, start, n_words, similarity: the best window of each benchmark item found in each document.
 
     Words are compared in lower case (A-Z) and without ASCII punctuation. A window has as many words as the item; it is
     found if its fingerprint differs from the item's in at most ``RADIUS`` bits and if the five-word shingles of both,
     weighted by how often they occur, have 100 * shared >= percent * total. ``start`` counts such words of
-    the document from 0. Documents without a find have no row; null and empty texts have none. Items that are null or
-    have fewer than five words are not searched. Other columns are not looked at.
+    the document from 0. A document with fewer words than the item is one window, whatever its fingerprint. Items of
+    one to four words are found word for word if ``brief``, else not. Documents without a find have no row; null and
+    empty texts have none, null items are not searched. Other columns are not looked at.
     """
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, start int, n_words int, similarity double"
     found = spark.createDataFrame([], schema)
-    for block in _item_blocks(benchmark):
+    for block in _item_blocks(benchmark, brief):
         items = spark.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
@@ -170,9 +219,9 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, percent: int = 80) ->
     return found
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, brief: bool = False) -> DataFrame:
     """The rows of ``docs``, all columns, in which ``contaminations`` finds nothing. Nothing is moved between tasks."""
-    for block in _item_blocks(benchmark):
+    for block in _item_blocks(benchmark, brief):
         items = docs.sparkSession.sparkContext.broadcast(block)
 
         def keep(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:

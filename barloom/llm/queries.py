@@ -72,7 +72,7 @@ def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
 def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     from barloom.llm.decontaminate import contaminations
 
-    return contaminations(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return contaminations(table(spark, sf, "documents"), table(spark, sf, "benchmark"), brief=True)
 
 
 @query

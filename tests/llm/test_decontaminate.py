@@ -93,3 +93,14 @@ def test_index_finds_all_within_the_radius():
     far = np.bitwise_count(prints[:, None] ^ items.prints)
     which, item = items.near(prints)
     assert set(zip(which.tolist(), item.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(far <= decontaminate.RADIUS))))
+
+
+def test_short_items_and_documents_shorter_than_an_item(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    items = {1: long, 2: "Who is it?", 3: "who is it", 4: "solo", 5: "one two three four", 6: None, 7: "!"}
+    docs = {1: " ".join(long.split()[:58]), 2: " ".join(long.split()[:40]), 3: "say who, is it who is it", 4: "who is", 5: "it one two three", 6: "a Solo; one two three four five", 7: None, 8: "who is\nit"}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {tuple(r) for r in decontaminate.contaminations(df, bench, brief=True).collect()}
+    assert got == {(1, 1, 0, 58, 54 / 56), (3, 2, 1, 3, 1.0), (3, 3, 1, 3, 1.0), (6, 4, 1, 1, 1.0), (6, 5, 2, 4, 1.0), (8, 2, 0, 3, 1.0), (8, 3, 0, 3, 1.0)}
+    assert {r.doc_id for r in decontaminate.decontaminated(df, bench, brief=True).collect()} == {2, 4, 5, 7}
