@@ -206,12 +206,12 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     # texts stay where they are: a filter of fixed size tells which documents stand for a candidate
     wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(one.join(asked, "node").select("doc_id")))
     kept = full.mapInArrow(_shingles(k, wanted, SKETCH_BITS), "node long, n long, shingles binary, sketch array<long>")
-    shingles = written(kept, "shingles")
+    shingles = written(kept.dropDuplicates(["node"]), "shingles")
     bands = Bands(percent)
     comps = groups(
         found,
         lambda pairs: _verified(pairs, shingles, percent),
-        lambda nodes: shingles.select("node", F.col("n").alias("size"), "sketch").join(nodes, "node").dropDuplicates(["node"]),
+        lambda nodes: shingles.select("node", F.col("n").alias("size"), "sketch").join(nodes, "node"),
         bands.apart,
     )
     # a set's group is named by the smallest document of any set in it

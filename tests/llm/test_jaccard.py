@@ -118,3 +118,14 @@ def test_filter_lets_all_its_ids_through(spark):
     assert held.nbytes == 1 << 13 and passes(held, ids).all()
     assert passes(held, rng.integers(-(1 << 62), 1 << 62, 20_000)).mean() < 0.02
     assert not passes(bit_filter(df.where("id is null"), 1 << 16), ids).any()
+
+
+def test_one_row_of_shingles_per_set_where_the_filter_is_full(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "bit_filter", lambda ids: np.full(1 << 17, -1, np.int64).view(np.uint64))
+    held, keep = [], jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, name: (held.append((name, out := keep(df, name))), out)[1])
+    say = " ".join(f"w{i}" for i in range(60))
+    docs = [(i, say + (" more" if i % 2 else "")) for i in range(20)]
+    got = jaccard.jaccard_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0}
+    assert [df.count() for name, df in held if name == "shingles"] == [2]
