@@ -17,8 +17,6 @@ from barloom.llm.words import slices
 
 #: Underfull bins that one task packs at once; more bins mean more tasks, never larger ones.
 ITEMS_PER_TASK = 50_000
-#: A round that saves less than this share of the bins is the last.
-LEAST_GAIN = 0.002
 
 
 def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -136,7 +134,7 @@ def pack(cuts: DataFrame, capacity: int = 2048, slack: int = 8) -> DataFrame:
         left = bins.where("not closed")
         gained = n - state["n"]
         n = state["open"]
-        if tasks == 1 or gained < LEAST_GAIN * (gained + state["n"]):
+        if tasks == 1 or not gained:
             break
     done = left
     for part in closed:

@@ -110,3 +110,15 @@ def test_merging_rounds_beat_local_bins(spark, monkeypatch):
     assert got.count() == 600
     least = -(-sum(r[3] for r in rows) // 100)
     assert least <= got.select("sequence_id").distinct().count() < min(local, least * 1.06)
+
+
+def test_rounds_end_only_where_one_gains_nothing(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ITEMS_PER_TASK", 1_000)
+    seen, keep = [], packing.written
+    monkeypatch.setattr(packing, "written", lambda df, name: (seen.append(out := keep(df, name)), out)[1])
+    rows = [(i, 0, 0, 55, 0) for i in range(3_000)] + [(3_000, 0, 0, 40, 0)]
+    cuts = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").coalesce(1)
+    big, small = cuts.where("length = 55").repartition(2), cuts.where("length = 40")
+    assert packing.pack(big.unionByName(small), 100, 1).select("sequence_id").distinct().count() == 3_000
+    open_before, after = seen[-2].where("not closed").count(), seen[-1].count()
+    assert open_before == after
