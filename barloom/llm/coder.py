@@ -4,9 +4,10 @@ Every block starts from an empty model and is coded on its own. Numpy codes many
 operation handles the next id of all of them.
 
 The id that followed the last two ids before (order 2) or the last one (order 1) is guessed, whichever has proved
-right more often. A binary decision says if the guess is right; its probability mixes what order 2, order 1 and order 0
-expect, in the logistic domain, with weights that each block learns. An id that was not guessed is named by its place
-among the ids of the block so far or, if it is new there, by its value; which of the two, order 0 predicts alone.
+right more often. A binary decision says if the guess is right; its probability mixes what order 2, order 1 and the
+outcome of the last two guesses expect, in the logistic domain, with weights that each block learns. An id that was not
+guessed is named by its place among the ids of the block so far or, if it is new there, by its value, both uniformly;
+which of the two, the last two outcomes predict alone. There is no order-0 model of how often ids occur.
 All arithmetic is on integers, so that every machine decodes what another has coded.
 """
 
