@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from barloom.llm import sql
 from barloom.llm.common import table
@@ -16,6 +17,9 @@ ORACLES: dict[str, str] = {
     "op1_near_vectors": sql.NEAR_VECTORS,
     "op2_ngram_jaccard": sql.JACCARD,
     "op3_substring_dedup": sql.SUBSTRINGS,
+    "op11_vector_codes": sql.VECTOR_CODES,
+    "op12_mixing": sql.MIXING,
+    "op13_periodic_runs": sql.PERIODIC_RUNS,
 }
 
 
@@ -94,3 +98,26 @@ def op1_near_vectors(spark: SparkSession, sf: str) -> DataFrame:
     from barloom.llm.cover_tree import near_vectors
 
     return near_vectors(table(spark, sf, "embeddings"))
+
+
+@query
+def op11_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    from barloom.llm.vector_codes import digest, vector_codes
+
+    codes, books = vector_codes(table(spark, sf, "embeddings"))
+    return codes.select("vec_id", "code", "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256"))
+
+
+@query
+def op12_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    from barloom.llm.mixing import mixed
+
+    plan = mixed(table(spark, sf, "documents"), carry=["doc_id"])
+    return plan.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    from barloom.llm.periods import looped, periodic_runs, run_digest
+
+    return run_digest(periodic_runs(looped(table(spark, sf, "documents"))))
