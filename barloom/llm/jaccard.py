@@ -34,19 +34,18 @@ def _sets(k: int):
                 sets = list(shingle_sets(split(part["text"], lower=True), k))
                 ids = np.array([_set_id(s) for s in sets], np.uint64)
                 size = pa.array([len(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([part["doc_id"], size, signed(ids)], names=["doc_id", "n", "node"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["mark"], size, signed(ids)], names=["doc_id", "mark", "n", "node"])
 
     return run
 
 
 def _shingles(k: int, wanted, bits: int):
-    """(node, n, shingles, sketch) of the documents that a filter of their ids lets through. Each shingle flips one of
+    """(node, n, shingles, sketch) of the texts that a filter of their marks lets through. Each shingle flips one of
     ``bits`` bits of the parity sketch, so two sketches differ in no more bits than the sets in shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(batch["doc_id"].is_valid())
-            batch = batch.filter(pa.array(passes(wanted.value, batch["doc_id"].to_numpy())))
+            batch = batch.filter(pa.array(passes(wanted.value, batch["mark"].to_numpy())))
             for part in slices(batch):
                 nodes, size, raw, flips = [], [], [], []
                 for s in shingle_sets(split(part["text"], lower=True), k):
@@ -192,19 +191,20 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Texts are lower-cased (A-Z) and cut into words ``[^\\x20\\x09-\\x0D]+``; a document's set is that of its ``k``-word
     shingles, or its whole sequence if it has fewer words. Documents without words, null or empty, have no set and
-    link with nothing. Equal sets are one node. component_id is the smallest doc_id a document reaches over links. Rows
-    that repeat a doc_id are judged each by its own text. Other columns are not looked at.
+    link with nothing. Equal sets are one node. component_id is the smallest doc_id a document reaches over links,
+    null where all of them are null. Every row is judged by its own text, also where doc_id is null or repeated; inside,
+    a text stands for itself by its hash. Other columns are not looked at.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = written(texts.mapInArrow(_sets(k), "doc_id long, n long, node long"), "sets")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    sets = written(texts.mapInArrow(_sets(k), "doc_id long, mark long, n long, node long"), "sets")
     full = texts.where("text is not null")
     common = docs.sparkSession.sparkContext.broadcast(_common_shingles(full, k, sets.count()))
     rows = full.mapInArrow(_sketch_rows(k, percent, common), "key long, node long")
     found = written(bucketed(rows), "candidates")
     asked = found.where("kind = 0").select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    one = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    # texts stay where they are: a filter of fixed size tells which documents stand for a candidate
-    wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(one.join(asked, "node").select("doc_id")))
+    one = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("mark").alias("mark"))
+    # texts stay where they are: a filter of fixed size tells which of them stand for a candidate
+    wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(one.join(asked, "node").select("mark")))
     kept = full.mapInArrow(_shingles(k, wanted, SKETCH_BITS), "node long, n long, shingles binary, sketch array<long>")
     shingles = written(kept.dropDuplicates(["node"]), "shingles")
     bands = Bands(percent)

@@ -44,23 +44,23 @@ def simhash(lines: list[str]) -> np.ndarray:
 
 
 def _lines(least: int):
-    """line (hash), mark (SimHash), span (length), doc_id, no: the lines of each text that are long enough to count."""
+    """line (hash), mark (SimHash), span (length), doc_id, whole (hash of the text), no: lines that are long enough to count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 rows, texts = [], {}
-                for doc, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist()):
+                for doc, own, text in zip(*(part[c].to_pylist() for c in ("doc_id", "whole", "text"))):
                     for no, line in enumerate((text or "").split("\n")):
                         if len(line) >= least and len(line := normalised(line)) >= least:
-                            rows.append((xxhash.xxh3_64_intdigest(line), len(line), doc, no))
+                            rows.append((xxhash.xxh3_64_intdigest(line), len(line), doc, own, no))
                             texts[rows[-1][0]] = line
                 marks = dict(zip(texts, simhash(list(texts.values())).tolist()))
-                line, span, doc, no = zip(*rows) if rows else ((),) * 4
+                line, span, doc, own, no = zip(*rows) if rows else ((),) * 5
                 as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [as_long(line), as_long([marks[x] for x in line]), pa.array(span, pa.int64()), pa.array(doc, pa.int64()), pa.array(no, pa.int32())],
-                    names=["line", "mark", "span", "doc_id", "no"],
+                    [as_long(line), as_long([marks[x] for x in line]), pa.array(span, pa.int64()), pa.array(doc, pa.int64()), pa.array(own, pa.int64()), pa.array(no, pa.int32())],
+                    names=["line", "mark", "span", "doc_id", "whole", "no"],
                 )
             pa.default_memory_pool().release_unused()
 
@@ -99,8 +99,7 @@ def _texts(docs_wanted, lines_wanted, least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(batch["doc_id"].is_valid())
-            batch = batch.filter(pa.array(passes(docs_wanted.value, batch["doc_id"].to_numpy())))
+            batch = batch.filter(pa.array(passes(docs_wanted.value, batch["whole"].to_numpy())))
             for part in slices(batch):
                 texts = [n for t in part["text"].to_pylist() for x in t.split("\n") if len(x) >= least and len(n := normalised(x)) >= least]
                 ids = np.array([xxhash.xxh3_64_intdigest(x) for x in texts], np.uint64).view(np.int64)
@@ -111,14 +110,15 @@ def _texts(docs_wanted, lines_wanted, least: int):
 
 
 def line_groups(docs: DataFrame, percent: int = 90, least: int = 20) -> tuple[DataFrame, DataFrame]:
-    """All lines of at least ``least`` normalised characters as (line, mark, span, doc_id, no), and the (node, component)
-    of the lines that are similar to others but not equal.
+    """All lines of at least ``least`` normalised characters as (line, mark, span, doc_id, whole, no), and the
+    (node, component) of the lines that are similar to others but not equal. ``whole`` is the hash of the text a line
+    stands in: with it, texts that share an id, or have none, are told apart.
 
     Two lines are similar if their fingerprints differ in at most ``RADIUS`` bits and their edit distance is at most
     100 - ``percent`` percent of the longer one. Edits that change more of the fingerprint are not found.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    lines = written(texts.mapInArrow(_lines(least), "line long, mark long, span long, doc_id long, no int"), "lines")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("whole"), "text").where("text is not null")
+    lines = written(texts.mapInArrow(_lines(least), "line long, mark long, span long, doc_id long, whole long, no int"), "lines")
     kinds = lines.groupBy("line").agg(F.first("mark").alias("mark"), F.first("span").alias("span"))
     found = written(bucketed(_blocks(kinds), BLOCK_SMALL, _near(percent)), "candidates")
     big = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), "mark", "span")
@@ -131,9 +131,9 @@ def line_groups(docs: DataFrame, percent: int = 90, least: int = 20) -> tuple[Da
 
     nodes = found.select(F.explode(F.array("a", "b")).alias("line"), "kind", "b")
     nodes = nodes.where("kind = 0 or line = b").select("line").distinct()
-    place = lines.join(nodes, "line").groupBy("line").agg(F.min("doc_id").alias("doc_id"))
-    # texts stay where they are: filters of fixed size tell which documents and lines are asked for
-    held = [docs.sparkSession.sparkContext.broadcast(bit_filter(x)) for x in (place.select("doc_id"), nodes)]
+    place = lines.join(nodes, "line").groupBy("line").agg(F.min("whole").alias("whole"))
+    # texts stay where they are: filters of fixed size tell which texts and lines are asked for
+    held = [docs.sparkSession.sparkContext.broadcast(bit_filter(x)) for x in (place.select("whole"), nodes)]
     wording = written(texts.mapInArrow(_texts(*held, least), "node long, line_text string").distinct(), "line-texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -169,16 +169,18 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _deduped(docs: DataFrame, percent: int, least: int) -> DataFrame:
     """doc_id, text, n_lines, n_removed, rest from doc_id, text, rest."""
     lines, comps = line_groups(docs, percent, least)
-    of = lines.select("line", "doc_id", "no")
+    at = F.struct(F.col("doc_id").isNull().alias("_"), "doc_id", "whole", "no")
+    of = lines.select("line", "doc_id", "whole", "no")
     # one row per different line before groups are formed
-    firsts = of.groupBy("line").agg(F.min(F.struct("doc_id", "no")).alias("at"), F.count("*").alias("n"))
+    firsts = of.groupBy("line").agg(F.min(at).alias("at"), F.count("*").alias("n"))
     named = firsts.join(comps, firsts["line"] == comps["node"], "left")
     named = written(named.select("line", "at", "n", F.coalesce("component", "line").alias("group")), "line-groups")
     kept = named.groupBy("group").agg(F.min("at").alias("kept"), F.sum("n").alias("n")).where("n > 1").select("group", "kept")
     away = named.join(kept, "group").select("line", "kept")
-    drop = of.join(away, "line").where(F.struct("doc_id", "no") != F.col("kept"))
-    drop = drop.groupBy("doc_id").agg(F.collect_set("no").alias("drop"))
-    rows = docs.join(drop, "doc_id", "left").select("doc_id", "text", "drop", "rest")
+    drop = of.join(away, "line").where(~at.eqNullSafe(F.col("kept")))
+    drop = drop.groupBy(F.col("doc_id").alias("_id"), F.col("whole").alias("_whole")).agg(F.collect_set("no").alias("drop"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_whole")) & F.col("text").isNotNull()
+    rows = docs.join(drop, same, "left").select("doc_id", "text", "drop", "rest")
     kind = rows.schema["rest"].dataType.simpleString()
     return rows.mapInArrow(_without, f"doc_id long, text string, n_lines int, n_removed int, rest {kind}")
 
@@ -188,8 +190,9 @@ def dedup_lines(docs: DataFrame, percent: int = 90, least: int = 20) -> DataFram
 
     Lines are the parts between line feeds, compared in lower case with white space evened out. Of each connected
     group of equal or similar lines (see ``line_groups``) the occurrence with the smallest (doc_id, line number)
-    stays. Shorter lines stay everywhere. A document that loses all its lines stays with an empty text; a null text
-    stays null. Rows that repeat a doc_id and text are one document and keep the same lines. Other columns are not
+    stays, null ids last; texts that share an id, or have none, are ordered by a hash of the text. Shorter lines stay everywhere. A document that loses all its lines stays with an empty text; a null text
+    stays null. Rows that repeat a doc_id and text are one document and keep the same lines; rows that repeat only the
+    doc_id are documents of their own. Other columns are not
     looked at.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).alias("rest"))

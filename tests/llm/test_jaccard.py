@@ -73,6 +73,17 @@ def test_empty_table_and_repeated_rows(spark):
     assert sorted(map(tuple, jaccard.jaccard_groups(df).collect())) == [(0, 1, 0), (1, 1, 0), (1, 1, 0)]
 
 
+def test_null_and_repeated_ids(spark):
+    """Rows are told apart by their texts, not by their ids."""
+    say = [f"w{i}" for i in range(60)]
+    near, other, far = say[:-1] + ["end"], [f"x{i}" for i in range(60)], [f"y{i}" for i in range(60)]
+    rows = [(1, say), (None, near), (None, other), (7, other[:-1] + ["o"]), (7, far), (9, far), (None, ["alone"]), (None, None)]
+    rows = [(d, " ".join(t) if t else None) for d, t in rows]
+    got = jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(1, 56, 1), (None, 56, 1), (None, 56, 7), (7, 56, 7), (7, 56, 7), (9, 56, 7), (None, 1, None), (None, 0, None)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_pigeonhole_bounds():
     bands = jaccard.Bands(80)
     for a in range(1, 400):

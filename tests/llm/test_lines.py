@@ -95,5 +95,19 @@ def test_finer_blocks_find_all_within_the_radius(spark):
     assert got == {(i, j) for i, j in combinations(range(len(own)), 2) if bin(own[i] ^ own[j]).count("1") <= 3}
 
 
+def test_null_and_repeated_ids(spark):
+    one = "the very same line stands in several of these rows here"
+    near, own = one.replace("several", "severol"), "a line that only one of the rows has, and no other one"
+    rows = [(1, one), (2, f"short\n{one}"), (2, f"short\n{own}"), (None, near), (None, f"{near}\nrest"), (None, own[::-1]), (3, None), (3, one)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    near_found = lines.RADIUS >= np.bitwise_count(np.bitwise_xor(*lines.simhash([one, near])))
+    got = sorted(((r.doc_id, r.text, r.n_removed) for r in lines.dedup_lines(df).collect()), key=str)
+    want = [(1, one, 0), (2, "short", 1), (2, f"short\n{own}", 0), (None, own[::-1], 0), (3, None, 0), (3, "", 1)]
+    # of the two rows without an id that hold the other wording, one keeps it unless it is found to be like the first
+    left = [r for r in got if r[0] is None and r[1] != own[::-1]]
+    assert sorted((r for r in got if r not in left), key=str) == sorted(want, key=str)
+    assert sum(r[2] for r in left) == (2 if near_found else 1) and sum(near in r[1] for r in left) == (0 if near_found else 1)
+
+
 def test_empty_table(spark):
     assert lines.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0

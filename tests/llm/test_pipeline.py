@@ -44,3 +44,19 @@ def test_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         none = corpus_pipeline.written(stage(spark, none, SMALL), "stage")
     assert none.count() == 0
+
+
+def test_rows_that_share_an_id(spark):
+    """One row of a group of near copies stays, whatever ids the rows have; unique texts stay."""
+    say = [f"w{i}" for i in range(60)]
+    texts = {k: " ".join(v) for k, v in {"a": say, "b": say[:-1] + ["end"], "u": [f"u{i}" for i in range(60)], "v": [f"v{i}" for i in range(40)]}.items()}
+    rows = [(1, "a"), (2, "a"), (2, "u"), (1, "b"), (1, "v"), (None, "b"), (None, "v"), (None, None), (0, None)]
+    docs = spark.createDataFrame([(d, texts.get(t), "en", "s", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = corpus_pipeline.written(docs.repartition(2), "docs")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, docs, SMALL).collect()]
+    assert sorted(map(str, kept)) in [
+        sorted(map(str, [(1, texts[first]), (2, texts["u"]), (1, texts["v"]), (None, None), (0, None)])) for first in "ab"
+    ]
+    mixed = [(r.doc_id, r.text) for r in corpus_pipeline.lines(spark, docs, SMALL).collect()]
+    assert len(mixed) == len(rows) and (2, texts["u"]) in mixed
+    assert sum(t == texts["v"] for _, t in mixed) == 1 and sum(t in (texts["a"], texts["b"]) for _, t in mixed) >= 1
