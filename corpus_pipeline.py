@@ -30,9 +30,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies. Documents without words are no copies."""
-    gone = jaccard_groups(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near copies: that with the smallest id, null ids last. Documents without words are no
+    copies. Rows are told apart by a number that is written first, so rows that share an id are judged one by one.
+    """
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("rest"))
+    rows = written(numbered, "pipeline-rows")
+    texts = rows.select(F.col("row").alias("doc_id"), F.col("rest.text").alias("text"))
+    groups = jaccard_groups(texts).where("n_shingles > 0").select(F.col("doc_id").alias("row"), "component_id")
+    place = rows.select("row", F.struct(F.col("rest.doc_id").isNull(), "rest.doc_id", "row").alias("place"))
+    placed = written(groups.join(place, "row"), "pipeline-groups")
+    first = placed.groupBy("component_id").agg(F.min("place").alias("first"))
+    gone = placed.join(first, "component_id").where("row <> first.row").select("row")
+    return rows.join(gone, "row", "left_anti").select("rest.*")
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
