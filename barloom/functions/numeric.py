@@ -37,3 +37,20 @@ def clip(c: Column | str, lo, hi) -> Column:
 def trunc(c: Column | str) -> Column:
     """Integer part, towards zero."""
     return col(c).cast("bigint")
+
+
+def bisect(bounds: Column | str, x: Column | str, most: int, strict: bool = False) -> Column:
+    """How many of the sorted ``bounds``, at most ``most``, are at or below ``x`` (``strict``: below it), by halving steps.
+
+    A lambda over the steps keeps the expression as small for thousands of bounds as for ten. NULL bounds count as none.
+    """
+    at, value = col(bounds), col(x)
+    size = F.coalesce(F.size(at), F.lit(0))
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(max(most, 1).bit_length()))))
+
+    def halve(found: Column, step: Column) -> Column:
+        bound = F.get(at, found + step - 1)
+        below = bound < value if strict else bound <= value
+        return F.when((found + step <= size) & below, found + step).otherwise(found)
+
+    return F.aggregate(steps, F.lit(0), halve)

@@ -23,6 +23,7 @@ WARMUP_ROWS = 60
 def raw_features(df: DataFrame, layout: Layout = BARS) -> DataFrame:
     """The feature groups, not yet cleaned and without the drawdown, over one chunking of the series.
 
+    RSI columns are those of rows whose price moves, and still hold ``indicators.ALL_GAIN``; ``fell__`` marks falls.
     Features run across day boundaries. ``minute_of_day`` and ``min_from_open`` replace bar
     columns of the same name.
     """
@@ -48,7 +49,6 @@ def raw_features(df: DataFrame, layout: Layout = BARS) -> DataFrame:
     stages = [together, risk, *smooth]
     before = rec.halo(step, 2) + max(ind.WINDOWS)
     wide = over_chunks(df, stages, layout, before=before, step=step, keep_index=True, count=("close", "volume"))
-    wide = ind.held_ratio(wide, [f"rsi_{p}" for p in ind.RSI_PERIODS], layout)
     return wide.withColumns({**price_position(), **time_features()})
 
 
@@ -58,20 +58,23 @@ def feature_names(df: DataFrame, bars: DataFrame) -> list[str]:
 
 
 def impute_fill(
-    df: DataFrame, columns: Sequence[str], layout: Layout = BARS, also: Sequence[Scan] = ()
+    df: DataFrame, columns: Sequence[str], layout: Layout = BARS, also: Sequence[Scan] = (), unsettled: Sequence[str] = ()
 ) -> DataFrame:
     """Infinities to NULL, then fill forward, then backward, then with 0.
 
     The backward fill hands later values to the warm-up rows; ``drop_warmup`` removes those.
-    ``also`` rides along in the same pass.
+    ``also`` rides along in the same pass. ``unsettled`` are RSI columns of ``raw_features``, held as they are filled.
     """
     clean = df.withColumns({c: finite(F.col(c).cast("double")) for c in columns})
     fwd = [Scan(f"_f_{c}", "last", F.col(c)) for c in columns]
     # What a forward fill leaves open lies before the first known value, so that one fills it.
-    bwd = [Scan(f"_b_{c}", "head", F.col(c)) for c in columns]
+    # The first known RSI is never a placeholder: where there was a fall, it is not decayed yet.
+    known = lambda c: F.when(F.col(c) != ind.ALL_GAIN, F.col(c)) if c in unsettled else F.col(c)
+    bwd = [Scan(f"_b_{c}", "head", known(c)) for c in columns]
     filled = blocked_scan(clean, [*fwd, *bwd, *also], layout)
+    held = lambda c: ind.settled(F.col(f"_f_{c}")) if c in unsettled else F.col(f"_f_{c}")
     return filled.withColumns(
-        {c: F.coalesce(f"_f_{c}", f"_b_{c}", F.lit(0.0)) for c in columns}
+        {c: F.coalesce(held(c), f"_b_{c}", F.lit(0.0)) for c in columns}
     ).drop(*[f"_f_{c}" for c in columns], *[f"_b_{c}" for c in columns])
 
 
@@ -84,20 +87,22 @@ def feature_matrix(
     """Cleaned features of every bar, optionally without the warm-up rows.
 
     Two passes over the bars: one chunked, one blocked for the fills and the running maximum. The
-    second reads its input twice, so the raw features, or those in ``only``, are written in between.
+    second reads its input twice, so the raw features, or those in ``only``, are written in between: building the
+    frame runs a job.
     """
     raw = raw_features(df, layout)
     skip = {*layout.keys, *layout.order, "day", "event_id"}
     if only is not None:
-        kept = [c for c in raw.columns if c in skip or c in only or c in ("close", "_i", "_n")]
+        kept = [c for c in raw.columns if c in skip or c in only or c in ("close", "fell__", "_i", "_n")]
         raw = raw.select(*kept)
     raw = materialize(raw)
     floats = [c for c, t in raw.dtypes if t == "double" and c not in skip]
     peak = Scan("_peak", "max", F.col("close"))
-    full = impute_fill(raw, floats, layout, [peak]).withColumn("drawdown", drawdown(F.col("close"), F.col("_peak")))
+    rsi = [c for c in (f"rsi_{p}" for p in ind.RSI_PERIODS) if c in floats]
+    full = impute_fill(raw, floats, layout, [peak, ind.ever_fell()], rsi).withColumn("drawdown", drawdown(F.col("close"), F.col("_peak")))
     if drop_first:
         full = full.where((F.col("_i") >= drop_first) | (F.col("_n") <= drop_first))
-    return full.drop("_peak", "_i", "_n")
+    return full.drop("_peak", "fell__", "ever__", "_i", "_n")
 
 
 def features_for_scoring(df: DataFrame, required: Sequence[str], layout: Layout = BARS) -> DataFrame:

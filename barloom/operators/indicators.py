@@ -19,6 +19,7 @@ from barloom.functions.risk import drawdown
 from barloom.operators import recurrence as rec
 from barloom.operators.recurrence import Recurrence
 from barloom.operators.series import BARS, DAY, Frame, Layout, Scan, Stage, blocked_scan, over_chunks
+from barloom.session import materialize
 
 WINDOWS = (5, 10, 20, 30, 50, 60)
 EMA_SPANS = (5, 10, 20, 60)
@@ -229,7 +230,7 @@ def _rsi_parts(periods: Sequence[int]):
         out = {"fell__": F.when(F.col("_d") < 0, 1)}
         for p in periods:
             up, down = F.col(f"_g{p}"), F.col(f"_l{p}")
-            value = F.when((down == 0) & (up > 0), F.lit(_ALL_GAIN)).otherwise(100 - 100 / (1 + ratio(up, down)))
+            value = F.when((down == 0) & (up > 0), F.lit(ALL_GAIN)).otherwise(100 - 100 / (1 + ratio(up, down)))
             out[f"rsi_{p}"] = F.when((f.i == p) | (f.i > p) & _moved(), value)
         return out
 
@@ -237,27 +238,34 @@ def _rsi_parts(periods: Sequence[int]):
 
 
 # Stands for gains without a loss in reach until it is known if there was one before.
-_ALL_GAIN = -1.0
+ALL_GAIN = -1.0
 
 
 def _moved() -> Column:
     return F.coalesce(F.col("_d") != 0, F.lit(False))
 
 
+def settled(held: Column) -> Column:
+    """An RSI carried forward, once it is known (``ever__``) whether the series has fallen before."""
+    return F.when(held == ALL_GAIN, F.when(F.col("ever__") == 1, F.lit(100.0))).otherwise(held)
+
+
+def ever_fell() -> Scan:
+    return Scan("ever__", "max", F.col("fell__"))
+
+
 def held_ratio(df: DataFrame, columns: Sequence[str], layout: Layout = BARS) -> DataFrame:
     """Carry the last value of RSI columns over rows without a price change, and say what gains without a loss mean.
 
     Both averages decay alike while the price stands still, so their ratio does not move however long that takes.
-    Losses that have decayed away leave an RSI of 100; where there never was one it has no value.
+    Losses that have decayed away leave an RSI of 100; where there never was one it has no value. Over blocks the rows
+    are read twice, so the averages are written in between.
     """
     fell = "fell__" in df.columns
+    ready = materialize(df) if layout.block else df
     scans = [Scan(f"{c}__", "last", F.col(c)) for c in columns]
-    out = blocked_scan(df, [*scans, *([Scan("ever__", "max", F.col("fell__"))] if fell else [])], layout)
-    for c in columns:
-        value = F.col(f"{c}__")
-        if fell:
-            value = F.when(value == _ALL_GAIN, F.when(F.col("ever__") == 1, F.lit(100.0))).otherwise(value)
-        out = out.withColumn(c, value)
+    out = blocked_scan(ready, [*scans, *([ever_fell()] if fell else [])], layout)
+    out = out.withColumns({c: settled(F.col(f"{c}__")) if fell else F.col(f"{c}__") for c in columns})
     return out.drop("fell__", "ever__", *[f"{c}__" for c in columns])
 
 

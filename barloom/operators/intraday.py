@@ -2,30 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, WindowSpec
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from barloom.functions.bars import bar_minute, minute_of_day, typical_price
 from barloom.functions.numeric import ratio
 from barloom.operators.joins import join_by_day
+from barloom.operators.series import DAY, Layout, Scan, blocked_scan, numbered
 
-def _day_so_far() -> WindowSpec:
-    return W.partitionBy("symbol", "day").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
 
 
-def vwap(df: DataFrame) -> DataFrame:
+def vwap(df: DataFrame, layout: Layout = DAY) -> DataFrame:
     """Volume-weighted typical price of the day so far; NULL while nothing has traded."""
-    traded = F.sum(F.col("volume") * typical_price()).over(_day_so_far())
-    return df.withColumn("vwap", ratio(traded, F.sum("volume").over(_day_so_far())))
+    scans = [Scan("_traded", "sum", F.col("volume") * typical_price()), Scan("_volume", "sum", F.col("volume"))]
+    return blocked_scan(df, scans, layout).withColumn("vwap", ratio("_traded", "_volume")).drop("_traded", "_volume")
 
 
-def move_open(df: DataFrame) -> DataFrame:
+def move_open(df: DataFrame, layout: Layout = DAY) -> DataFrame:
     """Absolute move of the close from the day's first open; 0 where that open is 0."""
-    start = F.first("open").over(_day_so_far())
-    return df.withColumn(
-        "move_open", F.when(start == 0, F.lit(0.0)).otherwise(F.abs(ratio("close", start) - 1))
-    )
+    start = F.col("_start.open")
+    move = F.when(start == 0, F.lit(0.0)).otherwise(F.abs(ratio("close", start) - 1))
+    return blocked_scan(df, [Scan("_start", "head", F.struct("open"))], layout).withColumn("move_open", move).drop("_start")
 
 
 def daily_vol(daily: DataFrame, days: int = 15, lag: int = 0) -> DataFrame:
@@ -49,10 +47,9 @@ def minute_index(df: DataFrame) -> DataFrame:
     return df.withColumns({"min_from_open": bar_minute(), "minute_of_day": minute_of_day()})
 
 
-def minute_index_by_position(df: DataFrame) -> DataFrame:
+def minute_index_by_position(df: DataFrame, layout: Layout = DAY) -> DataFrame:
     """For bars whose time of day is unknown: the bar's number within its day."""
-    w = W.partitionBy("symbol", "day").orderBy("ts")
-    return df.withColumn("min_from_open", F.row_number().over(w))
+    return numbered(df, layout).withColumn("min_from_open", (F.col("_i") + 1).cast("int")).drop("_i", "_n")
 
 
 def sigma_open(df: DataFrame, days: int = 14) -> DataFrame:
@@ -76,12 +73,11 @@ def derived_columns(bars: DataFrame, daily: DataFrame, vol_days: int = 15, sigma
     return sigma_open(join_daily_vol(ready, daily, vol_days), sigma_days)
 
 
-def ohlc_fallback(df: DataFrame) -> DataFrame:
+def ohlc_fallback(df: DataFrame, layout: Layout = DAY) -> DataFrame:
     """Open, high and low for data that only has closes and the day's open."""
-    return df.withColumns(
-        {
-            "open": F.first("day_open").over(_day_so_far()),
-            "high": F.max("close").over(_day_so_far()),
-            "low": F.min("close").over(_day_so_far()),
-        }
-    )
+    scans = [
+        Scan("_start", "head", F.struct("day_open")),
+        Scan("high", "max", F.col("close")),
+        Scan("low", "min", F.col("close")),
+    ]
+    return blocked_scan(df.drop("high", "low"), scans, layout).withColumn("open", F.col("_start.day_open")).drop("_start")

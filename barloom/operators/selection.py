@@ -68,6 +68,16 @@ def truncate_early_close(df: DataFrame, early_closes: DataFrame) -> DataFrame:
     return df.join(closes, "day", "left").where(keep).drop("_last")
 
 
+def in_session(df: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Bars of the days that ``sessions(day, closed, last_minute)`` does not close, up to the last minute of short days.
+
+    Days that the table does not name are whole sessions. It has one row a day, so it stays small.
+    """
+    rules = sessions.select("day", "closed", "last_minute")
+    open_ = ~F.coalesce("closed", F.lit(False)) & F.coalesce(F.col("min_from_open") <= F.col("last_minute"), F.lit(True))
+    return df.join(rules, "day", "left").where(open_).drop("closed", "last_minute")
+
+
 def trading_minutes(days: DataFrame, holidays: DataFrame, early_closes: DataFrame) -> DataFrame:
     """Length of the session of each day: 0, 210 or 390 minutes."""
     closed = holidays.select("day", F.lit(True).alias("_closed"))

@@ -12,19 +12,26 @@ kinds, each of which splits cleanly:
   length and copies the needed neighbours ("halo") into the next chunk.
 
 A ``Layout`` says how a frame is keyed, ordered and blocked. ``block=None`` is for series whose
-length has a fixed bound: the bars of one day, or one row per calendar day.
+length has a fixed bound: the bars of one day, or one row per calendar day. Ticks have no such bound;
+``cut_blocks`` splits the days that are too long for one task into ranges of time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from barloom.functions.numeric import bisect
+from barloom.session import materialize
+
 ROWS_PER_CHUNK = 32768
+ROWS_PER_BLOCK = 1_000_000
+BOUNDS_BROADCAST = 200_000
+"""Bounds of blocks, 8 bytes each, up to which they are broadcast; beyond, rows are joined with them."""
 
 
 @dataclass(frozen=True)
@@ -55,6 +62,31 @@ DAILY = Layout(order=("day",), block=None)
 """One row per symbol and calendar day."""
 
 
+def cut_blocks(df: DataFrame, layout: Layout = BARS, target: int = ROWS_PER_BLOCK, block: str = "_block") -> tuple[DataFrame, Layout]:
+    """``df`` with the column ``block``, and the layout that uses it: ranges of time of about ``target`` rows, in order.
+
+    Works for series of timestamps with a ``day`` column, of any number of rows a day. Rows are counted by second, a
+    table of at most 86,400 rows a series and day; running counts over it say where a day is cut. Only days of more than
+    ``target`` rows are; if there are none, frame and layout come back as they are. Results never depend on the bounds,
+    and a second is never split. Runs a job: it reads keys, day and timestamps of ``df`` once.
+    """
+    (ts,) = layout.order
+    group = list(dict.fromkeys([*layout.block_keys, "day"]))
+    second = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+    bins = df.groupBy(*group, second.alias("_bin")).agg(F.count(F.lit(1)).alias("_rows"), F.min(ts).alias("_from"))
+    upto = W.partitionBy(*group).orderBy("_bin").rowsBetween(W.unboundedPreceding, 0)
+    nth = F.floor((F.sum("_rows").over(upto) - F.col("_rows")) / target)
+    starts = bins.withColumn("_nth", nth).where("_nth > 0").groupBy(*group, "_nth").agg(F.min("_from").alias("_from"))
+    bounds = materialize(starts.groupBy(*group).agg(F.sort_array(F.collect_list("_from")).alias("_bounds")))
+    most, total = bounds.agg(F.max(F.size("_bounds")), F.sum(F.size("_bounds"))).first()
+    if not most:
+        return df, layout
+    cut = df.join(F.broadcast(bounds) if total <= BOUNDS_BROADCAST else bounds, group, "left")
+    part = bisect("_bounds", ts, most)
+    number = F.struct(F.col(layout.block), part) if layout.block else part
+    return cut.withColumn(block, number).drop("_bounds"), replace(layout, block=block)
+
+
 @dataclass(frozen=True)
 class Scan:
     """One running operator: ``kind`` is sum, max, min, last (forward fill), next (back fill) or

@@ -71,8 +71,14 @@ STRATEGY_DEFAULTS = {
         "sma_period": 200,
         "exit_on_sma_cross": True,
     },
-    "stat_arb": {"zscore_lookback": 60, "entry_threshold": 2.0, "exit_threshold": 0.0, "use_dynamic_hedge": True},
-    "supervised": {"buy_threshold": 0.55, "sell_threshold": 0.45},
+    "stat_arb": {
+        "zscore_lookback": 60,
+        "entry_threshold": 2.0,
+        "exit_threshold": 0.0,
+        "use_dynamic_hedge": True,
+        "hedge_ratio": None,
+    },
+    "supervised": {"buy_threshold": 0.55, "sell_threshold": 0.45, "model": None},
 }
 REQUIRED = {
     "momentum": ["band_mult"],

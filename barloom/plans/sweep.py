@@ -1,14 +1,17 @@
 """Parameter sweeps: every configuration on every symbol, as one job.
 
-A configuration multiplies bars, so the multiplied rows must never be shuffled. Bars are
-partitioned by (symbol, day) once; configurations are exploded inside those partitions; and each
-(configuration, symbol, day) is reduced to one row that says how the day maps the position it
+A configuration multiplies bars, so the multiplied rows must never be shuffled. The configurations
+of a large grid are dealt over buckets and bars are copied once a bucket, so a task sorts the bars of
+a (symbol, day) times those configurations that share a bucket, whatever the grid. Bars are
+partitioned by (symbol, day, bucket) once; configurations are exploded inside those partitions; and
+each (configuration, symbol, day) is reduced to one row that says how the day maps the position it
 starts with to a return and to the position it ends with. Only these rows travel. Chaining them
 over the days of a series is a small window problem.
 
 Barriers need the entry price of a position held overnight. It comes from a first pass that ignores
 barriers (they never move the start of a run, because a run has one trade) and is handed to the
-second pass as one array per (symbol, day), as long as the grid.
+second pass as one array per (symbol, day, bucket), as long as the bucket. What barriers look at is
+the close, or for pairs the spread under the configuration's own hedge.
 
 Daily return = size factor of the day x unit return of the day. Kelly sizes look at earlier unit
 returns.
@@ -31,10 +34,15 @@ from barloom.operators import sizing
 from barloom.operators.joins import asof_risk_free, join_prev_day
 from barloom.operators.metrics import best_rows, strategy_report
 from barloom.operators.positions import drawdown_breaker
+from barloom.operators.selection import in_session
 from barloom.operators.series import DAY, over_chunks, spread
 from barloom.plans.grids import COMMON_DEFAULTS, ParamGrid, check_names, pick
 
-_GROUP = ["symbol", "day", "config_id"]
+_GROUP = ["symbol", "day", "bucket", "config_id"]
+
+_KEYS = ["symbol", "day", "config_id"]
+BUCKET = 512
+"""Configurations that a task lays over the bars of one symbol and day."""
 
 # A Column, or a function from the multiplied bars to the same with a column ``_sig``.
 Signal = Column | Callable[[DataFrame], DataFrame]
@@ -45,15 +53,27 @@ def param(grid: ParamGrid, name: str) -> Column:
     return F.col(name) if name in grid.params else F.lit(COMMON_DEFAULTS[name])
 
 
-def prepare(bars: DataFrame, daily: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Tradable bars: those after the first day, with their price change and place in the day."""
+def prepare(bars: DataFrame, daily: DataFrame, keep: Sequence[str], sessions: DataFrame | None = None) -> DataFrame:
+    """Tradable bars: those after the first day, with their price change and place in the day.
+
+    With ``sessions`` (see ``calendar.sessions``) closed days and bars after an early close are left out, and the change
+    of a day's first bar runs from the last bar that was left in. Reference prices of signals stay those of the day before.
+    """
     w = W.partitionBy("symbol", "day").orderBy("ts")
     whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     days = daily.select("symbol", "day", "open", "close", *_dividend(daily))
-    base = join_prev_day(spread(bars, "symbol", "day"), days)
+    dealt_bars = spread(bars, "symbol", "day")
+    held = F.col("prev_close")
+    if sessions is not None:
+        dealt_bars = in_session(dealt_bars, sessions)
+        ends = dealt_bars.groupBy("symbol", "day").agg(F.max_by("close", "ts").alias("_end"))
+        earlier = F.lag("_end").over(W.partitionBy("symbol").orderBy("day"))
+        dealt_bars = dealt_bars.join(ends.select("symbol", "day", earlier.alias("_held")), ["symbol", "day"])
+        held = F.coalesce("_held", "prev_close")
+    base = join_prev_day(dealt_bars, days)
     first = F.first("min_from_open").over(whole)
     spacing = F.coalesce(F.nth_value("min_from_open", 2).over(whole) - first, F.lit(1))
-    before = F.coalesce(F.lag("close").over(w), F.col("prev_close"))
+    before = F.coalesce(F.lag("close").over(w), held)
     return base.select(
         "symbol",
         "day",
@@ -70,6 +90,39 @@ def _dividend(daily: DataFrame) -> list[str]:
     return ["dividend"] if "dividend" in daily.columns else []
 
 
+def _buckets(grid: ParamGrid, size: int) -> int:
+    return max(1, -(-grid.size // size))
+
+
+def dealt(base: DataFrame, grid: ParamGrid, size: int = BUCKET) -> DataFrame:
+    """Prepared bars once per bucket of ``size`` configurations, partitioned by symbol, day and bucket."""
+    if _buckets(grid, size) == 1:
+        return base.withColumn("bucket", F.lit(0))
+    copies = F.explode(F.sequence(F.lit(0), F.lit(_buckets(grid, size) - 1)))
+    return spread(base.withColumn("bucket", copies), "symbol", "day", "bucket")
+
+
+def chosen_only(base: DataFrame, only: DataFrame) -> DataFrame:
+    """Prepared bars with the configurations ``only`` (symbol, config_id) asks for as an array ``_ids``; other symbols go.
+
+    The arrays travel by symbol and day, where bars are partitioned, so a hot symbol is not one task.
+    """
+    ids = only.groupBy("symbol").agg(F.sort_array(F.collect_set("config_id")).alias("_ids"))
+    days = base.select("symbol", "day").distinct().join(ids, "symbol")
+    return base.join(days.hint("merge"), ["symbol", "day"]).withColumn("bucket", F.lit(0))
+
+
+def _multiplied(base: DataFrame, grid: ParamGrid, size: int) -> DataFrame:
+    """Every bar once per configuration of its bucket, with the parameters. A narrow step."""
+    if "_ids" in base.columns:
+        ids = F.col("_ids")
+    else:
+        first = F.col("bucket") * size
+        ids = F.sequence(first, F.least(first + size, F.lit(grid.size)) - 1)
+    rows = base.withColumn("config_id", F.explode(ids.cast("array<int>"))).drop("_ids")
+    return grid.with_params(rows)
+
+
 def _local(rows: DataFrame, signal: Signal, freq: Column) -> DataFrame:
     """``_state`` of every multiplied bar; see ``positions.local_state`` for the rule."""
     w = W.partitionBy(*_GROUP).orderBy("bar")
@@ -90,14 +143,21 @@ def _chain(days: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return days.withColumns({n: F.last(c, ignorenulls=True).over(w) for n, c in columns.items()})
 
 
-def unit_returns(base: DataFrame, grid: ParamGrid, signal: Signal, cost: float, stops: bool) -> DataFrame:
-    """One row per (configuration, symbol, day): unit return, trades and exits."""
+def unit_returns(
+    base: DataFrame, grid: ParamGrid, signal: Signal, cost: float, stops: bool, gauge: Column | None = None, size: int = BUCKET
+) -> DataFrame:
+    """One row per (configuration, symbol, day): unit return, trades and exits.
+
+    ``base`` comes from ``dealt`` or ``chosen_only``. Barriers look at the move of ``gauge`` since the entry, over its
+    size at the entry; it may use parameters. Without it they look at the close.
+    """
+    mark = F.col("close") if gauge is None else gauge
     freq = param(grid, "trade_freq")
     w = W.partitionBy(*_GROUP).orderBy("bar")
     upto = w.rowsBetween(W.unboundedPreceding, 0)
 
     # First pass: where does each day leave the position, and at which price was it entered?
-    first = _local(grid.multiply(base), signal, freq)
+    first = _local(_multiplied(base, grid, size).withColumn("_mark", F.struct(mark.alias("at"))), signal, freq)
     was0, was1 = F.coalesce(F.lag("_state").over(w), F.lit(0)), F.coalesce(F.lag("_state").over(w), F.lit(1))
     held0, held1 = F.coalesce(F.col("_state"), F.lit(0)), F.coalesce(F.col("_state"), F.lit(1))
     first = first.withColumns({"_was0": was0, "_was1": was1, "_held0": held0, "_held1": held1})
@@ -108,7 +168,8 @@ def unit_returns(base: DataFrame, grid: ParamGrid, signal: Signal, cost: float,
     )
     ends = [F.max_by("_state", F.when(F.col("_state").isNotNull(), F.col("bar"))).alias("end_state")]
     for v in (0, 1):
-        ends.append(F.max_by("close", F.when(enters(v), F.col("bar"))).alias(f"entry{v}"))
+        # a struct, so that an entry without a value is an entry all the same
+        ends.append(F.max_by("_mark", F.when(enters(v), F.col("bar"))).alias(f"entry{v}"))
         if not stops:
             ends += [
                 gain(v).alias(f"gain{v}"),
@@ -120,7 +181,7 @@ def unit_returns(base: DataFrame, grid: ParamGrid, signal: Signal, cost: float,
     chosen = lambda name: F.when(F.col("start") == 1, F.col(f"{name}1")).otherwise(F.col(f"{name}0"))
     if not stops:
         return days.select(
-            *_GROUP,
+            *_KEYS,
             (chosen("gain") - 1).alias("unit_ret"),
             chosen("buys").alias("buys"),
             chosen("sells").alias("sells"),
@@ -131,23 +192,24 @@ def unit_returns(base: DataFrame, grid: ParamGrid, signal: Signal, cost: float,
 
     # Second pass: the start of the day is known, so barriers can be evaluated bar by bar.
     days = _chain(days, {"entry": chosen("entry")})
-    starts = days.groupBy("symbol", "day").agg(
+    starts = days.groupBy("symbol", "day", "bucket").agg(
         F.sort_array(F.collect_list(F.struct("config_id", "start", "entry"))).alias("_starts")
     )
     # Spark takes an array for one element: without the hint, arrays as long as the grid would look small enough to broadcast
-    rows = base.join(starts.hint("merge"), ["symbol", "day"]).withColumn("_at", F.explode("_starts")).drop("_starts")
-    rows = rows.select(*base.columns, "_at.config_id", "_at.start", "_at.entry")
-    rows = _local(grid.with_params(rows), signal, freq)
+    rows = base.drop("_ids").join(starts.hint("merge"), ["symbol", "day", "bucket"]).withColumn("_at", F.explode("_starts"))
+    rows = rows.select(*(c for c in base.columns if c != "_ids"), "_at.config_id", "_at.start", "_at.entry")
+    rows = _local(grid.with_params(rows).withColumn("_mark", F.struct(mark.alias("at"))), signal, freq)
     rows = rows.withColumn("_pos", F.coalesce("_state", "start"))
     rows = rows.withColumn("_was", F.coalesce(F.lag("_pos").over(w), F.col("start")))
     enter = (F.col("_pos") == 1) & (F.col("_was") == 0)
     rows = rows.withColumns(
         {
             "_run": F.sum(enter.cast("int")).over(upto),
-            "_px": F.coalesce(F.last(F.when(enter, F.col("close")), ignorenulls=True).over(upto), F.col("entry")),
+            "_px": F.coalesce(F.last(F.when(enter, F.col("_mark")), ignorenulls=True).over(upto), F.col("entry")),
         }
     )
-    pnl = ratio(F.col("close") - F.col("_px"), "_px")
+    entered = F.col("_px.at")
+    pnl = ratio(F.col("_mark.at") - entered, entered if gauge is None else F.abs(entered))
     stop, target = param(grid, "stop_loss_pct"), param(grid, "take_profit_pct")
     why = F.when(pnl <= -stop, EXIT_STOP).when(pnl >= target, EXIT_TARGET)
     rows = rows.withColumn("_why", F.when(F.col("_pos") == 1, why))
@@ -189,7 +251,7 @@ def unit_returns(base: DataFrame, grid: ParamGrid, signal: Signal, cost: float,
         F.col("end_run") > 0, ~F.coalesce(F.col("end_cut") == F.col("end_run"), F.lit(False))
     ).otherwise(live & (F.coalesce(F.col("carried_hit"), F.lit(0)) == 0))
     return days.select(
-        *_GROUP,
+        *_KEYS,
         (chosen("gain") - 1).alias("unit_ret"),
         chosen("buys").alias("buys"),
         chosen("sells").alias("sells"),
@@ -260,20 +322,30 @@ def sweep(
     rates: DataFrame | None = None,
     rf_annual: float = 0.0,
     barriers: bool = True,
+    strategy: str | None = None,
+    gauge: Column | None = None,
+    size: int = BUCKET,
+    sessions: DataFrame | None = None,
 ) -> DataFrame:
     """Statistics of every configuration.
 
     ``signal`` is a Column over bar columns and parameters, or a function that adds ``_sig``. Stop and target are
-    those of the grid or the defaults; only ``barriers=False`` switches them off. Names that no strategy knows are
-    an error.
+    those of the grid or the defaults; only ``barriers=False`` switches them off. Names that ``strategy`` (without one,
+    any strategy) does not know are an error. ``size`` configurations share a bucket; results do not depend on it.
+    ``sessions`` says which days and bars are traded.
     """
-    return report(sweep_days(bars, daily, grid, signal, keep, cost, rates, barriers), grid, rf_annual)
+    how = {"strategy": strategy, "gauge": gauge, "size": size, "sessions": sessions}
+    return report(sweep_days(bars, daily, grid, signal, keep, cost, rates, barriers, **how), grid, rf_annual)
 
 
-def sweep_days(bars, daily, grid, signal, keep, cost=0.0, rates=None, barriers=True) -> DataFrame:
-    check_names(grid.params)
-    base = prepare(bars, daily, keep)
-    return sized_days(unit_returns(base, grid, signal, cost, barriers), grid, daily, rates)
+def sweep_days(
+    bars, daily, grid, signal, keep, cost=0.0, rates=None, barriers=True, strategy=None, gauge=None, size=BUCKET, only=None, sessions=None
+) -> DataFrame:
+    """Strategy rows per configuration, symbol and day; with ``only`` (symbol, config_id) of those configurations alone."""
+    check_names(grid.params, strategy)
+    base = prepare(bars, daily, keep, sessions)
+    base = dealt(base, grid, size) if only is None else chosen_only(base, only)
+    return sized_days(unit_returns(base, grid, signal, cost, barriers, gauge, size), grid, daily, rates)
 
 
 # ---------------------------------------------------------------- the six strategies
@@ -321,23 +393,35 @@ def rsi_inputs(bars: DataFrame, periods: Sequence[int], averages: Sequence[int])
     return ready, signal, [*[f"rsi_{p}" for p in periods], *[f"sma_{n}" for n in averages]]
 
 
-def pair_inputs(pair: DataFrame, lookbacks: Sequence[int], fixed_hedge: float = 1.0):
-    """Pair bars (close_a, close_b); leg A is what is traded."""
+def pair_inputs(pair: DataFrame, lookbacks: Sequence[int], hedges: Sequence[float] = ()):
+    """Pair bars (close_a, close_b); leg A is what is traded, the spread is what barriers look at: (bars, signal, columns, gauge).
+
+    The hedge rolls, unless a configuration has ``use_dynamic_hedge`` false and a ``hedge_ratio``, one of ``hedges``.
+    """
     stages = []
     for n in lookbacks:
-        stages += ind.pair_stages(n, None, f"_dyn{n}") + ind.pair_stages(n, fixed_hedge, f"_fix{n}")
+        stages += ind.pair_stages(n, None, f"_dyn{n}")
+        for k, h in enumerate(hedges):
+            stages += ind.pair_stages(n, h, f"_fix{k}_{n}")
     ready = over_chunks(pair, stages, DAY).withColumn("close", F.col("close_a"))
-    z = F.when(F.col("use_dynamic_hedge"), pick("spread_z_dyn", "zscore_lookback", lookbacks)).otherwise(
-        pick("spread_z_fix", "zscore_lookback", lookbacks)
-    )
-    keep = [f"spread_z_{kind}{n}" for kind in ("dyn", "fix") for n in lookbacks]
-    return ready, sig.pair("entry_threshold", F.col("exit_threshold"), z), keep
 
+    def of(name: str) -> Column:
+        """The column of the configuration's own lookback and hedge."""
+        out = pick(f"{name}_dyn", "zscore_lookback", lookbacks)
+        for k, h in enumerate(hedges):
+            own = ~F.col("use_dynamic_hedge") & (F.col("hedge_ratio") == F.lit(float(h)))
+            out = F.when(own, pick(f"{name}_fix{k}_", "zscore_lookback", lookbacks)).otherwise(out)
+        return out
 
-def supervised_signal(rows: DataFrame) -> DataFrame:
+    kinds = ["_dyn", *(f"_fix{k}_" for k in range(len(hedges)))]
+    keep = [f"{name}{kind}{n}" for name in ("spread", "spread_z") for kind in kinds for n in lookbacks]
+    return ready, sig.pair("entry_threshold", F.col("exit_threshold"), of("spread_z")), keep, of("spread")
+
+
+def supervised_signal(rows: DataFrame, probability: Column | None = None) -> DataFrame:
     """Probability latch that starts flat every day: an order only where the state changes."""
     w = W.partitionBy(*_GROUP).orderBy("bar")
-    p = F.col("probability")
+    p = F.col("probability") if probability is None else probability
     want = F.when(p >= F.col("buy_threshold"), 1).when(p <= F.col("sell_threshold"), 0)
     held = rows.withColumn(
         "_in", F.coalesce(F.last(want, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.lit(0))
@@ -345,11 +429,23 @@ def supervised_signal(rows: DataFrame) -> DataFrame:
     return held.withColumn("_sig", F.col("_in") - F.coalesce(F.lag("_in").over(w), F.lit(0))).drop("_in")
 
 
+def supervised_inputs(bars: DataFrame, models: Sequence[str]):
+    """Bars scored once by each model (columns ``probability_<model>``) under a grid whose ``model`` names one of them."""
+    missing = [m for m in models if f"probability_{m}" not in bars.columns]
+    if missing:
+        raise ValueError(f"bars are not scored by: {missing}")
+    p = pick("probability_", "model", models)
+    return bars, lambda rows: supervised_signal(rows, p), [f"probability_{m}" for m in models]
+
+
 def best_configs(results: DataFrame, metric: str = "sharpe_ratio", by: Sequence[str] = ("symbol",)) -> DataFrame:
     return best_rows(results, metric, by)
 
 
-def rerun_best(days: DataFrame, results: DataFrame, metric: str = "sharpe_ratio") -> DataFrame:
-    """Daily rows of the best configuration of every symbol."""
-    best = best_configs(results, metric).select("config_id", "symbol")
-    return days.join(best, ["config_id", "symbol"], "left_semi")
+def rerun_best(results: DataFrame, metric: str, bars: DataFrame, daily: DataFrame, grid: ParamGrid, *args, **kwargs) -> DataFrame:
+    """Daily rows of the best configuration of every symbol in ``results``; only those configurations are run again.
+
+    Further arguments are those of ``sweep_days``.
+    """
+    best = best_configs(results, metric).select("symbol", "config_id")
+    return sweep_days(bars, daily, grid, *args, only=best, **kwargs)

@@ -38,9 +38,13 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a frame that several later jobs read, through a reliable checkpoint."""
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """A frame that several later jobs read, written once as Parquet in the shared folder.
+
+    Cuts the lineage and survives lost executors, and later jobs read the columns they need only. Runs a job.
+    """
+    path = scratch_folder(df.sparkSession, "frame")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:

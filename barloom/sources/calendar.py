@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.functions.bars import OPEN_MINUTE
+
 EARLY_CLOSE_MINUTE = 13 * 60
 #: First and last year of the tables unless others are asked for.
 YEARS = (2000, 2040)
@@ -99,3 +101,11 @@ def early_closes(
         trades(_date(12, 24), _date(12, 25)),
     ]
     return _table(spark, years, rules, list(extra)).withColumn("close_min", F.lit(minute))
+
+
+def sessions(closed: DataFrame, early: DataFrame) -> DataFrame:
+    """(day, closed, last_minute): one row for each day in ``closed(day)`` or ``early(day, close_min)``; minutes count
+    from the opening."""
+    shut = closed.select("day", F.lit(True).alias("closed")).distinct()
+    short = early.groupBy("day").agg((F.min("close_min") - OPEN_MINUTE).cast("int").alias("last_minute"))
+    return shut.join(short, "day", "full").select("day", F.coalesce("closed", F.lit(False)).alias("closed"), "last_minute")

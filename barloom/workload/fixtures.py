@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 
 from barloom.operators.joins import join_pair
 from barloom.operators.resample import daily_from_intraday, resample_intraday
+from barloom.operators.series import BARS, ROWS_PER_BLOCK, Layout, cut_blocks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
+#: Ticks of one task; days with more are cut.
+TICK_BLOCK = ROWS_PER_BLOCK
+
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query; without ``sql`` the check covers rows and schema only."""
@@ -51,6 +55,11 @@ def ticks(spark: SparkSession, sf: str, calm: bool = False) -> DataFrame:
     )
 
 
+def cut(ticks: DataFrame, layout: Layout = BARS) -> tuple[DataFrame, Layout]:
+    """Ticks with days that are longer than a task cut into blocks."""
+    return cut_blocks(ticks, layout, TICK_BLOCK)
+
+
 def bars(spark: SparkSession, sf: str, minutes: int = 60, calm: bool = False) -> DataFrame:
     return resample_intraday(ticks(spark, sf, calm), minutes)
 

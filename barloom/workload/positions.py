@@ -56,13 +56,13 @@ _REV = f"""
            FROM (SELECT *, {z_lagged(20)} AS z FROM bars_1h))"""
 
 
-def run_ctes(part: str = "symbol") -> str:
+def run_ctes(part: str = "symbol", mark: str = "close") -> str:
     w = f"PARTITION BY {part} ORDER BY ts"
     return f"""
     r0 AS (SELECT *, position = 1 AND coalesce(lag(position) OVER ({w}), 0) = 0 AS enters FROM po),
     r1 AS (SELECT *, sum(enters::INTEGER) OVER ({w} ROWS UNBOUNDED PRECEDING) AS nth FROM r0),
     rn AS (SELECT *, CASE WHEN position = 1 THEN nth END AS run_id,
-               CASE WHEN position = 1 THEN first_value(close) OVER (PARTITION BY {part}, nth ORDER BY ts) END AS entry_price,
+               CASE WHEN position = 1 THEN first_value({mark}) OVER (PARTITION BY {part}, nth ORDER BY ts) END AS entry_price,
                CASE WHEN position = 1 THEN first_value(ts) OVER (PARTITION BY {part}, nth ORDER BY ts) END AS entry_ts FROM r1)"""
 
 

@@ -8,7 +8,7 @@ from barloom.functions import risk
 from barloom.operators import selection as sel
 from barloom.operators.features import features_for_scoring
 from barloom.operators.joins import join_by_day
-from barloom.operators.series import BARS
+from barloom.operators.series import BARS, DAY, Scan, blocked_scan
 from barloom.workload import fixtures as fx
 from barloom.workload.fixtures import query, sql
 from barloom.workload.shape import BAR, out, r6
@@ -67,7 +67,8 @@ def last_n_days(spark, sf):
     ),
 )
 def slice_rows(spark, sf):
-    return sel.slice_rows(fx.ticks(spark, sf), -120, -20).select("event_id", "symbol", "ts")
+    ticks, layout = fx.cut(fx.ticks(spark, sf))
+    return sel.slice_rows(ticks, -120, -20, layout).select("event_id", "symbol", "ts")
 
 
 @query(
@@ -153,12 +154,9 @@ _RISK = """
 
 def _entries(spark, sf):
     """Ticks against the day's open as entry and the day's high so far as peak."""
-    from pyspark.sql.window import Window as W
-
-    ticks = fx.ticks(spark, sf).drop("open")
+    ticks, layout = fx.cut(fx.ticks(spark, sf).drop("open"), DAY)
     day = fx.daily(spark, sf).select("symbol", "day", F.col("open").alias("entry"))
-    w = W.partitionBy("symbol", "day").orderBy("ts")
-    return ticks.join(day, ["symbol", "day"]).withColumn("peak", F.max("close").over(w))
+    return blocked_scan(ticks, [Scan("peak", "max", F.col("close"))], layout).join(day, ["symbol", "day"])
 
 
 @query(

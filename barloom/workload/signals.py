@@ -228,7 +228,8 @@ _PROB = "CASE WHEN probability >= 0.55 THEN 1 WHEN probability <= 0.45 THEN 0 EN
 def _probability(name: str, part: str, layout):
     @query(name, latch_sql(_PROB, part))
     def run(spark, sf):
-        return pos.latch_probability(fx.scored_ticks(spark, sf), layout=layout).select("event_id", "symbol", "signal")
+        ticks, own = fx.cut(fx.scored_ticks(spark, sf), layout)
+        return pos.latch_probability(ticks, layout=own).select("event_id", "symbol", "signal")
 
 
 _probability("sig_probability", WS, BARS)
@@ -239,4 +240,5 @@ _probability("sig_probability_daily_reset", WD, DAY_LAYOUT)
 def sig_prediction(spark, sf):
     n = F.col("event_id") % 3
     ticks = fx.scored_ticks(spark, sf).withColumn("prediction", F.when(n < 2, 1 - n))
-    return pos.latch_prediction(ticks).select("event_id", "symbol", "signal")
+    ticks, layout = fx.cut(ticks)
+    return pos.latch_prediction(ticks, layout).select("event_id", "symbol", "signal")

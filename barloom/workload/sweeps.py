@@ -18,6 +18,7 @@ from barloom.functions.bars import bar_minute
 from barloom.plans import sweep as sw
 from barloom.plans.grids import ParamGrid, default_config, grid_sizes
 from barloom.session import materialize
+from barloom.sources import calendar
 from barloom.workload import fixtures as fx
 from barloom.workload.aggregates import REPORT_COLUMNS, REPORT_CTES, report_select
 from barloom.workload.fixtures import query, sql
@@ -35,17 +36,19 @@ def priced_days(spark, sf):
     return vol.withColumn("ticker_dvol", F.coalesce("ticker_dvol", F.lit(WARMUP_VOL)))
 
 
-def run(spark, sf, bars, grid, signal, keep, daily=None):
+def run(spark, sf, strategy, grid, inputs, daily=None, **how):
+    """The sweep table of a strategy's inputs: bars, signal, columns and, for pairs, what barriers look at."""
+    bars, signal, keep, *gauge = inputs
     daily = priced_days(spark, sf) if daily is None else daily
-    table = sw.sweep(bars, daily, grid, signal, keep, COST, fx.risk_free(spark, sf), 0.05)
-    return table
+    how |= {"gauge": gauge[0]} if gauge else {}
+    return sw.sweep(bars, daily, grid, signal, keep, COST, fx.risk_free(spark, sf), 0.05, strategy=strategy, **how)
 
 
 # ------------------------------------------------------------------ SQL
 
 
 def grid_cte(grid: ParamGrid) -> str:
-    lit = lambda v: f"{v}::DOUBLE" if isinstance(v, float) else str(v)
+    lit = lambda v: f"{v}::DOUBLE" if isinstance(v, float) else f"'{v}'" if isinstance(v, str) else str(v)
     rows = ", ".join(
         f"({i}, {', '.join(lit(v) for v in combo)})" for i, combo in enumerate(itertools.product(*grid.params.values()))
     )
@@ -63,7 +66,19 @@ def days_cte(label: str = "symbol", where: str = "TRUE") -> str:
 PART = "config_id, symbol"
 
 
-def daily_ctes(grid: ParamGrid, signal: str, src: str = "sb", days: str | None = None) -> str:
+PRICE_PNL = "(close - entry_price) / entry_price"
+
+
+#: Tradable bars, and the close that each (symbol, day) starts from.
+ALL_BARS = "kb AS (SELECT * FROM sb), hc AS (SELECT symbol, day, prev_close AS held_close FROM dy)"
+CALENDAR_BARS = """kb AS (SELECT * FROM sb WHERE day <> DATE '2024-01-15' AND (day <> DATE '2024-01-10' OR min_from_open <= 13 * 60 - 570)),
+    ends AS (SELECT symbol, day, arg_max(close, ts) AS e FROM kb GROUP BY 1, 2),
+    hc AS (SELECT symbol, day, lag(e) OVER (PARTITION BY symbol ORDER BY day) AS held_close FROM ends)"""
+
+
+def daily_ctes(
+    grid: ParamGrid, signal: str, kept: str = ALL_BARS, days: str | None = None, mark: str = "close", pnl: str = PRICE_PNL
+) -> str:
     """From the bars ``src`` to ``rep_in``: strategy rows per configuration, symbol and day."""
     # the strategies always run with barriers: those of the grid, or 2 and 4 percent
     stop = "stop_loss_pct" if "stop_loss_pct" in grid.params else "0.02::DOUBLE"
@@ -71,13 +86,15 @@ def daily_ctes(grid: ParamGrid, signal: str, src: str = "sb", days: str | None =
     freq = "trade_freq" if "trade_freq" in grid.params else "30"
     target = "target_vol" if "target_vol" in grid.params else "0.02::DOUBLE"
     limit = "drawdown_limit" if "drawdown_limit" in grid.params else "0.15::DOUBLE"
-    held = f"{run_ctes(PART)}, {barrier_ctes(stop, gain, PART)}"
+    held = f"{run_ctes(PART, mark)}, {barrier_ctes(stop, gain, PART, pnl)}"
     return f"""
     {days or days_cte()},
     {grid_cte(grid)},
-    pb AS (SELECT s.*, s.close / coalesce(lag(s.close) OVER d, dy.prev_close) - 1 AS chg,
+    {kept},
+    pb AS (SELECT s.*, s.close / coalesce(lag(s.close) OVER d, hc.held_close, dy.prev_close) - 1 AS chg,
                coalesce(nth_value(min_from_open, 2) OVER e - first_value(min_from_open) OVER e, 1) AS spacing
-           FROM {src} s JOIN dy ON s.symbol = dy.symbol AND s.day = dy.day WHERE dy.prev_close IS NOT NULL
+           FROM kb s JOIN dy ON s.symbol = dy.symbol AND s.day = dy.day JOIN hc ON s.symbol = hc.symbol AND s.day = hc.day
+           WHERE dy.prev_close IS NOT NULL
            WINDOW d AS (PARTITION BY s.symbol, s.day ORDER BY s.ts),
                e AS (PARTITION BY s.symbol, s.day ORDER BY s.ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
     gb AS (SELECT *, CAST(coalesce(greatest(1, floor({freq} / nullif(spacing, 0)::DOUBLE)), 1) AS BIGINT) AS k FROM pb, g),
@@ -101,16 +118,16 @@ def daily_ctes(grid: ParamGrid, signal: str, src: str = "sb", days: str | None =
                CASE WHEN day > stop_day OR (day = stop_day AND ret0 = 0) THEN 0 ELSE take_profits END AS take_profits FROM q4)"""
 
 
-def sweep_ctes(grid: ParamGrid, ctes: str, signal: str, days: str | None = None) -> str:
+def sweep_ctes(grid: ParamGrid, ctes: str, signal: str, days: str | None = None, **how) -> str:
     params = ", ".join(f"any_value(g.{p}) AS {p}" for p in grid.params)
     trades = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("buys", "sells", "stop_losses", "take_profits"))
-    return f"""{ctes}, {daily_ctes(grid, signal, days=days)}, {REPORT_CTES.format(keys=PART)},
+    return f"""{ctes}, {daily_ctes(grid, signal, days=days, **how)}, {REPORT_CTES.format(keys=PART)},
     st AS (SELECT r.config_id, r.symbol, {report_select(0.05)}, {trades}, {params}
            FROM rep_dd r JOIN g ON r.config_id = g.config_id GROUP BY 1, 2)"""
 
 
-def sweep_sql(uses: str, grid: ParamGrid, ctes: str, signal: str, days=None, tail="SELECT * FROM st") -> str:
-    body = f"WITH {sweep_ctes(grid, ctes, signal, days)} {tail}"
+def sweep_sql(uses: str, grid: ParamGrid, ctes: str, signal: str, days=None, tail="SELECT * FROM st", **how) -> str:
+    body = f"WITH {sweep_ctes(grid, ctes, signal, days, **how)} {tail}"
     return sql(f"{uses} daily_ret rf_daily", body, recursive=True, calm=True)
 
 
@@ -149,12 +166,20 @@ def reversion_sweep_inputs(spark, sf, grid=GRID_MR, minutes=5):
 
 @query("sweep_mean_reversion", sweep_sql(*MR))
 def sweep_mean_reversion(spark, sf):
-    return run(spark, sf, *_reorder(reversion_sweep_inputs(spark, sf), GRID_MR))
+    return run(spark, sf, "mean_reversion", GRID_MR, reversion_sweep_inputs(spark, sf))
+
+
+@query("sweep_mean_reversion_buckets", sweep_sql(*MR))
+def sweep_mean_reversion_buckets(spark, sf):
+    """The same grid in buckets of five configurations."""
+    return run(spark, sf, "mean_reversion", GRID_MR, reversion_sweep_inputs(spark, sf), size=5)
 
 
-def _reorder(inputs, grid):
-    bars, signal, keep = inputs
-    return bars, grid, signal, keep
+@query("sweep_with_calendar", sweep_sql(*MR, kept=CALENDAR_BARS))
+def sweep_with_calendar(spark, sf):
+    """The same grid where one day is closed and another one ends early."""
+    closed = calendar.sessions(fx.holidays(spark, sf), fx.early_closes(spark, sf))
+    return run(spark, sf, "mean_reversion", GRID_MR, reversion_sweep_inputs(spark, sf), sessions=closed)
 
 
 GRID_MOM = ParamGrid({"band_mult": [0.5, 1.0], "trade_freq": [60, 120]})
@@ -175,9 +200,7 @@ GRID_MOM = ParamGrid({"band_mult": [0.5, 1.0], "trade_freq": [60, 120]})
 def sweep_momentum(spark, sf):
     bars, day = momentum_bars(spark, sf, True)
     vols = priced_days(spark, sf).select("symbol", "day", "ticker_dvol")
-    return run(
-        spark, sf, *_reorder(sw.momentum_inputs(bars), GRID_MOM), daily=day.join(vols, ["symbol", "day"], "left")
-    )
+    return run(spark, sf, "momentum", GRID_MOM, sw.momentum_inputs(bars), daily=day.join(vols, ["symbol", "day"], "left"))
 
 
 GRID_ATR = ParamGrid(
@@ -211,7 +234,7 @@ _ATR = ", ".join(
 )
 def sweep_momentum_atr(spark, sf):
     bars = intraday.vwap(fx.bars(spark, sf, 5, True))
-    return run(spark, sf, *_reorder(sw.momentum_atr_inputs(bars, GRID_ATR.params["atr_period"]), GRID_ATR))
+    return run(spark, sf, "momentum_atr", GRID_ATR, sw.momentum_atr_inputs(bars, GRID_ATR.params["atr_period"]))
 
 
 GRID_RSI = ParamGrid(
@@ -244,7 +267,7 @@ GRID_RSI = ParamGrid(
 def sweep_mean_reversion_rsi(spark, sf):
     bars = fx.bars(spark, sf, 5, True)
     inputs = sw.rsi_inputs(bars, GRID_RSI.params["rsi_period"], GRID_RSI.params["sma_period"])
-    return run(spark, sf, *_reorder(inputs, GRID_RSI))
+    return run(spark, sf, "mean_reversion_rsi", GRID_RSI, inputs)
 
 
 GRID_PAIR = ParamGrid(
@@ -253,19 +276,30 @@ GRID_PAIR = ParamGrid(
         "entry_threshold": [0.8, 1.2],
         "exit_threshold": [0.0, 0.4],
         "use_dynamic_hedge": [True, False],
+        "hedge_ratio": [1.0, 0.9],
         "trade_freq": [5],
-        "stop_loss_pct": [0.004],
-        "take_profit_pct": [0.008],
+        "stop_loss_pct": [0.4],
+        "take_profit_pct": [0.8],
     }
 )
 
 
+PAIR_HEDGES = [("one", 1.0), ("less", 0.9)]
+_PAIR_KINDS = ["dyn", *(name for name, _ in PAIR_HEDGES)]
+
+
+def _own(prefix: str) -> str:
+    """The column of a configuration's lookback and hedge."""
+    pick = lambda kind: f"CASE zscore_lookback WHEN 6 THEN {prefix}{kind}6 ELSE {prefix}{kind}9 END"
+    return f"CASE WHEN use_dynamic_hedge THEN {pick('dyn')} WHEN hedge_ratio = 1 THEN {pick('one')} ELSE {pick('less')} END"
+
+
 def _pair_z(n: int, kind: str) -> str:
     w = f"({WD} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
     hedge = (
         f"CASE WHEN count(close_b) OVER w{n} = {n} THEN CASE WHEN avg(close_b) OVER w{n} > 0 THEN avg(close_a) OVER w{n} / avg(close_b) OVER w{n} ELSE 1 END END"
         if kind == "dyn"
-        else "1::DOUBLE"
+        else f"{dict(PAIR_HEDGES)[kind]}::DOUBLE"
     )
     return f"close_a - ({hedge}) * close_b AS s{kind}{n}"
 
@@ -279,20 +313,21 @@ def _pair_z(n: int, kind: str) -> str:
             FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY ts) AS n FROM bars_5m WHERE symbol = 'click') a
             JOIN (SELECT *, row_number() OVER (PARTITION BY day ORDER BY ts) AS n FROM bars_5m WHERE symbol = 'view') b
             ON a.day = b.day AND a.n = b.n),
-        ps AS (SELECT *, {', '.join(_pair_z(n, k) for n in (6, 9) for k in ('dyn', 'fix'))} FROM pa
+        ps AS (SELECT *, {', '.join(_pair_z(n, k) for n in (6, 9) for k in _PAIR_KINDS)} FROM pa
             WINDOW w6 AS ({WD} ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), w9 AS ({WD} ROWS BETWEEN 9 PRECEDING AND 1 PRECEDING)),
-        sb AS (SELECT *, {', '.join(f"{z_lagged(n, f's{k}{n}', WD)} AS z{k}{n}" for n in (6, 9) for k in ('dyn', 'fix'))} FROM ps)""",
-        f"""sg1 AS (SELECT *, CASE WHEN use_dynamic_hedge THEN CASE zscore_lookback WHEN 6 THEN zdyn6 ELSE zdyn9 END
-               ELSE CASE zscore_lookback WHEN 6 THEN zfix6 ELSE zfix9 END END AS z FROM gb),
+        sb AS (SELECT *, {', '.join(f"{z_lagged(n, f's{k}{n}', WD)} AS z{k}{n}" for n in (6, 9) for k in _PAIR_KINDS)} FROM ps)""",
+        f"""sg1 AS (SELECT *, {_own('z')} AS z, {_own('s')} AS own_spread FROM gb),
         sg2 AS (SELECT *, {decide('z < -entry_threshold', 'z > entry_threshold OR (z >= exit_threshold AND z <= entry_threshold)')} FROM sg1)""",
         days=days_cte("'click/view'", "symbol = 'click'"),
+        mark="own_spread",
+        pnl="(own_spread - entry_price) / nullif(abs(entry_price), 0)",
     ),
 )
 def sweep_stat_arb(spark, sf):
     pair = join_pair(fx.bars(spark, sf, 5, True), "click", "view")
     leg = priced_days(spark, sf).where(F.col("symbol") == "click").withColumn("symbol", F.lit("click/view"))
-    inputs = sw.pair_inputs(pair, GRID_PAIR.params["zscore_lookback"])
-    return run(spark, sf, *_reorder(inputs, GRID_PAIR), daily=leg)
+    inputs = sw.pair_inputs(pair, GRID_PAIR.params["zscore_lookback"], GRID_PAIR.params["hedge_ratio"])
+    return run(spark, sf, "stat_arb", GRID_PAIR, inputs, daily=leg)
 
 
 GRID_ML = ParamGrid({"buy_threshold": [0.55, 0.8], "sell_threshold": [0.2, 0.45], "trade_freq": [30, 60]})
@@ -311,15 +346,34 @@ GRID_ML = ParamGrid({"buy_threshold": [0.55, 0.8], "sell_threshold": [0.2, 0.45]
 )
 def sweep_supervised(spark, sf):
     ticks = fx.scored_ticks(spark, sf, True).withColumn("min_from_open", bar_minute())
-    return run(spark, sf, ticks, GRID_ML, sw.supervised_signal, ["probability"])
+    return run(spark, sf, "supervised", GRID_ML, (ticks, sw.supervised_signal, ["probability"]))
 
 
-# ------------------------------------------------------------------ reports over a sweep
+GRID_MODELS = ParamGrid({"model": ["slow", "fast"], "buy_threshold": [0.55, 0.8], "sell_threshold": [0.2, 0.45], "trade_freq": [30]})
 
 
-def reversion_days(spark, sf):
-    bars, signal, keep = reversion_sweep_inputs(spark, sf)
-    return sw.sweep_days(bars, priced_days(spark, sf), GRID_MR, signal, keep, COST, fx.risk_free(spark, sf))
+@query(
+    "sweep_supervised_models",
+    sweep_sql(
+        "scored",
+        GRID_MODELS,
+        """sb AS (SELECT *, CAST(hour(ts) * 60 + minute(ts) - 569 AS INTEGER) AS min_from_open, probability AS slow,
+               ((event_id * 104729) % 997) / 997.0::DOUBLE AS fast FROM scored)""",
+        """sg0 AS (SELECT *, CASE model WHEN 'slow' THEN slow ELSE fast END AS p FROM gb),
+        sg1 AS (SELECT *, CASE WHEN p >= buy_threshold THEN 1 WHEN p <= sell_threshold THEN 0 END AS want FROM sg0),
+        sg3 AS (SELECT *, coalesce(last_value(want IGNORE NULLS) OVER (PARTITION BY config_id, symbol, day ORDER BY ts ROWS UNBOUNDED PRECEDING), 0) AS st FROM sg1),
+        sg2 AS (SELECT *, st - coalesce(lag(st) OVER (PARTITION BY config_id, symbol, day ORDER BY ts), 0) AS signal FROM sg3)""",
+    ),
+)
+def sweep_supervised_models(spark, sf):
+    """Two models' scores of every bar, the model being one more parameter."""
+    fast = ((F.col("event_id") * 104729) % 997) / F.lit(997.0)
+    ticks = fx.scored_ticks(spark, sf, True).withColumn("min_from_open", bar_minute())
+    scored = ticks.withColumnRenamed("probability", "probability_slow").withColumn("probability_fast", fast)
+    return run(spark, sf, "supervised", GRID_MODELS, sw.supervised_inputs(scored, GRID_MODELS.params["model"]))
+
+
+# ------------------------------------------------------------------ reports over a sweep
 
 
 _BEST = """SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY sharpe_ratio DESC NULLS LAST, config_id) AS r FROM st"""
@@ -334,8 +388,11 @@ _BEST = """SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY sharpe_rati
     ),
 )
 def rerun_best(spark, sf):
-    days = materialize(reversion_days(spark, sf))
-    best = sw.rerun_best(days, sw.report(days, GRID_MR, 0.05))
+    bars, signal, keep = reversion_sweep_inputs(spark, sf)
+    inputs = materialize(bars), signal, keep
+    results = materialize(run(spark, sf, "mean_reversion", GRID_MR, inputs))
+    how = (priced_days(spark, sf), GRID_MR, signal, keep, COST, fx.risk_free(spark, sf))
+    best = sw.rerun_best(results, "sharpe_ratio", inputs[0], *how, strategy="mean_reversion")
     return best.select("config_id", "symbol", "day", F.round("ret", 6).alias("ret"), "buys", "sells")
 
 
@@ -350,7 +407,7 @@ def rerun_best(spark, sf):
 )
 def sweep_best_summary(spark, sf):
     """Range of results and the winning configuration per symbol."""
-    table = materialize(run(spark, sf, *_reorder(reversion_sweep_inputs(spark, sf), GRID_MR)))
+    table = materialize(run(spark, sf, "mean_reversion", GRID_MR, reversion_sweep_inputs(spark, sf)))
     best = sw.best_configs(table).select("symbol", F.col("config_id").alias("best_config"))
     return m.sweep_summary(table).join(best, "symbol")
 

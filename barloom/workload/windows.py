@@ -54,6 +54,18 @@ def move_open(spark, sf):
     return out(intraday.move_open(fx.bars(spark, sf)), BAR, "move_open")
 
 
+_TICK_DAY = {"vwap": VWAP_SQL, "move_open": MOVE_SQL, "position": f"row_number() OVER ({WD})"}
+
+
+@query("day_columns_ticks", bar_sql(", ".join(f"round({c}, 6) AS {n}" if n != "position" else f"{c} AS {n}" for n, c in _TICK_DAY.items()), "ticks", "ticks"))
+def day_columns_ticks(spark, sf):
+    """The columns of a day so far on ticks, whose days may be longer than a task."""
+    ticks, layout = fx.cut(fx.ticks(spark, sf), DAY_LAYOUT)
+    ready = intraday.move_open(intraday.vwap(ticks, layout), layout)
+    done = intraday.minute_index_by_position(ready, layout).withColumn("position", F.col("min_from_open").cast("bigint"))
+    return out(done, [*BAR, "position"], "vwap", "move_open")
+
+
 @query(
     "daily_vol",
     sql(
@@ -171,6 +183,16 @@ def smooth_sql(*names: str) -> str:
     return sql("bars_1h", f"WITH {SMOOTH_CTES} SELECT symbol, ts, {r6(*names)} FROM smooth", recursive=True)
 
 
+def rsi_direct_sql(src: str, periods) -> str:
+    """RSI of each row from its whole past, weighted by age: no recursion, no running sums."""
+    sums = ", ".join(
+        f"sum(greatest(p.d, 0) * pow(({n} - 1.0) / {n}, r.i - p.i)) / nullif(sum(greatest(-p.d, 0) * pow(({n} - 1.0) / {n}, r.i - p.i)), 0) AS rs_{n}" for n in periods
+    )
+    return f"""WITH d AS (SELECT symbol, ts, close - lag(close) OVER ({WS}) AS d, row_number() OVER ({WS}) - 1 AS i FROM {src}),
+        w AS (SELECT r.symbol, r.ts, r.i, {sums} FROM d r LEFT JOIN d p ON p.symbol = r.symbol AND p.i <= r.i AND p.i > r.i - 1200 AND p.i > 0 GROUP BY ALL)
+        SELECT symbol, ts, {", ".join(f"round(CASE WHEN i >= {n} THEN 100 - 100 / (1 + rs_{n}) END, 6) AS rsi_{n}" for n in periods)} FROM w"""
+
+
 _EMA = [f"ema_{s}" for s in ind.EMA_SPANS]
 _RSI = [f"rsi_{p}" for p in ind.RSI_PERIODS]
 
@@ -180,6 +202,12 @@ def ema(spark, sf):
     return out(ind.ema(fx.bars(spark, sf)), BAR, *_EMA)
 
 
+@query("rsi_ewm_ticks", sql("ticks", rsi_direct_sql("ticks", (5, 14))))
+def rsi_ewm_ticks(spark, sf):
+    ticks, layout = fx.cut(fx.ticks(spark, sf))
+    return out(ind.rsi_ewm(ticks, (5, 14), layout), BAR, "rsi_5", "rsi_14")
+
+
 @query("rsi_ewm", smooth_sql(*_RSI))
 def rsi_ewm(spark, sf):
     return out(ind.rsi_ewm(fx.bars(spark, sf)), BAR, *_RSI)
@@ -318,7 +346,8 @@ def rolling_risk(spark, sf):
 
 @query("drawdown_series", bar_sql(f"round({_DD}, 6) AS drawdown", "ticks", "ticks"))
 def drawdown_series(spark, sf):
-    return out(ind.drawdown_series(fx.ticks(spark, sf)), BAR, "drawdown")
+    ticks, layout = fx.cut(fx.ticks(spark, sf))
+    return out(ind.drawdown_series(ticks, layout=layout), BAR, "drawdown")
 
 
 @query("price_position", bar_sql(rounded(_POSN)))
@@ -378,7 +407,8 @@ _HOLES = "CASE WHEN hour(ts) % 4 = 0 THEN NULL WHEN hour(ts) = 5 THEN 'inf'::DOU
 def impute_fill(spark, sf):
     hour = F.hour("ts")
     holes = F.when(hour % 4 == 0, F.lit(None)).when(hour == 5, F.lit(float("inf"))).otherwise(F.col("close"))
-    return feat.impute_fill(fx.ticks(spark, sf).withColumn("x", holes), ["x"]).select("event_id", "symbol", "x")
+    ticks, layout = fx.cut(fx.ticks(spark, sf))
+    return feat.impute_fill(ticks.withColumn("x", holes), ["x"], layout).select("event_id", "symbol", "x")
 
 
 @query(
@@ -723,7 +753,8 @@ def decision_mask(spark, sf):
     ),
 )
 def forward_label(spark, sf):
-    return feat.forward_label(fx.ticks(spark, sf), 5).select("event_id", "symbol", "label")
+    ticks, layout = fx.cut(fx.ticks(spark, sf))
+    return feat.forward_label(ticks, 5, layout=layout).select("event_id", "symbol", "label")
 
 
 @query(
@@ -736,7 +767,8 @@ def forward_label(spark, sf):
     ),
 )
 def temporal_split(spark, sf):
-    return feat.temporal_split(fx.ticks(spark, sf)).select("event_id", "symbol", "split")
+    ticks, layout = fx.cut(fx.ticks(spark, sf))
+    return feat.temporal_split(ticks, layout=layout).select("event_id", "symbol", "split")
 
 
 @query(
