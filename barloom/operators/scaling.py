@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.numeric import clip
-from barloom.operators.ranks import exact_quantiles
+from barloom.operators.ranks import exact_quantiles, quantiles_of, value_counts
 
 KINDS = ("minmax", "standard", "robust")
 NOT_FEATURES = frozenset(["date", "day", "caldt", "timestamp", "index", "symbol", "ts", "event_id", "label", "split"])
@@ -25,17 +25,22 @@ def feature_columns(df: DataFrame) -> list[str]:
 
 
 def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Mean, population deviation, extremes, median and interquartile range per column."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "feature", "value")
-    plain = long.groupBy("feature").agg(
-        F.avg("value").alias("mean"),
-        F.stddev_pop("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+    """Mean, population deviation, extremes, median and interquartile range per column.
+
+    ``df`` is read once, for the counts of its values; all else comes from them. Runs a job.
+    """
+    counts = value_counts(df, columns)
+    n = F.col("_count")
+    centre = counts.groupBy("feature").agg(
+        (F.sum(F.col("value") * n) / F.sum(n)).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max")
     )
-    q = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
+    off = F.col("value") - F.col("mean")
+    spread = counts.join(F.broadcast(centre.select("feature", "mean")), "feature").groupBy("feature")
+    spread = spread.agg(F.sqrt(F.sum(n * off * off) / F.sum(n)).alias("std"))
+    q = quantiles_of(counts, [0.25, 0.5, 0.75])
     iqr = q.select("feature", F.col("q1").alias("median"), (F.col("q2") - F.col("q0")).alias("iqr"))
-    return plain.join(iqr, "feature")
+    done = centre.join(spread, "feature").join(iqr, "feature")
+    return done.select("feature", "mean", "std", "min", "max", "median", "iqr")
 
 
 @dataclass(frozen=True)

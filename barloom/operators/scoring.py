@@ -41,7 +41,12 @@ def confusion(df: DataFrame, by: Sequence[str] = (), label: str = "label", predi
     )
 
 
-def classifier_metrics(df: DataFrame, label="label", prediction="prediction", probability="probability") -> DataFrame:
-    """One row: confusion matrix, ratios and ROC AUC."""
-    auc = rank_auc(df, [probability], label).select(F.col("auc").alias("roc_auc"), F.lit(1).alias("_k"))
-    return confusion(df, (), label, prediction).withColumn("_k", F.lit(1)).join(auc, "_k", "left").drop("_k")
+def classifier_metrics(
+    df: DataFrame, label="label", prediction="prediction", probability="probability", by: Sequence[str] = ()
+) -> DataFrame:
+    """Confusion matrix, ratios and ROC AUC: one row, or one per group, all groups in one go."""
+    auc = rank_auc(df, [probability], label, by=by).select(*by, F.col("auc").alias("roc_auc"))
+    counts = confusion(df, by, label, prediction)
+    if by:
+        return counts.join(auc, list(by), "left")
+    return counts.withColumn("_k", F.lit(1)).join(auc.withColumn("_k", F.lit(1)), "_k", "left").drop("_k")

@@ -1,13 +1,13 @@
-"""Feature selection: variance, then the rank AUC of each feature on its own."""
+"""Feature selection: variance, then the AUC of each feature on its own, by rank or by cross-fitted bins."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.operators.ranks import rank_auc
+from barloom.operators.ranks import binned_auc, rank_auc
 
 CORE = ("open", "high", "low", "close", "volume")
 MIN_VARIANCE, TOP_FEATURES, MIN_AUC = 0.01, 100, 0.52
@@ -33,6 +33,18 @@ def feature_auc(df: DataFrame, columns: Sequence[str], label: str = "label") ->
     return auc.select("feature", F.coalesce(F.greatest("auc", 1 - F.col("auc")), F.lit(0.5)).alias("score"))
 
 
+def feature_score_binned(
+    df: DataFrame, columns: Sequence[str], label: str = "label", bins: int = 32, folds: int = 5, fold: Column | None = None
+) -> DataFrame:
+    """Cross-fitted AUC per feature, see ``ranks.binned_auc``; 0.5 for a constant feature or a single class. Finds features
+    whose relation to the label turns, which no ranking does."""
+    auc = binned_auc(df, columns, label, bins, folds, fold)
+    return auc.select("feature", F.coalesce("auc", F.lit(0.5)).alias("score"))
+
+
+SCORES = {"rank": feature_auc, "binned": feature_score_binned}
+
+
 def feature_report(
     df: DataFrame,
     columns: Sequence[str],
@@ -40,14 +52,15 @@ def feature_report(
     min_variance: float = MIN_VARIANCE,
     max_features: int | None = None,
     threshold: float = MIN_AUC,
+    score: str = "rank",
 ) -> DataFrame:
     """Score and selection flags per feature. OHLCV columns are kept whatever their score. All features that vary are
-    scored; ``max_features`` keeps those of the highest variance only, if that is wanted."""
+    scored, by ``score`` (rank or binned); ``max_features`` keeps those of the highest variance only, if that is wanted."""
     var = variances(df, columns)
     rank = var.where(F.col("variance") > min_variance)
     if max_features is not None:
         rank = rank.orderBy(F.desc("variance_samp"), "feature").limit(max_features)
-    scored = feature_auc(df, columns, label).join(rank.select("feature", F.lit(1).alias("_in")), "feature")
+    scored = SCORES[score](df, columns, label).join(rank.select("feature", F.lit(1).alias("_in")), "feature")
     above = F.coalesce(F.col("score") > threshold, F.lit(False))
     return (
         var.select("feature")

@@ -19,6 +19,7 @@ from barloom.operators.scaling import Scaler, feature_columns, fit_scaler
 from barloom.operators.scoring import classifier_metrics
 from barloom.operators.series import BARS, Layout
 from barloom.session import materialize
+from barloom.sources import artefacts
 
 MODELS = ("random_forest", "gradient_boosting", "xgboost")
 
@@ -31,6 +32,7 @@ class TrainingConfig:
     scaler: str = "minmax"
     split: tuple[float, float, float] = (0.6, 0.2, 0.2)
     min_auc: float = selecting.MIN_AUC
+    feature_score: str = "rank"
     trees: int | None = None
     seed: int = 42
     layout: Layout = field(default=BARS)
@@ -62,6 +64,18 @@ class TrainedModel:
         names = [(i, f) for i, f in enumerate(self.features)]
         spark.createDataFrame(names, "position int, feature string").coalesce(1).write.mode("overwrite").parquet(f"{path}/features")
 
+    def publish(self, root: str, key: str, kind: str, stamp: str, metric: float | None = None) -> str:
+        """Save under ``root`` and add the model to its index, see ``artefacts``. Returns the path."""
+        spark = SparkSession.active()
+        path = f"{root}/{key}_{kind}_{stamp}"
+        self.save(path)
+        artefacts.record(spark, root, kind, key, stamp, path, metric)
+        return path
+
+    @staticmethod
+    def load_latest(spark: SparkSession, root: str, key: str, kind: str) -> "TrainedModel":
+        return TrainedModel.load(spark, artefacts.latest_path(spark, root, kind, key))
+
     @staticmethod
     def load(spark: SparkSession, path: str) -> "TrainedModel":
         params = spark.read.parquet(f"{path}/scaler").collect()
@@ -110,7 +124,7 @@ def train(matrix: DataFrame, config: TrainingConfig = TrainingConfig()) -> Train
     """Select, scale and fit on the training rows only."""
     rows = matrix.where(F.col("split") == "train")
     columns = feature_columns(matrix)
-    report = selecting.feature_report(rows, columns, threshold=config.min_auc)
+    report = selecting.feature_report(rows, columns, threshold=config.min_auc, score=config.feature_score)
     features = selecting.selected_features(report)
     scaler = fit_scaler(rows, features, config.scaler)
     ready = with_weights(scaler.transform(rows.select("label", *features)), config.model)
@@ -120,13 +134,8 @@ def train(matrix: DataFrame, config: TrainingConfig = TrainingConfig()) -> Train
 
 
 def evaluate(model: TrainedModel, matrix: DataFrame) -> DataFrame:
-    """Quality on the three splits."""
-    scored = materialize(model.score(matrix))
-    parts = [
-        classifier_metrics(scored.where(F.col("split") == s)).withColumn("split", F.lit(s))
-        for s in ("train", "test", "valid")
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Quality on each split."""
+    return classifier_metrics(materialize(model.score(matrix)), by=["split"])
 
 
 def train_pipeline(bars: DataFrame, config: TrainingConfig = TrainingConfig(), path: str | None = None):

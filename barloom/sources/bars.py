@@ -5,7 +5,7 @@ Snapshots live under ``root/symbol=.../version=YYYYMMDD_HHMMSS/``; a whole unive
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,25 +39,50 @@ def conform(df: DataFrame, schema: T.StructType, keep: Sequence[str] = ("symbol"
     return low.select(*[k for k in keep if k in low.columns], *[cast(f).alias(f.name) for f in schema])
 
 
-def _path() -> Column:
+def file_path() -> Column:
     """The file of a row, as readers take it; Spark hands it out percent-encoded."""
     return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
 
 
+def heads(text: DataFrame, lines: int = 1) -> DataFrame:
+    """(head, paths): files of ``text`` by their first lines, an array. The first block of a file is read by one task, so
+    its lines are numbered in order."""
+    rows = text.select("value", file_path().alias("path"), F.col("_metadata.file_block_start").alias("at"))
+    first = rows.where("at = 0").withColumn("_n", F.monotonically_increasing_id())
+    if lines == 1:
+        tops = first.groupBy("path").agg(F.array(F.min_by("value", "_n")).alias("head"))
+    else:
+        starts = first.groupBy("path").agg(F.min("_n").alias("_from"))
+        top = first.join(starts, "path").where(F.col("_n") < F.col("_from") + lines)
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("_n", "value"))), lambda r: r.value)
+        tops = top.groupBy("path").agg(ordered.alias("head"))
+    return tops.groupBy("head").agg(F.collect_list("path").alias("paths"))
+
+
+def read_csv(
+    spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, named: Callable[[DataFrame], DataFrame] = lambda df: df, root: str | None = None
+) -> list[DataFrame]:
+    """One frame for each different header among CSV files, conformed to ``schema``; a first job reads the headers.
+
+    ``named`` adds columns read off the file names; ``root`` is where partition folders begin.
+    """
+    text = spark.read.text(paths, recursiveFileLookup=True)
+    found = heads(text).orderBy("head").collect()
+    reader = spark.read.option("header", True).option("enforceSchema", False)
+    reader = reader.option("basePath", root) if root else reader
+    return [conform(named(reader.csv(r.paths)), schema) for r in found]
+
+
 def scan_bars(spark: SparkSession, root: str, schema: T.StructType = DAILY_BARS, fmt: str = "parquet") -> DataFrame:
     """All symbols and versions below ``root``. CSV columns are found by the header of their own file.
 
     Files may differ in their columns and their order: a first job finds the header of each file, and files with the
-    same one are read together. It reads the text once more; large snapshots belong in Parquet.
+    same one are read together. It reads the text once more; large snapshots belong in Parquet, and where only the
+    newest ones are wanted, ``catalogue.scan_latest`` opens no others.
     """
     if fmt != "csv":
         return conform(spark.read.format(fmt).load(root), schema)
-    first = spark.read.text(root, recursiveFileLookup=True).select("value", _path().alias("path"), F.col("_metadata.file_block_start").alias("at"))
-    heads = first.where("at = 0").groupBy("path").agg(F.first("value").alias("head")).groupBy("head").agg(F.collect_list("path").alias("paths"))
-    parts = [
-        conform(spark.read.option("header", True).option("enforceSchema", False).option("basePath", root).csv(r.paths), schema)
-        for r in heads.orderBy("head").collect()
-    ]
+    parts = read_csv(spark, root, schema, root=root)
     if not parts:
         return conform(spark.read.option("header", True).csv(root), schema)
     out = parts[0]
@@ -121,3 +146,34 @@ def wide_to_long(df: DataFrame, time: str = "day", separator: str = "|") -> Data
         .agg(*picked)
         .where(F.coalesce(*[F.col(f) for f in fields]).isNotNull())
     )
+
+
+#: First cells of the three header lines of a wide vendor file: symbols, fields, and the name of the time column.
+WIDE_HEAD = ("Ticker", "Price", "Date")
+
+
+def scan_wide(spark: SparkSession, paths: str | Sequence[str], time: T.StructField = INTRADAY[0]) -> DataFrame:
+    """Wide vendor files to one row per symbol and time.
+
+    A file has three header lines: a symbol and a field per column, then the name of the time column. A small job reads
+    these lines of every file and makes one name of each column's symbol and field; files with the same columns are
+    read together. Fields other than open, high, low, close and volume are left out.
+    """
+    found = heads(spark.read.text(paths, recursiveFileLookup=True), 3).orderBy("head").collect()
+    parts = []
+    for r in found:
+        symbols, fields = ([c.strip() for c in line.split(",")] for line in r.head[:2])
+        if (symbols[0], fields[0]) != WIDE_HEAD[:2]:
+            raise ValueError(f"not a wide file, its lines begin {symbols[0]!r}, {fields[0]!r}: {r.paths[0]}")
+        names = [time.name, *(f"{s}|{f}" for s, f in zip(symbols[1:], fields[1:]))]
+        raw = spark.read.csv(r.paths, schema=", ".join(f"c{i} string" for i in range(len(names))))
+        body = raw.where(F.coalesce(~F.col("c0").isin(*WIDE_HEAD), F.lit(False)))
+        use = [(i, n) for i, n in enumerate(names) if i == 0 or n.rpartition("|")[2].lower() in _PRICES]
+        kinds = [F.col(f"c{i}").cast(time.dataType if i == 0 else "double").alias(n) for i, n in use]
+        parts.append(wide_to_long(body.select(*kinds), time.name))
+    if not parts:
+        raise ValueError(f"no wide files below {paths}")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

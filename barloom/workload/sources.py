@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barloom.session import scratch_folder
 from barloom.sources import bars as src
-from barloom.sources import calendar, rates, results, vendor
+from barloom.sources import artefacts, calendar, catalogue, rates, results, vendor
 from barloom.workload import fixtures as fx
 from barloom.workload.aggregates import daily_returns
 from barloom.workload.fixtures import query, sql
@@ -191,3 +191,99 @@ def sink_results(spark, sf):
     results.sink_results(days, root, "portfolio", "buy_hold", {"size": 1.0, "freq": 30})
     back = results.load_results(spark, root, "portfolio", "buy_hold")
     return out(back, ("strategy", *DAY, "config"), "ret")
+
+
+# ------------------------------------------------------------------ snapshots by file name
+
+
+def _named(spark, sf, root, kind, name, days, symbols):
+    """One CSV snapshot per symbol, named as vendors' files are."""
+    for s in symbols:
+        own = days.where(F.col("symbol") == s).drop("symbol").coalesce(1)
+        own.write.option("header", True).csv(f"{root}/{kind}/{s.upper()}/{s.upper()}_{kind}_{name}.csv")
+
+
+def _symbols(days):
+    """A file is written per symbol, so the names are read first."""
+    return sorted(r.symbol for r in days.select("symbol").distinct().collect())
+
+
+_LATEST = "SELECT upper(symbol) AS symbol, day, open, high, low, close, volume FROM daily"
+
+
+@query("scan_latest_unstamped", sql("daily", _LATEST))
+def scan_latest_unstamped(spark, sf):
+    """Names without a time: the file that was changed last counts."""
+    root, days = scratch_folder(spark, "named"), fx.daily(spark, sf).select("symbol", "day", *OHLCV)
+    names = _symbols(days)
+    _named(spark, sf, root, "daily", "feed_a", days.where(F.dayofmonth("day") <= 15), names)
+    _named(spark, sf, root, "daily", "feed", days, names)
+    return catalogue.scan_latest(spark, root, "daily")
+
+
+@query("scan_latest_mixed_kinds", sql("daily bars_1h", f"SELECT 'daily' AS kind, count(*) AS n, sum(volume) AS volume FROM daily UNION ALL SELECT 'intraday', count(*), sum(volume) FROM bars_1h"))
+def scan_latest_mixed_kinds(spark, sf):
+    """Daily and intraday snapshots side by side, old and new ones; the time in the name decides, whatever was written last."""
+    root, days = scratch_folder(spark, "named"), fx.daily(spark, sf).select("symbol", "day", *OHLCV)
+    names, hours = _symbols(days), fx.bars(spark, sf).select("symbol", "ts", *OHLCV)
+    _named(spark, sf, root, "daily", NEW, days, names)
+    _named(spark, sf, root, "daily", OLD, days.where(F.dayofmonth("day") <= 15), names)
+    _named(spark, sf, root, "intraday", OLD, hours, names)
+    both = [catalogue.scan_latest(spark, root, kind).select("volume", F.lit(kind).alias("kind")) for kind in ("daily", "intraday")]
+    return both[0].unionByName(both[1]).groupBy("kind").agg(F.count("*").alias("n"), F.sum("volume").alias("volume"))
+
+
+@query("snapshot_catalogue", sql("daily", f"SELECT upper(symbol) AS symbol, 'daily' AS kind, TIMESTAMP '2024-03-01 10:15:00' AS stamp, 2 AS snapshots FROM daily GROUP BY 1"))
+def snapshot_catalogue(spark, sf):
+    """Newest stamp and number of snapshots of each symbol, from the listing alone."""
+    root, days = scratch_folder(spark, "named"), fx.daily(spark, sf).select("symbol", "day", *OHLCV)
+    names = _symbols(days)
+    for stamp in (NEW, OLD):
+        _named(spark, sf, root, "daily", stamp, days.where(F.dayofmonth("day") <= 3), names)
+    files = catalogue.catalogue(spark, root)
+    return files.groupBy("symbol", "kind").agg(F.max("stamp").alias("stamp"), F.countDistinct("snapshot").cast("int").alias("snapshots"))
+
+
+@query("wide_three_row_header", sql("daily", "SELECT symbol, day, open, high, low, close, volume FROM daily"))
+def wide_three_row_header(spark, sf):
+    """Two wide files with unlike symbols, three header lines each."""
+    days, root = fx.daily(spark, sf), scratch_folder(spark, "wide")
+    names = _symbols(days)
+    for i, own in enumerate((names[:2], names[2:])):
+        cells = [F.max(F.when(F.col("symbol") == s, F.col(f))).cast("string").alias(f"c{j}") for j, (s, f) in enumerate((s, f) for s in own for f in OHLCV)]
+        lines = [["Ticker", *(s for s in own for _ in OHLCV)], ["Price", *(f.title() for _ in own for f in OHLCV)], ["Date", *([None] * len(cells))]]
+        body = days.where(F.col("symbol").isin(own)).groupBy(F.col("day").cast("string").alias("day")).agg(*cells)
+        head = spark.createDataFrame([(n, *line) for n, line in enumerate(lines)], ", ".join(["n int", "day string", *(f"c{j} string" for j in range(len(cells)))]))
+        whole = head.unionByName(body.withColumn("n", F.lit(3))).coalesce(1).sortWithinPartitions("n", "day").drop("n")
+        whole.write.csv(f"{root}/file{i}")
+    return src.scan_wide(spark, root, src.DAILY_BARS[0]).select(*DAY, *OHLCV)
+
+
+@query(
+    "scan_risk_free_file",
+    sql("risk_free", "SELECT kind, day, round(rate, 9) AS rate FROM risk_free, (VALUES ('percent'), ('decimal')) t(kind)"),
+)
+def scan_risk_free_file(spark, sf):
+    """One file in percent, one in decimals, read together."""
+    root, decimal = scratch_folder(spark, "rates"), fx.risk_free(spark, sf)
+    for kind, factor in (("percent", 100), ("decimal", 1)):
+        out_ = decimal.select(F.col("day").cast("string").alias("date"), (F.col("rate") * factor).alias("rate")).coalesce(1)
+        out_.write.option("header", True).csv(f"{root}/{kind}")
+    read = rates.scan_rates(spark, [f"{root}/percent", f"{root}/decimal"])
+    kind = F.element_at(F.split("file", "/"), -2)
+    return read.select(kind.alias("kind"), "day", F.round("rate", 9).alias("rate"))
+
+
+@query(
+    "results_latest",
+    sql("daily_ret", "SELECT 'buy_hold' AS strategy, symbol, day, round(ret, 6) + 0 AS ret, TIMESTAMP '2024-03-01 10:15:00' AS stamp, TIMESTAMP '2024-02-01 09:00:00' AS best_stamp FROM daily_ret"),
+)
+def results_latest(spark, sf):
+    """Two versions of a portfolio: the newest is read back; the older one has the better metric."""
+    root, days = scratch_folder(spark, "results"), daily_returns(spark, sf).select("symbol", "day", "ret")
+    for stamp, share, metric in ((NEW, 1.0, 0.5), (OLD, 0.5, 0.9)):
+        results.publish_results(days.withColumn("ret", F.col("ret") * share), root, "portfolio", "buy_hold", stamp, {"size": share}, metric)
+    newest = artefacts.latest(spark, root, "portfolio").select(F.col("key").alias("strategy"), "stamp")
+    best = artefacts.best(spark, root, "portfolio").select(F.col("key").alias("strategy"), F.col("stamp").alias("best_stamp"))
+    back = results.load_latest(spark, root, "portfolio", "buy_hold").join(newest, "strategy").join(best, "strategy")
+    return out(back, ("strategy", *DAY, "stamp", "best_stamp"), "ret")

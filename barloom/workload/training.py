@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from barloom.operators import scaling, scoring, selecting
 from barloom.operators.features import forward_label, temporal_split
@@ -168,6 +169,31 @@ def top_features(spark, sf):
     return out(selecting.top_features(report, 2), ["feature"], "score")
 
 
+_BINS, _FOLDS = 8, 4
+_EDGES = ", ".join(f"quantile_cont(value, {i / _BINS})" for i in range(1, _BINS))
+
+
+@query(
+    "feature_score_binned",
+    msql(
+        f""", fl AS (SELECT feature, value, label, hour(ts) % {_FOLDS} AS fold FROM lg),
+        eg AS (SELECT feature, [{_EDGES}] AS edges FROM fl GROUP BY 1),
+        bn AS (SELECT feature, label, fold, len(list_filter(edges, lambda e: e < value)) AS bin FROM fl JOIN eg USING (feature)),
+        oo AS (SELECT a.feature, a.fold, a.bin, (count(*) FILTER (WHERE b.label = 1) + 1) / (count(b.label) + 2)::DOUBLE AS s
+            FROM (SELECT DISTINCT feature, fold, bin FROM bn) a LEFT JOIN bn b ON a.feature = b.feature AND a.bin = b.bin AND a.fold <> b.fold GROUP BY 1, 2, 3),
+        sc AS (SELECT feature, fold, label, s FROM bn JOIN oo USING (feature, fold, bin)),
+        rk AS (SELECT *, rank() OVER (PARTITION BY feature, fold ORDER BY s) + (count(*) OVER (PARTITION BY feature, fold, s) - 1) / 2.0::DOUBLE AS r FROM sc),
+        au AS (SELECT feature, fold, (sum(CASE WHEN label = 1 THEN r END) - count(*) FILTER (WHERE label = 1) * (count(*) FILTER (WHERE label = 1) + 1) / 2.0::DOUBLE)
+            / (count(*) FILTER (WHERE label = 1) * count(*) FILTER (WHERE label = 0)::DOUBLE) AS auc FROM rk GROUP BY 1, 2)
+        SELECT feature, round(avg(auc), 6) AS score FROM au GROUP BY 1"""
+    ),
+)
+def feature_score_binned(spark, sf):
+    """Features that tell the label in any shape: bins scored by the other folds; folds by the hour."""
+    done = selecting.feature_score_binned(matrix(spark, sf), FEATURES, bins=_BINS, folds=_FOLDS, fold=F.hour("ts") % _FOLDS)
+    return out(done, ["feature"], "score")
+
+
 @query(
     "class_distribution",
     msql(
@@ -253,3 +279,70 @@ def signal_from_model(spark, sf):
     bars = materialize(fx.bars(spark, sf))
     model, _ = tr.train_pipeline(bars)
     return tr.signal_from_model(bars, model, 0.55, 0.45).select("symbol", "ts", "probability", "signal")
+
+
+# ------------------------------------------------------------------ what must hold for any model
+
+#: Rows of the feature matrix by split: bars after the warm-up rows of their series.
+_SPLITS = f"""
+    al AS (SELECT symbol, ts, row_number() OVER ({WS}) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars_1h),
+    kp AS (SELECT symbol, ts, row_number() OVER ({WS}) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM al WHERE i >= 60 OR n <= 60),
+    sp AS (SELECT CASE WHEN i < floor(n * 0.6::DOUBLE) THEN 'train' WHEN i < floor(n * (0.6::DOUBLE + 0.2::DOUBLE)) THEN 'test' ELSE 'valid' END AS split FROM kp)"""
+
+
+@query(
+    "model_invariants",
+    sql(
+        "bars_1h",
+        f"""WITH {_SPLITS} SELECT split, count(*) AS n_rows, count(*) AS n_judged, count(*) AS n_in_range, count(*) AS n_same FROM sp GROUP BY 1
+        UNION ALL SELECT 'signals', count(*), count(*), count(*), count(*) FROM bars_1h""",
+    ),
+)
+def model_invariants(spark, sf):
+    """Of every split: rows scored, rows in the confusion matrix, probabilities in [0, 1], and scores that the saved and
+    reloaded model gives again. Of all bars: signals that are those of the probabilities beside them."""
+    bars = materialize(fx.bars(spark, sf))
+    root = scratch_folder(spark, "models")
+    rows = materialize(tr.labelled_matrix(bars, tr.TrainingConfig(trees=10)))
+    model = tr.train(rows, tr.TrainingConfig(trees=10))
+    model.publish(root, "ALL", "random_forest", "20240301_101500")
+    scored = materialize(model.score(rows))
+    again = tr.TrainedModel.load_latest(spark, root, "ALL", "random_forest").score(rows)
+    again = again.select("symbol", "ts", F.col("probability").alias("p"))
+    inside = F.count_if(F.col("probability").between(0, 1)).alias("n_in_range")
+    same = scored.join(again, ["symbol", "ts"]).groupBy("split").agg(
+        F.count("*").alias("n_rows"), inside, F.count_if(F.abs(F.col("probability") - F.col("p")) < 1e-12).alias("n_same")
+    )
+    judged = scoring.classifier_metrics(scored, by=["split"]).select("split", F.expr("tp + fp + tn + fn").alias("n_judged"))
+    parts = same.join(judged, "split").select("split", "n_rows", "n_judged", "n_in_range", "n_same")
+    signals = materialize(tr.signal_from_model(bars, model, 0.55, 0.45))
+    w = W.partitionBy("symbol").orderBy("ts")
+    p = F.col("probability")
+    held = F.coalesce(F.last(F.when(p >= 0.55, 1).when(p <= 0.45, 0), ignorenulls=True).over(w), F.lit(0))
+    plain = signals.withColumn("held", held).withColumn("want", F.col("held") - F.coalesce(F.lag("held").over(w), F.lit(0)))
+    n = F.count("*")
+    return parts.unionByName(
+        plain.agg(F.lit("signals").alias("split"), n.alias("n_rows"), F.count("signal").alias("n_judged"), inside, F.count_if(F.col("signal") == F.col("want")).alias("n_same"))
+    )
+
+
+@query(
+    "model_latest",
+    sql(
+        "bars_1h",
+        f"WITH {_SPLITS} SELECT 'random_forest' AS kind, 'ALL' AS key, TIMESTAMP '2024-03-01 10:15:00' AS stamp, 3 AS trees, count(*) AS n_scored FROM sp",
+    ),
+)
+def model_latest(spark, sf):
+    """Two versions of a model; the newer stamp is the one that is loaded, whichever was saved last."""
+    from barloom.sources import artefacts
+
+    root = scratch_folder(spark, "models")
+    rows = materialize(tr.labelled_matrix(materialize(fx.bars(spark, sf)), tr.TrainingConfig()))
+    for stamp, trees in (("20240301_101500", 3), ("20240201_090000", 2)):
+        tr.train(rows, tr.TrainingConfig(trees=trees)).publish(root, "ALL", "random_forest", stamp)
+    model = tr.TrainedModel.load_latest(spark, root, "ALL", "random_forest")
+    n = model.score(rows).agg(F.count("probability").alias("n_scored"))
+    found = artefacts.latest(spark, root, "random_forest", "ALL").select("kind", "key", "stamp")
+    trees = model.model.stages[-1].getNumTrees
+    return found.join(n, F.lit(True)).withColumn("trees", F.lit(trees)).select("kind", "key", "stamp", "trees", "n_scored")

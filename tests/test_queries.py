@@ -76,23 +76,55 @@ def test_division_by_zero_is_missing(spark):
     assert got[0] is None and got[1] is None
 
 
-def test_exact_quantiles_and_auc_across_blocks(spark):
+@pytest.mark.parametrize("blocks", [None, 5, 256, 5_000])
+def test_exact_quantiles_and_auc_across_blocks(spark, blocks):
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(size=700), np.zeros(400)])
     y = rng.integers(0, 2, size=x.size)
     pdf = pd.DataFrame({"x": x, "z": np.round(x, 1), "c": 1.0, "label": y})
     df = spark.createDataFrame(pdf)
-    got = exact_quantiles(df, ["x", "z", "c"], [0.0, 0.25, 0.5, 0.95, 1.0], blocks=5).toPandas().set_index("feature")
+    got = exact_quantiles(df, ["x", "z", "c"], [0.0, 0.25, 0.5, 0.95, 1.0], blocks=blocks).toPandas().set_index("feature")
     for c in ("x", "z", "c"):
         want = np.quantile(pdf[c], [0.0, 0.25, 0.5, 0.95, 1.0])
         np.testing.assert_allclose(got.loc[c, [f"q{i}" for i in range(5)]].astype(float), want, atol=1e-12)
-    auc = rank_auc(df, ["x", "z", "c"], blocks=5).toPandas().set_index("feature")["auc"]
+    auc = rank_auc(df, ["x", "z", "c"], blocks=blocks).toPandas().set_index("feature")["auc"]
     for c in ("x", "z", "c"):
         pos, neg = pdf[c][y == 1].to_numpy(), pdf[c][y == 0].to_numpy()
         diff = pos[:, None] - neg[None, :]
         assert math.isclose(auc[c], ((diff > 0).sum() + 0.5 * (diff == 0).sum()) / diff.size, rel_tol=1e-9)
 
 
+def test_groups_are_ranked_together(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"x": np.round(rng.normal(size=900), 2), "label": rng.integers(0, 2, 900), "split": rng.choice(["a", "b"], 900)})
+    df = spark.createDataFrame(pdf)
+    monkeypatch.setattr("barloom.operators.ranks.ROWS_PER_BLOCK", 40)
+    got = rank_auc(df, ["x"], by=["split"]).toPandas().set_index("split")["auc"]
+    alone = {s: rank_auc(df.where(F.col("split") == s), ["x"]).first().auc for s in ("a", "b")}
+    assert got.to_dict() == pytest.approx(alone)
+    q = exact_quantiles(df, ["x"], [0.3], by=["split"]).toPandas().set_index("split")["q0"]
+    assert q.to_dict() == pytest.approx(pdf.groupby("split").x.quantile(0.3).to_dict())
+
+
+def test_a_feature_that_turns_is_found(spark):
+    from barloom.operators.selecting import feature_report, feature_score_binned
+
+    rng = np.random.default_rng(5)
+    n = 3_000
+    u, line, noise = rng.normal(size=n), rng.normal(size=n), rng.normal(size=n)
+    y = ((np.abs(u) > 0.8) ^ (rng.random(n) < 0.1)).astype(int)
+    line = line + y
+    df = spark.createDataFrame(pd.DataFrame({"u": u, "line": line, "noise": noise, "flat": 1.0, "label": y}))
+    names = ["u", "line", "noise", "flat"]
+    by_rank = feature_report(df, names, min_variance=0.0, threshold=0.6).toPandas().set_index("feature")
+    by_bins = feature_report(df, names, min_variance=0.0, threshold=0.6, score="binned").toPandas().set_index("feature")
+    assert by_rank.selected.to_dict() == {"u": 0, "line": 1, "noise": 0, "flat": 0}
+    assert by_bins.selected.to_dict() == {"u": 1, "line": 1, "noise": 0, "flat": 0}
+    assert by_bins.score["u"] > 0.85 and abs(by_bins.score["noise"] - 0.5) < 0.05
+    whole = feature_score_binned(df, names).toPandas().set_index("feature").score
+    assert whole["flat"] == 0.5
+
+
 def test_constant_columns_scale_by_one(spark):
     df = spark.createDataFrame([(5.0,), (5.0,)], "c double")
     for kind in ("minmax", "standard", "robust"):
