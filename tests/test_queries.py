@@ -154,7 +154,7 @@ def test_multiplied_rows_are_not_shuffled(spark):
     bars = fx.bars(spark, SMALL, 60, calm=True)
     grid = ParamGrid({"zscore_lookback": [3], "n_std_upper": [1.0], "n_std_lower": [1.0, 2.0], "exit_threshold": [0.0]})
     ready, signal, keep = sw.mean_reversion_inputs(bars, [3])
-    base = sw.prepare(ready, fx.daily(spark, SMALL, calm=True), keep)
+    base = sw.dealt(sw.prepare(ready, fx.daily(spark, SMALL, calm=True), keep), grid)
     days = sw.unit_returns(base, grid, signal, 0.0, stops=False)
     plan = days._jdf.queryExecution().executedPlan().toString().splitlines()
     at = next(i for i, line in enumerate(plan) if "Generate" in line)
