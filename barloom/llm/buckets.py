@@ -190,7 +190,6 @@ def groups(
         edges = edges.unionByName(more)
         comps = written(components(edges), "components")
     big = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"))
-    comps = written(components(edges), "components")
     if big.isEmpty():
         return comps
     own = big.join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))

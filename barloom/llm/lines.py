@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +15,10 @@ from barloom.llm.buckets import SMALL, bucketed, groups
 from barloom.llm.common import aside, bit_filter, mixed, passes, whole, written
 from barloom.llm.words import slices, split
 
-#: Bits in which the fingerprints of two similar lines may differ; four blocks of 16 bits then have one in common.
+#: Bits in which the fingerprints of two similar lines may differ, and the blocks they are cut into, as (lowest bit,
+#: bits): of five blocks, two are then equal, so lines meet by pairs of blocks, whose values are many enough for large inputs.
 RADIUS = 3
-#: Lines of one block value up to which all of them are compared; beyond, the other 48 bits are cut into blocks too.
-BLOCK_SMALL = 64
+BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
 
 def normalised(line: str) -> str:
@@ -81,17 +82,10 @@ def _near(percent: int):
 
 
 def _blocks(lines: DataFrame) -> DataFrame:
-    """(key, node, mark, span) by the four 16-bit blocks; the key's lowest bits name the block."""
-    keys = F.array(*[F.shiftleft(F.xxhash64(F.lit(i), F.expr(f"shiftrightunsigned(mark, {16 * i}) & 65535L")), 2).bitwiseOR(F.lit(i).cast("long")) for i in range(4)])
-    return lines.select(F.explode(keys).alias("key"), F.col("line").alias("node"), "mark", "span")
-
-
-def _finer(big: DataFrame) -> DataFrame:
-    """Rows of large buckets by the value of a block and of one of four parts of the other 48 bits."""
-    turned = "((shiftrightunsigned(mark, cast(16 * (key & 3) as int)) | shiftleft(mark, cast(64 - 16 * (key & 3) as int))))"
-    turned = f"if(key & 3 = 0, mark, {turned})"
-    keys = F.array(*[F.expr(f"xxhash64(key, {j}, shiftrightunsigned({turned}, {16 + 12 * j}) & 4095L)") for j in range(4)])
-    return big.select(F.explode(keys).alias("key"), "node", "mark", "span")
+    """(key, node, mark, span): one row for each two blocks of a fingerprint, keyed by their values."""
+    part = lambda low, bits: F.expr(f"shiftrightunsigned(mark, {low}) & {(1 << bits) - 1}L")
+    keys = [F.xxhash64(F.lit(k), part(*one), part(*two)) for k, (one, two) in enumerate(combinations(BLOCKS, 2))]
+    return lines.select(F.explode(F.array(*keys)).alias("key"), F.col("line").alias("node"), "mark", "span")
 
 
 def _texts(docs_wanted, lines_wanted, least: int):
@@ -120,15 +114,7 @@ def line_groups(docs: DataFrame, percent: int = 90, least: int = 20) -> tuple[Da
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("whole"), "text").where("text is not null")
     lines = written(texts.mapInArrow(_lines(least), "line long, mark long, span long, doc_id long, whole long, no int"), "lines")
     kinds = lines.groupBy("line").agg(F.first("mark").alias("mark"), F.first("span").alias("span"))
-    found = written(bucketed(_blocks(kinds), BLOCK_SMALL, _near(percent)), "candidates")
-    big = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), "mark", "span")
-    pairs = found.where("kind = 0")
-    if not big.isEmpty():
-        finer = written(bucketed(_finer(big), SMALL, _near(percent)), "candidates")
-        found = pairs.unionByName(finer)
-    else:
-        found = pairs
-
+    found = written(bucketed(_blocks(kinds), SMALL, _near(percent)), "candidates")
     nodes = found.select(F.explode(F.array("a", "b")).alias("line"), "kind", "b")
     nodes = nodes.where("kind = 0 or line = b").select("line").distinct()
     place = lines.join(nodes, "line").groupBy("line").agg(F.min("whole").alias("whole"))

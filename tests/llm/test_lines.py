@@ -49,9 +49,8 @@ def brute(docs, percent=90, least=20):
     return out
 
 
-@pytest.mark.parametrize("block_small,small", [(64, 8), (2, 2)])
-def test_like_all_pairs(spark, monkeypatch, block_small, small):
-    monkeypatch.setattr(lines, "BLOCK_SMALL", block_small)
+@pytest.mark.parametrize("small", [8, 2])
+def test_like_all_pairs(spark, monkeypatch, small):
     monkeypatch.setattr(lines, "SMALL", small)
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdeéß") for _ in range(rng.randrange(2, 8)))
@@ -75,7 +74,8 @@ def test_like_all_pairs(spark, monkeypatch, block_small, small):
     assert got[7][0] == docs[7]
 
 
-def test_finer_blocks_find_all_within_the_radius(spark):
+def test_blocks_find_all_within_the_radius(spark):
+    assert sum(bits for _, bits in lines.BLOCKS) == 64 and len(lines.BLOCKS) - lines.RADIUS == 2
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
     marks = {int(x) for x in base}
@@ -87,10 +87,7 @@ def test_finer_blocks_find_all_within_the_radius(spark):
             marks.add(y)
     signed = [m - (1 << 64) if m >> 63 else m for m in sorted(marks)]
     df = spark.createDataFrame([(i, m) for i, m in enumerate(signed)], "line long, mark long").withColumn("span", F.lit(9).cast("long"))
-    near = lines._near(90)
-    first = buckets.bucketed(lines._blocks(df), 1, near).where("kind = 1")
-    big = first.selectExpr("a as key", "b as node", "mark", "span")
-    got = {(r.a, r.b) for r in buckets.bucketed(lines._finer(big), 1000, near).where("kind = 0").collect()}
+    got = {(r.a, r.b) for r in buckets.bucketed(lines._blocks(df), 1000, lines._near(90)).where("kind = 0").collect()}
     own = sorted(marks)
     assert got == {(i, j) for i, j in combinations(range(len(own)), 2) if bin(own[i] ^ own[j]).count("1") <= 3}
 
