@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import mixed, written
+from barloom.llm.common import bit_filter, mixed, passes, written
 from barloom.llm.fm_index import FmIndex
 from barloom.llm.words import SPACE, Words, grams, powers, signed, slices, split
 
@@ -20,13 +20,12 @@ from barloom.llm.words import SPACE, Words, grams, powers, signed, slices, split
 ANCHOR, SHARD_WORDS, SPLIT_OVER, LONGEST = 5, 400_000, 4_000, 128
 
 
-def _runs(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _runs(words: Words, hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Passages: first word, number of windows and anchor.
 
     The anchor of a window is the smallest hash of its five-word sequences; neighbouring windows with equal anchors
     form a passage. Equal windows have equal anchors wherever they stand.
     """
-    hashes, _ = grams(words, ANCHOR)
     n, span = len(hashes), window - ANCHOR + 1
     none = np.zeros(0, np.int64)
     if n < window:
@@ -53,26 +52,59 @@ def _runs(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return starts + part * LONGEST, np.minimum(size - part * LONGEST, LONGEST), anchor
 
 
-def _holds_twice(words: Words, start: np.ndarray, windows: np.ndarray, anchor: np.ndarray, window: int) -> np.ndarray:
-    """Whether the anchor stands more than once in a passage: only then its windows can equal each other."""
-    hashes, _ = grams(words, ANCHOR)
+def _anchors_at(hashes: np.ndarray, start: np.ndarray, windows: np.ndarray, anchor: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of the anchor in a passage. Only where they differ its windows can equal each other."""
     span = window - ANCHOR + 1
     each = np.arange(span)
     last = start + windows - 1
     left = start + (hashes[start[:, None] + each] == anchor[:, None]).argmax(1)
     right = last + span - 1 - (hashes[last[:, None] + each[::-1]] == anchor[:, None]).argmax(1)
-    return left != right
+    return left, right
 
 
-def _contents(words: Words, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+class _Contents:
     """Hash of ``size`` words from ``start`` on, the same wherever they stand."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    base = np.uint64(0xD1342543DE82EF95)
-    back = np.uint64(pow(int(base), -1, 1 << 64))
-    n = len(words.hash)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.hash * powers(base, n), dtype=np.uint64)])
-    return mixed((total[start + size] - total[start]) * powers(back, n)[start] + size.astype(np.uint64))
+
+    def __init__(self, words: Words) -> None:
+        base = np.uint64(0xD1342543DE82EF95)
+        n = len(words.hash)
+        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.hash * powers(base, n), dtype=np.uint64)])
+        self.back = powers(np.uint64(pow(int(base), -1, 1 << 64)), n)
+
+    def __call__(self, start: np.ndarray, size) -> np.ndarray:
+        if not len(start):
+            return np.zeros(0, np.uint64)
+        return mixed((self.total[start + size] - self.total[start]) * self.back[start] + np.asarray(size, np.uint64))
+
+
+def _sides(contents: _Contents, start: np.ndarray, windows: np.ndarray, at: np.ndarray, window: int) -> tuple[pa.Array, pa.Array]:
+    """Hashes of the anchor with the words on its left, and with those on its right; null where a passage ends before.
+
+    A window has half of its other words at least on one side of its anchor, so a passage whose anchor stands in it
+    once shares a window with another one only if it also shares the hash of one side.
+    """
+    half = (window - ANCHOR + 1) // 2
+    sides = []
+    for first, whole, tag in ((at - half, at - start >= half, 0), (at, start + windows - 1 + window - at >= ANCHOR + half, 1)):
+        hashes = np.zeros(len(start), np.uint64)
+        hashes[whole] = contents(first[whole], ANCHOR + half) ^ np.uint64(tag)
+        sides.append(pa.array(hashes.view(np.int64), mask=~whole))
+    return sides[0], sides[1]
+
+
+def _anchors(window: int):
+    """(anchor, again) of the passages; again: the anchor stands more than once in one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                words = split(part["text"])
+                hashes, _ = grams(words, ANCHOR)
+                start, windows, anchor = _runs(words, hashes, window)
+                at, last = _anchors_at(hashes, start, windows, anchor, window)
+                yield pa.RecordBatch.from_arrays([signed(anchor), pa.array(at != last)], names=["anchor", "again"])
+
+    return run
 
 
 def _passages(window: int):
@@ -80,18 +112,21 @@ def _passages(window: int):
         for batch in batches:
             for part in slices(batch):
                 words = split(part["text"])
-                start, windows, anchor = _runs(words, window)
+                hashes, _ = grams(words, ANCHOR)
+                start, windows, anchor = _runs(words, hashes, window)
                 row = words.row[start]
+                contents = _Contents(words)
+                at, _ = _anchors_at(hashes, start, windows, anchor, window)
                 yield pa.RecordBatch.from_arrays(
                     [
                         signed(anchor),
-                        signed(_contents(words, start, windows + window - 1)),
+                        signed(contents(start, windows + window - 1)),
                         part["row"].take(pa.array(row)),
                         pa.array((start - words.first[row]).astype(np.int32)),
                         pa.array(windows.astype(np.int32)),
-                        pa.array(_holds_twice(words, start, windows, anchor, window)),
+                        *_sides(contents, start, windows, at, window),
                     ],
-                    names=["anchor", "content", "row", "start", "windows", "twice"],
+                    names=["anchor", "content", "row", "start", "windows", "left", "right"],
                 )
 
     return run
@@ -104,13 +139,13 @@ def _stored(window: int):
         for batch in batches:
             for part in slices(batch):
                 words = split(part["text"])
-                rows = []
+                contents, rows = _Contents(words), []
                 for k, wanted in enumerate(part["wanted"].to_pylist()):
                     for p in wanted:
                         at = words.first[k] + p["start"]
                         if p["split"]:
                             one = np.arange(at, at + p["windows"])
-                            keys = _contents(words, one, np.full(len(one), window)).view(np.int64).tolist()
+                            keys = contents(one, window).view(np.int64).tolist()
                             steps = [(key, i, words.hash[at + i : at + i + window]) for i, key in enumerate(keys)]
                         else:
                             steps = [(p["content"], 0, words.hash[at : at + p["windows"] + window - 1])]
@@ -147,22 +182,52 @@ def _search(window: int):
     return run
 
 
+def _mark():
+    return F.xxhash64("row")
+
+
+def _through(held, inside: bool):
+    """The rows whose mark a filter lets through, or the others, which are none of those it was made of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(passes(held.value, batch["mark"].to_numpy()) == inside)).select(batch.schema.names[:-1])
+
+    return run
+
+
+def _of(rows: DataFrame, held, inside: bool) -> DataFrame:
+    """``rows`` (row, ...) on one side of a filter over hashes of row numbers; they stay where they are."""
+    return rows.withColumn("mark", _mark()).mapInArrow(_through(held, inside), rows.schema)
+
+
 def repeated_spans(docs: DataFrame, window: int = 35) -> DataFrame:
     """row, spans: word spans of each row of ``docs`` (row long, text) covered by windows that also start elsewhere.
 
     A window is ``window`` consecutive words ``[^\\x20\\x09-\\x0D]+`` of one row. Windows meet by their anchors, so
-    each shard's FM-index holds every place its windows can equal. Copies of a passage are counted before they are
+    each shard's FM-index holds every place its windows can equal. Passages that share their anchor but neither the words on its left nor
+    those on its right share no window and are not stored. Copies of a passage are counted before they are
     moved and stored once; passages around an anchor that many different ones share are cut into single windows,
     counted again and spread, so no shard grows with the number of copies. A shard is searched by all passages it
     holds.
     """
     if window < ANCHOR:
         raise ValueError(f"window must have at least {ANCHOR} words")
+    context = docs.sparkSession.sparkContext
     texts = docs.select("row", "text").where("text is not null")
-    passage = texts.mapInArrow(_passages(window), "anchor long, content long, row long, start int, windows int, twice boolean")
-    anchors = passage.groupBy("anchor").agg(F.count("*").alias("uses"), F.max("twice").alias("again"))
-    anchors = anchors.where("uses > 1 or again").select("anchor")
-    places = written(passage.drop("twice").join(anchors, "anchor"), "passages")
+    schema = "anchor long, content long, row long, start int, windows int, left long, right long"
+    passage = texts.mapInArrow(_passages(window), schema)
+    anchors = texts.mapInArrow(_anchors(window), "anchor long, again boolean")
+    anchors = anchors.groupBy("anchor").agg(F.count("*").alias("uses"), F.max("again").alias("again"))
+    anchors = anchors.where("uses > 1 or again").select("anchor", "again")
+    near = written(passage.join(anchors, "anchor"), "passages")
+    # a window that stands elsewhere stands there with one side of its anchor, too
+    sides = near.where("not again").select(F.explode(F.array("left", "right")).alias("side")).where("side is not null")
+    sides = written(sides.groupBy("side").count().where("count > 1").select("side"), "sides")
+    once, on_left, on_right = near.where("not again"), F.col("left") == F.col("side"), F.col("right") == F.col("side")
+    shared = [near.where("again"), once.join(sides, on_left, "left_semi"), once.join(sides, on_left, "left_anti").join(sides, on_right, "left_semi")]
+    columns = ["anchor", "content", "row", "start", "windows"]
+    places = written(shared[0].select(columns).unionByName(shared[1].select(columns)).unionByName(shared[2].select(columns)), "places")
     contents = places.groupBy("anchor", "content", "windows").agg(
         F.count("*").alias("n"), F.min(F.struct("row", "start")).alias("one")
     )
@@ -171,8 +236,14 @@ def repeated_spans(docs: DataFrame, window: int = 35) -> DataFrame:
     wanted = contents.groupBy(F.col("one.row").alias("row")).agg(
         F.collect_list(F.struct("anchor", "content", "windows", "n", "split", F.col("one.start").alias("start"))).alias("wanted")
     )
-    units = written(texts.join(wanted, "row").mapInArrow(_stored(window), _UNIT), "stored-passages")
-    once = units.groupBy("home", "key").agg(F.sum("n").alias("n"), F.first("words").alias("words"))
+    wanted = written(wanted, "wanted")
+    held = context.broadcast(bit_filter(wanted.select(_mark().alias("mark"))))
+    asked = _of(texts, held, True).join(wanted, "row")
+    units = written(asked.mapInArrow(_stored(window), _UNIT), "stored-passages")
+    # a whole passage has one row already; single windows come from many passages
+    alone = units.where("key = content and home = anchor").select("home", "key", "n", "words")
+    cut = units.where("not (key = content and home = anchor)")
+    once = alone.unionByName(cut.groupBy("home", "key").agg(F.sum("n").alias("n"), F.first("words").alias("words")))
     size = units.agg(F.sum(F.length("words")) / 8).first()[0] or 0
     shards = max(1, -(-int(size) // SHARD_WORDS))
     found = (
@@ -228,7 +299,11 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     """
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = written(numbered, "rows")
-    spans = repeated_spans(rows, window)
-    return rows.join(spans, "row", "left").mapInArrow(
+    spans = written(repeated_spans(rows, window), "spans")
+    # only texts that may lose words are moved
+    held = docs.sparkSession.sparkContext.broadcast(bit_filter(spans.select(_mark().alias("mark"))))
+    moved = _of(rows, held, True).join(spans, "row", "left")
+    still = _of(rows, held, False).withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
+    return moved.unionByName(still).mapInArrow(
         _cut, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
     )

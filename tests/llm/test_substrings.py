@@ -90,3 +90,17 @@ def test_null_and_repeated_ids_are_documents_of_their_own(spark):
     want = brute(dict(enumerate(t for _, t in texts)), 8)
     got = sorted((r.doc_id or -1, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(df, 8).collect())
     assert got == sorted((d or -1, *want[i]) for i, (d, _) in enumerate(texts))
+
+
+def test_passages_that_share_only_their_anchor_are_not_stored(spark, monkeypatch):
+    """Texts with one phrase in common, but no window: their words are not moved."""
+    tables = {}
+    real = substrings.written
+    monkeypatch.setattr(substrings, "written", lambda df, name: tables.setdefault(name, real(df, name)))
+    say = lambda a, n: " ".join(f"w{i}" for i in range(a, a + n))
+    docs = {i: f"{say(1000 * i, 10)} {say(8 * (i % 10), 8)} {say(1000 * i + 20, 10)}" for i in range(1, 41)}
+    docs |= {50: say(90000, 60), 51: "x " + say(90000, 40) + " y"}
+    got = result(substrings.remove_repeats(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3), 12))
+    assert got == brute(docs, 12) and got[51][1] == 40
+    assert tables["passages"].join(tables["places"], ["row", "start"], "left_anti").count() > 0
+    assert {r.row for r in tables["places"].collect()} == {r.row for r in tables["rows"].where("doc_id >= 50").collect()}
