@@ -19,6 +19,8 @@ from barloom.llm.common import components, forest, written
 
 #: Vectors of a leaf of the upper levels; children of a node there, drawn from so many of its vectors.
 LEAF, FAN_OUT, DRAWN = 1_500, 12, 400
+#: Vectors of a node that a task's tree does not split; two such nodes are compared by one matrix product.
+DIRECT = 512
 #: Slack for rounding in pruning bounds; cosines themselves are compared in double precision.
 SLACK = 1e-6
 
@@ -27,10 +29,11 @@ class Tree:
     """Cover tree of the rows of ``x`` (unit vectors): nested levels whose radii halve.
 
     Level k is a list of nodes; a node is a centre (one of the vectors, also a centre of every level below), the vectors
-    assigned to it, which lie within the level's radius, and its covering radius, the farthest of them.
+    assigned to it, which lie within the level's radius, and its covering radius, the farthest of them. Nodes of up to
+    ``whole`` vectors are not split.
     """
 
-    def __init__(self, x: np.ndarray) -> None:
+    def __init__(self, x: np.ndarray, whole: int = 1) -> None:
         self.x = x
         self.centre = [0]
         self.members = [np.arange(len(x))]
@@ -40,7 +43,7 @@ class Tree:
         while todo:
             node, bound = todo.pop()
             rest = self.members[node]
-            if len(rest) == 1 or self.radius[node] == 0.0:
+            if len(rest) <= whole or self.radius[node] == 0.0:
                 continue
             bound /= 2
             centre = self.centre[node]
@@ -151,13 +154,16 @@ def _pivots(group: pd.DataFrame) -> pd.DataFrame:
 def _assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The child of each vector: that with the nearest centre."""
     for batch in batches:
-        child, gap = [], []
-        for vector, centres in zip(batch["embedding"].to_pylist(), batch["centres"].to_pylist()):
-            x = _unit(np.array([vector], np.float64))[0]
-            far = 2.0 - 2.0 * (np.array(centres) @ x)
-            child.append(int(far.argmin())), gap.append(float(np.sqrt(max(0.0, far.min()))))
+        child, gap = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows)
+        nodes = batch["node"].dictionary_encode()
+        of = nodes.indices.to_numpy()
+        for k in range(len(nodes.dictionary)):
+            own = np.flatnonzero(of == k)
+            x = _unit(batch["embedding"].take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1))
+            far = 2.0 - 2.0 * (x @ np.array(batch["centres"][int(own[0])].as_py()).T)
+            child[own], gap[own] = far.argmin(1), np.sqrt(np.maximum(0.0, far.min(1)))
         names = [c for c in batch.schema.names if c != "centres"]
-        yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(child, pa.int32()), pa.array(gap)], names=[*names, "child", "gap"])
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(child), pa.array(gap)], names=[*names, "child", "gap"])
 
 
 _ROW = "id long, embedding array<double>, copies long, node string"
@@ -235,7 +241,7 @@ def _compare(t: float):
         same = key[0] == key[1]
         parts = [both] if same else [both[~both["second"]], both[both["second"]]]
         raw = [_matrix(x["embedding"]) for x in parts]
-        trees = [Tree(_unit(x)) for x in raw]
+        trees = [Tree(_unit(x), DIRECT) for x in raw]
         ids = [x["id"].to_numpy() for x in parts]
         copies = [x["copies"].to_numpy() for x in parts]
         k = len(parts) - 1

@@ -1,6 +1,8 @@
 """Linked vectors against all cosines."""
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 from barloom.llm import cover_tree
@@ -64,3 +66,35 @@ def test_tree_covers_and_halves():
 
 def test_empty_table(spark):
     assert cover_tree.near_vectors(spark.createDataFrame([], "vec_id long, label int, embedding array<float>")).count() == 0
+
+
+def test_vectors_of_a_node_are_assigned_together(monkeypatch):
+    """One product for all vectors of a node in a batch; nodes may have centres of unlike number and length."""
+    rng, calls, unit = np.random.default_rng(4), [], cover_tree._unit
+    rows = [(i, rng.normal(size=4 + i % 2).tolist(), f"n{i % 2}") for i in range(60)]
+    centres = {f"n{k}": unit(rng.normal(size=(3 + k, 4 + k))) for k in (0, 1)}
+    columns = [pa.array(c) for c in zip(*rows)] + [pa.array([centres[r[2]].tolist() for r in rows])]
+    monkeypatch.setattr(cover_tree, "_unit", lambda x: calls.append(len(x)) or unit(x))
+    batch = pa.RecordBatch.from_arrays(columns, names=["id", "embedding", "node", "centres"])
+    (got,) = cover_tree._assigned(iter([batch]))
+    gaps = [2 - 2 * centres[n] @ unit(np.array([v]))[0] for _, v, n in rows]
+    assert got["child"].to_pylist() == [int(g.argmin()) for g in gaps] and calls == [30, 30]
+    assert np.allclose(got["gap"].to_numpy(), [np.sqrt(max(0, g.min())) for g in gaps]) and "centres" not in got.schema.names
+
+
+def test_small_leaves_are_compared_without_a_tree_of_single_vectors(monkeypatch):
+    """Far vectors: a tree of single vectors would prune nothing and cost more than their cosines."""
+    rng, trees = np.random.default_rng(5), []
+
+    class Kept(cover_tree.Tree):
+        def __init__(self, *args):
+            super().__init__(*args)
+            trees.append(self)
+
+    monkeypatch.setattr(cover_tree, "Tree", Kept)
+    x = rng.normal(size=(400, 16))
+    x[7] = x[300] * 2
+    both = pd.DataFrame({"second": np.arange(400) >= 200, "id": np.arange(400), "embedding": list(x), "copies": 1})
+    got = cover_tree._compare(0.98)(("p", "q"), both)
+    assert sorted(map(tuple, got.to_numpy().tolist())) == [(7, 7, 1), (300, 7, 0), (300, 300, 1)]
+    assert [len(t.centre) for t in trees] == [1, 1]
