@@ -19,6 +19,8 @@ from barloom.llm.words import slices, split
 #: bits): of five blocks, two are then equal, so lines meet by pairs of blocks, whose values are many enough for large inputs.
 RADIUS = 3
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: Bits of each byte, most significant first, in the bytes of one word: sums of up to 255 such words count eight bits at once.
+_COUNTS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
 
 def normalised(line: str) -> str:
@@ -36,10 +38,12 @@ def simhash(lines: list[str]) -> np.ndarray:
             continue
         kinds = np.unique((words.row.astype(np.uint64) << np.uint64(52)) | (words.hash >> np.uint64(12)))
         row = (kinds >> np.uint64(52)).astype(np.int64)
-        bits = np.unpackbits(mixed(kinds & np.uint64((1 << 52) - 1)).view(np.uint8).reshape(-1, 8), axis=1)
+        raw = mixed(kinds & np.uint64((1 << 52) - 1)).view(np.uint8).reshape(-1, 8)
         first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-        votes = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
         size = np.diff(np.append(first, len(row)))
+        votes = np.add.reduceat(_COUNTS[raw], first, axis=0).view(np.uint8).astype(np.int32)
+        for k in np.flatnonzero(size > 255):
+            votes[k] = np.unpackbits(raw[first[k] : first[k] + size[k]], axis=1).sum(0, dtype=np.int32)
         out[lo + row[first]] = np.packbits(2 * votes > size[:, None], axis=1).view(np.uint64).ravel()
     return out
 
@@ -88,6 +92,30 @@ def _blocks(lines: DataFrame) -> DataFrame:
     return lines.select(F.explode(F.array(*keys)).alias("key"), F.col("line").alias("node"), "mark", "span")
 
 
+def _within(x, y, percent: int):
+    """Whether the edit distance of two strings is at most 100 - ``percent`` percent of the longer one.
+
+    What they share at either end adds nothing to the distance and is cut off first, by halving steps. One-element
+    arrays hold what the next step uses, so that nothing is computed twice.
+    """
+    steps = F.array(*(F.lit(1 << k) for k in range(15, -1, -1)))
+
+    def shared(s):
+        alike = lambda n, step: F.substr(s["x"], n + 1, step) == F.substr(s["y"], n + 1, step)
+        return F.aggregate(steps, F.lit(0), lambda n, step: F.when(alike(n, step), n + step).otherwise(n)).alias("n")
+
+    def without(pair):
+        held = F.transform(pair, lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"), s["most"].alias("most"), shared(s)))
+        rest = lambda s, end: F.reverse(F.substr(s[end], s["n"] + 1)).alias(end)
+        return F.transform(held, lambda s: F.struct(rest(s, "x"), rest(s, "y"), s["most"].alias("most")))
+
+    longer = F.greatest(F.length(x), F.length(y))
+    most = F.floor(longer * F.lit(100 - percent) / F.lit(100)).cast("int")
+    pair = F.array(F.struct(x.alias("x"), y.alias("y"), most.alias("most")))
+    near = F.exists(without(without(pair)), lambda s: F.call_function("levenshtein", s["x"], s["y"], s["most"]) >= 0)
+    return (F.abs(F.length(x) - F.length(y)) <= most) & near
+
+
 def _texts(docs_wanted, lines_wanted, least: int):
     """(node, line_text) of the lines that a filter lets through, in the documents that another one does."""
 
@@ -125,8 +153,7 @@ def line_groups(docs: DataFrame, percent: int = 90, least: int = 20) -> tuple[Da
     def verify(pairs: DataFrame) -> DataFrame:
         one = wording.select(F.col("node").alias("a"), F.col("line_text").alias("x"))
         two = wording.select(F.col("node").alias("b"), F.col("line_text").alias("y"))
-        longer = f"greatest(length(x), length(y)) * {100 - percent} div 100"
-        near = F.expr(f"abs(length(x) - length(y)) <= {longer} and levenshtein(x, y, cast({longer} as int)) >= 0")
+        near = _within(F.col("x"), F.col("y"), percent)
         return pairs.join(one, "a").join(two, "b").where(near).select("a", "b")
 
     def sketches(nodes: DataFrame) -> DataFrame:

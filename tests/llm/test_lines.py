@@ -4,10 +4,13 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from barloom.llm import buckets, lines
+from barloom.llm.common import mixed
+from barloom.llm.words import split
 
 
 def distance(a, b):
@@ -108,3 +111,32 @@ def test_null_and_repeated_ids(spark):
 
 def test_empty_table(spark):
     assert lines.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_edit_distances_of_what_lines_do_not_share(spark):
+    """The limit holds as for whole lines, where they share an end, both, all or nothing."""
+    rng = random.Random(8)
+    pairs = [("", ""), ("", "a"), ("same line", "same line"), ("aa", "aaa"), ("abab" * 9, "abab" * 8), ("é" * 30, "é" * 29 + "ü"), ("x" + "y" * 20, "y" * 20 + "x")]
+    for _ in range(300):
+        x = [rng.choice("abé ") for _ in range(rng.randrange(1, 60))]
+        y = list(x)
+        for _ in range(rng.randrange(8)):
+            k = rng.randrange(len(y) + 1)
+            y[k : k + rng.randrange(2)] = [rng.choice("abcé") for _ in range(rng.randrange(3))]
+        pairs.append(("".join(x), "".join(y)))
+    df = spark.createDataFrame(pairs, "x string, y string")
+    got = df.select("x", "y", lines._within(F.col("x"), F.col("y"), 90).alias("near")).collect()
+    want = [distance(x, y) <= max(len(x), len(y)) // 10 for x, y in pairs]
+    assert [r.near for r in got] == want and 20 < sum(want) < 280
+
+
+def test_fingerprints_of_lines_with_few_and_many_words():
+    texts = ["", "one", " ".join(f"w{i}" for i in range(255)), " ".join(f"v{i % 700}" for i in range(1000)), "two two three"]
+    held = lines._COUNTS.view(np.uint8).reshape(256, 8)
+    assert held.tolist() == [[int(b) for b in f"{i:08b}"] for i in range(256)]
+    for text, got in zip(texts, lines.simhash(texts)):
+        words = split(pa.array([text]))
+        kinds = np.unique(words.hash >> np.uint64(12))
+        bits = np.unpackbits(mixed(kinds).view(np.uint8).reshape(-1, 8), axis=1)
+        want = np.packbits(2 * bits.sum(0) > len(bits)).view(np.uint64)[0] if len(kinds) else 0
+        assert got == want
