@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import components, written
+from barloom.llm.common import components, forest, mixed, written
 
 #: Buckets of up to so many nodes give all their pairs; larger ones first give the pairs with their smallest node.
 SMALL = 8
@@ -17,6 +17,10 @@ SMALL = 8
 HELD = 1_000_000
 #: Nodes of a large bucket in one of its blocks; blocks are compared two at a time. Partners compared at once.
 BLOCK, PARTNERS = 2_000, 1_024
+#: Sum of the sizes of a block's nodes, about: buckets of large nodes have more blocks.
+ROOM = 4_000_000
+#: Pairs of a cell that are held before they are contracted to a forest.
+HELD_PAIRS = 1_000_000
 
 Near = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
@@ -108,57 +112,101 @@ def bucketed(rows: DataFrame, small: int = SMALL, near: Near | None = None) -> D
 def _cells(rows: DataFrame) -> DataFrame:
     """Rows (key, node, comp, size, sketch) of buckets, dealt into cells: two blocks of a bucket, or one with itself.
 
-    Nodes are dealt over blocks by a hash, as many blocks as the bucket's size asks for, so a cell holds about two
-    blocks however large the bucket is. Every pair of a bucket meets in the cell of its blocks.
+    Nodes are dealt over blocks by a hash, as many blocks as the bucket's rows and their sizes ask for, so a cell holds
+    about two blocks however large the bucket is. Every pair of a bucket meets in the cell of its blocks.
     """
-    parts = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / ROOM)).cast("int")
+    parts = rows.groupBy("key").agg(parts.alias("parts"))
     mine = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int").alias("block")
     each = rows.join(parts, "key").select("*", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cell = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
     return each.select(cell.alias("key"), "node", "comp", "size", "sketch", "block", (F.col("block") == F.col("other")).cast("int").alias("alone"))
 
 
-def _cross(limit: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows that share the first column, which are next to each other, as one table each."""
+    held: list[pa.RecordBatch] = []
+
+    def cut(table: pa.Table) -> Iterator[pa.Table]:
+        key = table[0].to_numpy()
+        cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)]):
+            yield table.slice(lo, hi - lo)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        key = batch[0].to_numpy()
+        if key[0] == key[-1]:
+            continue
+        table = pa.Table.from_batches(held)
+        last = table.num_rows - int((key == key[-1]).sum())
+        yield from cut(table.slice(0, last).combine_chunks())
+        held = table.slice(last).to_batches()
+    if held:
+        yield from cut(pa.Table.from_batches(held).combine_chunks())
+
+
+def sketches_of(table: pa.Table) -> np.ndarray:
+    return table["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(table.num_rows, -1)
+
+
+def alike(
+    comp: np.ndarray, size: np.ndarray, sketch: np.ndarray, limit: Callable[[np.ndarray, np.ndarray], np.ndarray]
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places i < j of different components whose sketches differ in no more bits than allowed, some pairs at a time.
+    ``comp`` may change in between; pairs that it has joined by then are left out."""
+    for lo in range(0, len(comp), 64):
+        a = slice(lo, lo + 64)
+        for at in range(lo, len(comp), PARTNERS):
+            b = slice(at, at + PARTNERS)
+            far = np.bitwise_count(sketch[a, None, :] ^ sketch[None, b, :]).sum(2, dtype=np.int32)
+            i, j = np.nonzero((far <= limit(size[a, None], size[None, b])) & (comp[a, None] != comp[None, b]))
+            keep = lo + i < at + j
+            yield lo + i[keep], at + j[keep]
+
+
+def _cell_pairs(cell: pa.Table, limit) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of different components in a cell whose sketches differ in no more bits than allowed. A cell of two
     blocks gives the pairs across them."""
+    node, comp, size, block, alone = (cell[c].to_numpy() for c in ("node", "comp", "size", "block", "alone"))
+    for i, j in alike(comp, size, sketches_of(cell), limit):
+        keep = (block[i] != block[j]) | (alone[i] == 1)
+        yield node[i[keep]], node[j[keep]]
 
-    def pairs(node, comp, size, block, alone, sketch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for lo in range(0, len(node), 64):
-            a = slice(lo, lo + 64)
-            for at in range(lo, len(node), PARTNERS):
-                b = slice(at, at + PARTNERS)
-                far = np.bitwise_count(sketch[a, None, :] ^ sketch[None, b, :]).sum(2, dtype=np.int32)
-                ok = (far <= limit(size[a, None], size[None, b])) & (comp[a, None] != comp[None, b])
-                ok &= (block[a, None] != block[None, b]) | (alone[a, None] == 1)
-                i, j = np.nonzero(ok)
-                keep = lo + i < at + j
-                yield node[a][i[keep]], node[b][j[keep]]
+
+def _cross(limit: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+    """All pairs of cells: see ``_cell_pairs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        for cell in runs(batches):
+            for a, b in _cell_pairs(cell, limit):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-        def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            key = table["key"].to_numpy()
-            cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            columns = [table[c].to_numpy() for c in ("node", "comp", "size", "block", "alone")]
-            columns.append(table["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(key), -1))
-            for lo, hi in zip(cuts, np.append(cuts[1:], len(key))):
-                for a, b in pairs(*(c[lo:hi] for c in columns)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+    return run
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            key = batch["key"].to_numpy()
-            if key[0] == key[-1]:
+
+def _families(limit: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+    """(family, node): nodes of a cell that its pairs connect are a family, named by a hash of its nodes, so equal
+    families of several cells have one name. A cell gives no more rows than it has nodes, however many pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in runs(batches):
+            a, b, held = [], [], 0
+            for low, high in _cell_pairs(cell, limit):
+                a.append(low), b.append(high)
+                held += len(low)
+                if held > HELD_PAIRS:
+                    node, root = forest(np.concatenate(a), np.concatenate(b))
+                    a, b, held = [node], [root], 0
+            if not a or not sum(map(len, a)):
                 continue
-            table = pa.Table.from_batches(held)
-            cut = table.num_rows - int((key == key[-1]).sum())
-            yield from out(table.slice(0, cut))
-            held = table.slice(cut).to_batches()
-        if held:
-            yield from out(pa.Table.from_batches(held))
+            node, root = forest(np.concatenate(a), np.concatenate(b))
+            _, of = np.unique(root, return_inverse=True)
+            name = np.zeros(of.max() + 1, np.uint64)
+            np.add.at(name, of, mixed(node.view(np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(mixed(name)[of].view(np.int64)), pa.array(node)], names=["family", "node"])
 
     return run
 
@@ -168,6 +216,7 @@ def groups(
     verify: Callable[[DataFrame], DataFrame],
     sketches: Callable[[DataFrame], DataFrame],
     limit: Callable[[np.ndarray, np.ndarray], np.ndarray],
+    joined: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """(node, component) of all nodes with links, from written ``bucketed`` rows.
 
@@ -175,6 +224,9 @@ def groups(
     connect are then compared across components, two blocks of bounded size at a time: ``sketches`` gives (node, size, sketch: a list of longs) of the nodes asked for, and
     ``limit`` the most bits in which sketches of linked nodes of two sizes may differ. So every pair of a bucket is
     either connected or compared.
+
+    With ``joined`` these pairs are no rows: it gets the families (family, node, comp) that they connect and gives true
+    links that join what is linked in a family, a forest of them.
     """
     # each node is first compared with the one it shares most buckets with; most other pairs are then connected already
     pairs = written(found.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("n")), "pairs")
@@ -199,5 +251,10 @@ def groups(
         return comps
     rows = own.join(sketches(own.select("node").distinct()), "node")
     dealt = _cells(rows.select("key", "node", "comp", "size", "sketch")).repartition("key").sortWithinPartitions("key")
-    more = written(verify(dealt.mapInArrow(_cross(limit), "a long, b long").distinct()), "edges")
+    if joined:
+        families = written(dealt.mapInArrow(_families(limit), "family long, node long").distinct(), "families")
+        more = joined(families.join(own.select("node", "comp").distinct(), "node"))
+    else:
+        more = verify(dealt.mapInArrow(_cross(limit), "a long, b long").distinct())
+    more = written(more, "edges")
     return comps if more.isEmpty() else components(edges.unionByName(more))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.buckets import bucketed, groups
+from barloom.llm.buckets import alike, bucketed, groups, runs, sketches_of
 from barloom.llm.common import bit_filter, mixed, passes, written
 from barloom.llm.words import shingle_sets, signed, slices, split
 
@@ -150,6 +150,35 @@ def _common_shingles(texts: DataFrame, k: int, total: int) -> np.ndarray:
     return np.sort(np.array([r.shingle for r in top.collect()], np.int64).view(np.uint64))
 
 
+def _both(lead: np.ndarray, own: np.ndarray) -> int:
+    """How many shingles two sets share."""
+    at = np.minimum(np.searchsorted(lead, own), len(lead) - 1)
+    return int((lead[at] == own).sum())
+
+
+def _joined(percent: int):
+    """Walk families (family, node, comp, n, sketch, shingles): links that join their components where any do. A pair
+    is compared by its shingles only if its sketches allow a link and no link found before connects it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for family in runs(batches):
+            node, n = (family[c].to_numpy() for c in ("node", "n"))
+            comp = family["comp"].to_numpy().copy()
+            sets = [np.frombuffer(s, np.uint64) for s in family["shingles"].to_pylist()]
+            a, b = [], []
+            for i, j in alike(comp, n, sketches_of(family), Bands(percent).apart):
+                for p, q in zip(i.tolist(), j.tolist()):
+                    if comp[p] == comp[q]:
+                        continue
+                    both = _both(sets[p], sets[q])
+                    if 100 * both >= percent * (len(sets[p]) + len(sets[q]) - both):
+                        comp[comp == comp[q]] = comp[p]
+                        a.append(min(node[p], node[q])), b.append(max(node[p], node[q]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def _check(percent: int):
     """Walk (lead, salt, kind, node, shingles): after a lead's own row come the sets to compare it with."""
 
@@ -162,8 +191,7 @@ def _check(percent: int):
                 if row["kind"] == 0:
                     lead = own
                     continue
-                at = np.minimum(np.searchsorted(lead, own), len(lead) - 1)
-                both = int((lead[at] == own).sum())
+                both = _both(lead, own)
                 if 100 * both >= percent * (len(lead) + len(own) - both):
                     a.append(row["lead"]), b.append(row["node"])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -208,11 +236,17 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     kept = full.mapInArrow(_shingles(k, wanted, SKETCH_BITS), "node long, n long, shingles binary, sketch array<long>")
     shingles = written(kept.dropDuplicates(["node"]), "shingles")
     bands = Bands(percent)
+
+    def joined(families: DataFrame) -> DataFrame:
+        rows = families.join(shingles, "node").select("family", "node", "comp", "n", "sketch", "shingles")
+        return rows.repartition("family").sortWithinPartitions("family").mapInArrow(_joined(percent), "a long, b long").distinct()
+
     comps = groups(
         found,
         lambda pairs: _verified(pairs, shingles, percent),
         lambda nodes: shingles.select("node", F.col("n").alias("size"), "sketch").join(nodes, "node"),
         bands.apart,
+        joined,
     )
     # a set's group is named by the smallest document of any set in it
     named = one.join(comps, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "doc_id")
