@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import components, forest, mixed, written
+from barloom.llm.common import components, forest, written
 
 #: Buckets of up to so many nodes give all their pairs; larger ones first give the pairs with their smallest node.
 SMALL = 8
@@ -110,7 +110,7 @@ def bucketed(rows: DataFrame, small: int = SMALL, near: Near | None = None) -> D
 
 
 def _cells(rows: DataFrame) -> DataFrame:
-    """Rows (key, node, comp, size, sketch) of buckets, dealt into cells: two blocks of a bucket, or one with itself.
+    """Rows (key, node, comp, size and others) of buckets, dealt into cells: two blocks of a bucket, or one with itself.
 
     Nodes are dealt over blocks by a hash, as many blocks as the bucket's rows and their sizes ask for, so a cell holds
     about two blocks however large the bucket is. Every pair of a bucket meets in the cell of its blocks.
@@ -120,7 +120,8 @@ def _cells(rows: DataFrame) -> DataFrame:
     mine = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int").alias("block")
     each = rows.join(parts, "key").select("*", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cell = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
-    return each.select(cell.alias("key"), "node", "comp", "size", "sketch", "block", (F.col("block") == F.col("other")).cast("int").alias("alone"))
+    own = [c for c in rows.columns if c != "key"]
+    return each.select(cell.alias("key"), *own, "block", (F.col("block") == F.col("other")).cast("int").alias("alone"))
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -187,9 +188,8 @@ def _cross(limit: Callable[[np.ndarray, np.ndarray], np.ndarray]):
     return run
 
 
-def _families(limit: Callable[[np.ndarray, np.ndarray], np.ndarray]):
-    """(family, node): nodes of a cell that its pairs connect are a family, named by a hash of its nodes, so equal
-    families of several cells have one name. A cell gives no more rows than it has nodes, however many pairs."""
+def _trees(limit: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+    """(a, b) that join what the pairs of a cell connect: less rows than a cell has nodes, however many pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in runs(batches):
@@ -200,13 +200,11 @@ def _families(limit: Callable[[np.ndarray, np.ndarray], np.ndarray]):
                 if held > HELD_PAIRS:
                     node, root = forest(np.concatenate(a), np.concatenate(b))
                     a, b, held = [node], [root], 0
-            if not a or not sum(map(len, a)):
+            if not sum(map(len, a)):
                 continue
             node, root = forest(np.concatenate(a), np.concatenate(b))
-            _, of = np.unique(root, return_inverse=True)
-            name = np.zeros(of.max() + 1, np.uint64)
-            np.add.at(name, of, mixed(node.view(np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array(mixed(name)[of].view(np.int64)), pa.array(node)], names=["family", "node"])
+            own = node != root
+            yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(root[own])], names=["a", "b"])
 
     return run
 
@@ -225,8 +223,8 @@ def groups(
     ``limit`` the most bits in which sketches of linked nodes of two sizes may differ. So every pair of a bucket is
     either connected or compared.
 
-    With ``joined`` these pairs are no rows: it gets the families (family, node, comp) that they connect and gives true
-    links that join what is linked in a family, a forest of them.
+    With ``joined`` these pairs are no rows: it gets the families of nodes that they connect, each node in one, dealt
+    into cells of their own (key, node, comp, size, block, alone), and gives true links that join what is linked in a cell.
     """
     # each node is first compared with the one it shares most buckets with; most other pairs are then connected already
     pairs = written(found.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("n")), "pairs")
@@ -252,8 +250,8 @@ def groups(
     rows = own.join(sketches(own.select("node").distinct()), "node")
     dealt = _cells(rows.select("key", "node", "comp", "size", "sketch")).repartition("key").sortWithinPartitions("key")
     if joined:
-        families = written(dealt.mapInArrow(_families(limit), "family long, node long").distinct(), "families")
-        more = joined(families.join(own.select("node", "comp").distinct(), "node"))
+        families = components(dealt.mapInArrow(_trees(limit), "a long, b long")).withColumnRenamed("component", "key")
+        more = joined(_cells(families.join(rows.select("node", "comp", "size").distinct(), "node")))
     else:
         more = verify(dealt.mapInArrow(_cross(limit), "a long, b long").distinct())
     more = written(more, "edges")

@@ -157,17 +157,19 @@ def _both(lead: np.ndarray, own: np.ndarray) -> int:
 
 
 def _joined(percent: int):
-    """Walk families (family, node, comp, n, sketch, shingles): links that join their components where any do. A pair
-    is compared by its shingles only if its sketches allow a link and no link found before connects it."""
+    """Walk the cells of families (key, node, comp, size, block, alone, sketch, shingles): links that join components
+    where any do. A pair is compared by its shingles only if its sketches allow a link and no link of the cell connects
+    it already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for family in runs(batches):
-            node, n = (family[c].to_numpy() for c in ("node", "n"))
-            comp = family["comp"].to_numpy().copy()
-            sets = [np.frombuffer(s, np.uint64) for s in family["shingles"].to_pylist()]
+        for cell in runs(batches):
+            node, size, block, alone = (cell[c].to_numpy() for c in ("node", "size", "block", "alone"))
+            comp = cell["comp"].to_numpy().copy()
+            sets = [np.frombuffer(s, np.uint64) for s in cell["shingles"].to_pylist()]
             a, b = [], []
-            for i, j in alike(comp, n, sketches_of(family), Bands(percent).apart):
-                for p, q in zip(i.tolist(), j.tolist()):
+            for i, j in alike(comp, size, sketches_of(cell), Bands(percent).apart):
+                own = (block[i] != block[j]) | (alone[i] == 1)
+                for p, q in zip(i[own].tolist(), j[own].tolist()):
                     if comp[p] == comp[q]:
                         continue
                     both = _both(sets[p], sets[q])
@@ -237,9 +239,10 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     shingles = written(kept.dropDuplicates(["node"]), "shingles")
     bands = Bands(percent)
 
-    def joined(families: DataFrame) -> DataFrame:
-        rows = families.join(shingles, "node").select("family", "node", "comp", "n", "sketch", "shingles")
-        return rows.repartition("family").sortWithinPartitions("family").mapInArrow(_joined(percent), "a long, b long").distinct()
+    def joined(cells: DataFrame) -> DataFrame:
+        rows = cells.join(shingles.select("node", "sketch", "shingles"), "node")
+        rows = rows.select("key", "node", "comp", "size", "block", "alone", "sketch", "shingles")
+        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_joined(percent), "a long, b long").distinct()
 
     comps = groups(
         found,

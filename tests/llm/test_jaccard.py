@@ -142,21 +142,21 @@ def test_one_row_of_shingles_per_set_where_the_filter_is_full(spark, monkeypatch
     assert [df.count() for name, df in held if name == "shingles"] == [2]
 
 
-def test_a_family_gives_a_forest_of_true_links(monkeypatch):
-    """Sketches that are all alike make one family of a cell, sets tell which of its nodes are linked."""
+def test_pairs_of_large_buckets_are_no_rows(monkeypatch):
+    """Sketches that are all alike join all nodes of a cell by one tree; sets tell which of them are linked."""
     monkeypatch.setattr(buckets, "HELD_PAIRS", 50)
     n, node = 60, np.arange(100, 160)
     sets = [np.arange(40, dtype=np.uint64) + np.uint64(1000 * (i % 3) + i // 30) for i in range(n)]
-    sketch = pa.array([[0] * 32] * n, pa.list_(pa.int64()))
-    columns = {"key": pa.array([5] * n), "node": pa.array(node), "comp": pa.array(node), "size": pa.array([40] * n), "sketch": sketch}
-    cell = pa.RecordBatch.from_pydict({**columns, "block": pa.array([0] * n, pa.int32()), "alone": pa.array([1] * n, pa.int32())})
-    cells = [cell.slice(0, 25), cell.slice(25)]
-    (family,) = buckets._families(jaccard.Bands(80).apart)(iter(cells))
-    assert family["node"].to_pylist() == node.tolist() and len(set(family["family"].to_pylist())) == 1
-    same = pa.RecordBatch.from_pydict({**columns, "key": pa.array([6] * n), "block": pa.array([0] * 59 + [1], pa.int32()), "alone": pa.array([0] * n, pa.int32())})
-    (other,) = buckets._families(jaccard.Bands(80).apart)(iter([same]))
-    assert set(other["family"].to_pylist()) == set(family["family"].to_pylist())
-    rows = {"family": family["family"], "node": family["node"], "comp": family["node"], "n": columns["size"], "sketch": sketch}
-    rows = pa.RecordBatch.from_pydict({**rows, "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
-    links = [tuple(r.values()) for b in jaccard._joined(80)(iter([rows])) for r in b.to_pylist()]
-    assert len(links) == n - 3 and all(a < b and (a - b) % 3 == 0 for a, b in links)
+    raw = pa.array([s.tobytes() for s in sets], pa.binary())
+
+    def cells_of(block, alone):
+        columns = {"key": [5] * n, "node": node, "comp": node, "size": [40] * n, "block": block, "alone": [alone] * n}
+        rows = {**{k: pa.array(v) for k, v in columns.items()}, "sketch": pa.array([[0] * 32] * n, pa.list_(pa.int64())), "shingles": raw}
+        rows = pa.RecordBatch.from_pydict(rows)
+        return iter([rows.slice(0, 25), rows.slice(25)])
+
+    for block, alone in (([0] * n, 1), ([0] * 20 + [1] * 40, 0)):
+        (tree,) = buckets._trees(jaccard.Bands(80).apart)(cells_of(block, alone))
+        assert tree["a"].to_pylist() == node[1:].tolist() and set(tree["b"].to_pylist()) == {100}
+        links = [tuple(r.values()) for b in jaccard._joined(80)(cells_of(block, alone)) for r in b.to_pylist()]
+        assert len(links) == n - 3 and all(a < b and (a - b) % 3 == 0 for a, b in links)
