@@ -19,12 +19,13 @@ from barloom.llm.words import slices
 ITEMS_PER_TASK = 50_000
 
 
-def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = 2048, end_id: int = 0, remember: bool = True) -> DataFrame:
     """The pieces of every document: doc_id, piece, start, length, ids_crc32, without packing.
 
     A document's ids are those of its whole text (null: empty) and ``end_id``. Only documents of more than
     ``capacity`` ids are cut; all their pieces are full but the first, which may be shorter. Rows with equal doc_id
-    count as documents of their own. Other columns of ``docs`` are not looked at.
+    count as documents of their own. Other columns of ``docs`` are not looked at. Without ``remember`` workers forget
+    the ids of words at the end of each task: slower, but later stages have their memory.
     """
     path = vocabulary or default_vocabulary()
     end = np.array([end_id], "<u4").tobytes()
@@ -42,6 +43,9 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = 2048,
                         rows.append((doc, k, start, stop - start, zlib.crc32(raw[4 * start : 4 * stop])))
                         start, stop, k = stop, stop + capacity, k + 1
                 yield pa.RecordBatch.from_pylist([dict(zip(_PIECE.names, r)) for r in rows], _PIECE)
+        if not remember:
+            enc.known.clear()
+            pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -149,10 +153,10 @@ def pack(cuts: DataFrame, capacity: int = 2048, slack: int = 8) -> DataFrame:
     return each.select("x.items.*", "sequence_id", F.col("x.at").alias("offset"))
 
 
-def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = 2048, slack: int = 8) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = 2048, slack: int = 8, remember: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece of every document.
 
     See ``pieces`` for how documents are cut and ``pack`` for the sequences. Null and empty texts are one end id.
     """
-    cuts = written(pieces(docs, vocabulary, capacity), "pieces")
+    cuts = written(pieces(docs, vocabulary, capacity, remember=remember), "pieces")
     return pack(cuts, capacity, slack)

@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +77,18 @@ def test_empty_tables(spark, tmp_path):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_pieces_can_leave_no_words_in_a_worker():
+    class Docs:
+        select = lambda self, *_: self
+        mapInArrow = lambda self, fn, _: fn
+
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, "text": t} for i, t in enumerate(TEXTS)])
+    kept, left = encoder(default_vocabulary()), packing.pieces(Docs(), remember=False)
+    rows = [b.to_pylist() for b in left(iter([batch, batch]))]
+    assert not kept.known
+    assert rows == [b.to_pylist() for b in packing.pieces(Docs())(iter([batch, batch]))] and kept.known
+
+
 @pytest.mark.parametrize("capacity", [16, 2048])
 def test_packing_is_gapless_and_whole(spark, capacity):
     rows = packing.pack_documents(frame(spark).repartition(3), capacity=capacity).collect()
