@@ -44,7 +44,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = 2048,
                         start, stop, k = stop, stop + capacity, k + 1
                 yield pa.RecordBatch.from_pylist([dict(zip(_PIECE.names, r)) for r in rows], _PIECE)
         if not remember:
-            enc.known.clear()
+            enc.forget()
             pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")

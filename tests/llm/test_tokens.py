@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.llm import coder, packing, token_files
+from barloom.llm import coder, packing, token_files, tokens
 from barloom.llm.tokens import default_vocabulary, encoder
 
 TEXTS = ["", None, "one two", " lead", "trail ", "a  b\tc", "x\n\ny z", "é\xa0日本 <|endoftext|>", "w " * 9000 + "end", "one two", "it's 12 a\n b"]
@@ -28,6 +28,37 @@ def test_words_encode_like_whole_texts():
     assert [bytes(x) for x in e.ids(TEXTS)] == [plain(t, [])[:].tobytes() for t in TEXTS]
 
 
+ODD = ["a.\nB", "end.\n\nStart, x_y", "a\n\n\nb", "it's\n's don't, can't.", "né, Ünï! ²a, 3.5, a½.", "x?!? y?!.? z_", "\u0301a, a\u0301.", "a\nb\nb,\nb, b\n\n\n", "«a», “b.”", "日本, a"]
+
+
+def test_lines_and_signs_encode_like_whole_texts(monkeypatch):
+    texts = ODD + [" ".join(ODD), "\n".join(ODD), "\n\n".join(ODD), ".\n".join(x.replace("\n", "") for x in ODD)]
+    want = [plain(t, []).tobytes() for t in texts]
+    e = tokens.Encoder(default_vocabulary())
+    assert list(e.ids(texts)) == want and list(e.ids(texts[::-1])) == want[::-1]
+    # a word after a line feed, or with signs after it, is not asked for again
+    assert list(e.ids(["x\nb\nStart Start b"]))
+    asked = []
+    monkeypatch.setattr(e, "library", lambda t, own=e.library: (asked.append(t), own(t))[1])
+    both = "\n".join(["Start, b", "Start. b,", "b, b. b"])
+    assert list(e.ids([both])) == [plain(both, []).tobytes()] and set(asked) <= {",", "."}
+    # the smallest memory gives the same
+    monkeypatch.setattr(tokens, "REMEMBERED", 3)
+    monkeypatch.setattr(tokens, "TOGETHER", 1)
+    e = tokens.Encoder(default_vocabulary())
+    assert list(e.ids(texts)) == want and list(e.ids(texts)) == want
+
+
+def test_other_vocabularies_are_asked_for_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    other = Tokenizer.from_file(default_vocabulary())
+    other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    other.save(path := str(tmp_path / "v.json"))
+    e = tokens.Encoder(path)
+    assert list(e.ids(ODD)) == [e.library(t).tobytes() for t in ODD]
+
+
 def test_blocks_round_trip():
     rng = np.random.default_rng(3)
     blocks = [rng.zipf(1.3, n) % 50257 for n in rng.integers(1, 300, 40)]
