@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from barloom.session import scratch_folder
 
+#: Links that one task contracts at once.
+LINKS_PER_TASK = 250_000
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -102,14 +105,27 @@ def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield done()
 
 
+def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, smallest node reached) of all nodes, from edges that one task may hold."""
+    held = [(batch["a"].to_numpy(), batch["b"].to_numpy()) for batch in batches if batch.num_rows]
+    if held:
+        nodes, roots = forest(*(np.concatenate(x) for x in zip(*held)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["node", "component"])
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the edges ``a``-``b`` (long); component: smallest node reached.
 
-    Alternating large-star and small-star rounds. Every round is joins and grouped minima on a table written to the
-    shared folder; tasks first contract the edges they happen to hold. Hot nodes only ever cost a grouped minimum.
+    Tasks first contract the edges they happen to hold, then as many edges as one task may hold (``LINKS_PER_TASK``).
+    Where that takes more than one task, alternating large-star and small-star rounds follow. Every round is joins and
+    grouped minima on a table written to the shared folder. Hot nodes only ever cost a grouped minimum.
     """
     links = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
-    links = written(links.mapInArrow(_local_forest, "a long, b long").distinct(), "links")
+    links = written(links.mapInArrow(_local_forest, "a long, b long"), "links")
+    tasks = -(-links.count() // LINKS_PER_TASK)
+    if tasks < 2:
+        return links.coalesce(1).mapInArrow(_rooted, "node long, component long")
+    links = written(links.coalesce(tasks).mapInArrow(_local_forest, "a long, b long").distinct(), "links")
     seen = None
     for _ in range(max_rounds):
         # large star: neighbours above a node move to its smallest neighbour

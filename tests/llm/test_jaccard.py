@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from barloom.llm import buckets, jaccard
+from barloom.llm import buckets, common, jaccard
 from barloom.llm.common import bit_filter, components, passes
 
 
@@ -114,6 +114,21 @@ def test_large_buckets_in_parts(monkeypatch, held):
             assert {(0, own[0], n, 0, 0) for n in own[1:]} <= set(out)
 
 
+def test_few_links_are_contracted_without_rounds(spark, monkeypatch):
+    names, keep = [], common.written
+    monkeypatch.setattr(common, "written", lambda df, name: (names.append(name), keep(df, name))[1])
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5, 5), (7, None)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(4)
+    want = {**{i: 0 for i in range(301)}, **{1000 + i: 1000 for i in range(200)}}
+    got = [tuple(r) for r in components(df).collect()]
+    assert dict(got) == want and len(got) == len(want) and len(names) == 1
+    assert components(df.where("a = b")).collect() == []
+    # more links than a task may hold go on in rounds
+    monkeypatch.setattr(common, "LINKS_PER_TASK", 150)
+    got = [tuple(r) for r in components(df).collect()]
+    assert dict(got) == want and len(got) == len(want) and len(names) > 3
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(0, 300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5, 5)]
     df = spark.createDataFrame(edges, "a long, b long").repartition(4)
